@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, exact_dedup, setsketch
+from annalist.llm import chat, exact_dedup, pieces, setsketch
 from annalist.llm.shared import table
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 HARD_TURN = "\\### Assistant: </turn> ok"
 
 
@@ -17,6 +18,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decode(pieces.encode(docs, model_path), model_path)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        "ids",
+    )
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_components(table(spark, sf_dir, "documents"), percent=85)
 
@@ -39,6 +51,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
