@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, exact_dedup, pieces, setsketch
+from annalist.llm import chat, decontam, exact_dedup, pieces, setsketch
 from annalist.llm.shared import table
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.decode(pieces.encode(docs, model_path), model_path)
@@ -51,6 +55,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_decontamination": op2_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_chat_format": op10_chat_format,
@@ -64,6 +69,31 @@ SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256
         FROM d JOIN g USING (norm)
     """,
+    "op2_decontamination": """
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
+        ), i AS (
+            SELECT DISTINCT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark
+        ), s AS (
+            SELECT item_id, n, k, p, array_to_string(w[p : p + k - 1], ' ') AS sh
+            FROM (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM i WHERE len(w) > 0)
+        ), ds AS (
+            SELECT doc_id, n, k, p, array_to_string(w[p : p + k - 1], ' ') AS sh
+            FROM (SELECT doc_id, w, len(w) AS n, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM s))
+        ), win AS (
+            SELECT DISTINCT ds.doc_id, s.item_id, s.n, s.k, greatest(1, least(ds.p - s.p + 1, ds.n - s.n + 1)) AS st
+            FROM ds JOIN s ON ds.sh = s.sh AND ds.k = s.k
+        ), ws AS (
+            SELECT win.doc_id, win.item_id, win.n, win.st, ds.sh, row_number() OVER (PARTITION BY win.doc_id, win.item_id, win.n, win.st, ds.sh) AS c
+            FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.k = win.k AND ds.p BETWEEN win.st AND win.st + win.n - win.k
+        ), si AS (SELECT item_id, n, sh, row_number() OVER (PARTITION BY item_id, n, sh) AS c FROM s),
+        na AS (SELECT doc_id, item_id, n, st, count(*) AS na FROM ws GROUP BY ALL),
+        nb AS (SELECT item_id, n, count(*) AS nb FROM si GROUP BY ALL),
+        both_ AS (SELECT ws.doc_id, ws.item_id, ws.n, ws.st, count(*) AS c FROM ws JOIN si USING (item_id, n, sh, c) GROUP BY ALL),
+        sim AS (SELECT doc_id, item_id, n, st, c / (na + nb - c) AS similarity FROM both_ JOIN na USING (doc_id, item_id, n, st) JOIN nb USING (item_id, n)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, st) AS k FROM sim WHERE similarity >= 0.8)
+        SELECT doc_id, item_id, similarity, st AS start_word, n AS n_words FROM r WHERE k = 1
+    """,
     "op10_chat_format": """
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
