@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, decontam, exact_dedup, pieces, setsketch
-from annalist.llm.shared import table
+from annalist.llm import chat, decontam, exact_dedup, pieces, quality, setsketch
+from annalist.llm.shared import fold, table
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 HARD_TURN = "\\### Assistant: </turn> ok"
@@ -22,6 +22,21 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: A document is kept from this score on.
+QUALITY_CUT = 0.3
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        (fold(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"),
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.decode(pieces.encode(docs, model_path), model_path)
@@ -56,6 +71,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_chat_format": op10_chat_format,
