@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.shared import stored
+from annalist.llm.shared import few_at_once, stored
 
 MARK = "▁"
 #: Characters to stand for U+2581 while the library encodes; one that the text lacks is taken.
@@ -160,7 +161,7 @@ def load_model(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(bytes(content))
 
 
-def _slices(sizes: list[int], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     first = total = 0
     for i, n in enumerate(sizes):
         if i > first and total + n > limit:
@@ -276,15 +277,16 @@ def encode(docs: DataFrame, model_path: str, chunk: int = 32_768) -> DataFrame:
     if chunk < 64:
         raise ValueError("a chunk has 64 characters at least")
     model = load_model(docs.sparkSession, model_path)
-    docs = docs.drop("ids")
+    docs = few_at_once(docs.drop("ids"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids array<int>"
 
     def whole(parts):
         pieces = _pieces(model)
         for part in parts:
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            for a, b in _slices([len(t) for t in texts]):
-                yield _with(part, a, b, "ids", pa.array(pieces.encode_documents(texts[a:b]), pa.list_(pa.int32())))
+            sizes = pc.fill_null(pc.binary_length(part.column("text")), 0).to_pylist()
+            for a, b in _slices(sizes):
+                texts = [t or "" for t in part.column("text").slice(a, b - a).to_pylist()]
+                yield _with(part, a, b, "ids", pa.array(pieces.encode_documents(texts), pa.list_(pa.int32())))
 
     is_giant = F.coalesce(F.length("text") > chunk, F.lit(False))
     small = docs.filter(~is_giant).mapInArrow(whole, schema)
@@ -297,14 +299,15 @@ def encode(docs: DataFrame, model_path: str, chunk: int = 32_768) -> DataFrame:
 def decode(encoded: DataFrame, model_path: str, to: str = "decoded") -> DataFrame:
     """Add the text that ``ids`` (array of int) stand for as the column ``to``; null and empty arrays give an empty text."""
     model = load_model(encoded.sparkSession, model_path)
-    encoded = encoded.drop(to)
+    encoded = few_at_once(encoded.drop(to))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields) + f", `{to}` string"
 
     def run(parts):
         pieces = _pieces(model)
         for part in parts:
-            ids = [x or [] for x in part.column("ids").to_pylist()]
-            for a, b in _slices([len(x) for x in ids]):
-                yield _with(part, a, b, to, pa.array(pieces.decode_documents(ids[a:b]), pa.string()))
+            sizes = pc.fill_null(pc.list_value_length(part.column("ids")), 0).to_pylist()
+            for a, b in _slices([4 * n for n in sizes]):
+                ids = [x or [] for x in part.column("ids").slice(a, b - a).to_pylist()]
+                yield _with(part, a, b, to, pa.array(pieces.decode_documents(ids), pa.string()))
 
     return encoded.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm import text as T
-from annalist.llm.shared import fold, stored
+from annalist.llm.shared import few_at_once, fold, stored
 
 #: Where the measures of a text are cut. Shares are of bytes, letters, words, shingles or lines.
 EDGES: dict[str, list[float]] = {
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, ridge: f
             for a, b, grid in _text_cells(part):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array([g.tobytes() for g in grid], pa.binary())], names=["doc_id", "cell"])
 
-    rows = docs.filter(fold(F.col("doc_id")) != 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, cell binary")
+    rows = few_at_once(docs).filter(fold(F.col("doc_id")) != 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, cell binary")
     marked = rows.join(trusted, F.col("doc_id") == F.col("id"), "left")
     counted = marked.groupBy("cell").agg(
         F.count(F.lit(1)).alias("u"),
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: QualityModel, to: str = "score") -> DataFrame:
     Null, empty and blank texts are one cell of the grid like any other and get its score. All other columns are kept (an
     older ``to`` is replaced); repeated rows stay; an empty table gives an empty result.
     """
-    docs = docs.drop(to)
+    docs = few_at_once(docs.drop(to))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{to}` double"
 
     def run(parts):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm import text as T
 from annalist.llm.components import connected_components
-from annalist.llm.shared import stored
+from annalist.llm.shared import few_at_once, stored
 
 BASE, RATE, LAST = 1.001, 20.0, 2**16 - 2
 ROWS = 4
@@ -266,7 +266,7 @@ def near_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     columns are ignored; an empty table gives an empty result. Whole texts are used, of any length.
     """
     m = ROWS * bands_for(percent)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = few_at_once(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(source.mapInArrow(*_sketcher(m)), "sketches")
     classes = rows.filter("n > 0").groupBy("cid", "check", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")

@@ -41,3 +41,19 @@ def ascii_lower(text: Column) -> Column:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
+
+
+#: Rows of whole texts that travel to Python at once, at most.
+TEXTS_AT_ONCE = 500
+
+
+def few_at_once(df: DataFrame) -> DataFrame:
+    """For tables of whole texts that go to Python: the session sends no more than ``TEXTS_AT_ONCE`` rows in one Arrow batch.
+
+    The default of 10,000 rows would hold hundreds of megabytes of long documents in each worker and in the executor's buffers.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > TEXTS_AT_ONCE:
+        df.sparkSession.conf.set(key, str(TEXTS_AT_ONCE))
+    return df
