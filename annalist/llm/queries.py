@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, decontam, exact_dedup, pieces, quality, setsketch
+from annalist.llm import chat, ctw, decontam, exact_dedup, langmix, pieces, quality, setsketch
 from annalist.llm.shared import fold, table
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -52,6 +52,16 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_components(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langmix.identify(docs.select("doc_id", "text"), langmix.fit(docs))
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "langs", "shares")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.createDataFrame([(-7, 0, "user", HARD_TURN), (-7, 1, "assistant", HARD_TURN)], "conv_id long, turn long, role string, text string")
@@ -74,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
 }
 
