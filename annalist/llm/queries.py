@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, ctw, decontam, exact_dedup, langmix, pieces, quality, setsketch
+from annalist.llm import chat, ctw, decontam, exact_dedup, langmix, pagediff, pieces, quality, setsketch
 from annalist.llm.shared import fold, table
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -37,6 +37,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.decode(pieces.encode(docs, model_path), model_path)
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_html_extraction": op4_html_extraction,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_lm_scoring": op8_lm_scoring,
