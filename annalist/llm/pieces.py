@@ -17,6 +17,8 @@ them, except that the character U+2581 is written as its three bytes, so that de
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -49,6 +51,18 @@ class Pieces:
         self.ids = {self.library.id_to_piece(i).replace(MARK, " "): i for i in ids if not special(i)}
         self.longest = max(map(len, self.ids))
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        barrier = "" if any("\n" in p for p in self.ids) else "\n"
+        #: Stretches that no piece goes beyond: spaces and what follows them, or a character that no piece has.
+        self.stretches = re.compile(f" *[^ {barrier}]+| +" + (f"|{barrier}+" if barrier else ""))
+        self.known: dict[str, array] = {}
+        content = [b""] * self.library.get_piece_size()
+        for p, i in self.ids.items():
+            content[i] = p.encode()
+        for b, i in enumerate(self.bytes):
+            content[i] = bytes([b])
+        self.content = np.frombuffer(b"".join(content), np.uint8)
+        self.length = np.array([len(c) for c in content])
+        self.start = np.cumsum(self.length) - self.length
         self.stable: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         if any(" " in p.lstrip(" ") for p in self.ids):
@@ -67,13 +81,34 @@ class Pieces:
             k += len(given) if hit else 1
         return out
 
-    def encode_documents(self, texts: list[str]) -> list[list[int]]:
-        plain = [not t or MARK in t for t in texts]
-        done = iter(self.library.encode([" " + t for t, odd in zip(texts, plain, strict=True) if not odd], num_threads=1))
-        return [next(done) if not odd else (self.encode(" " + t) if t else []) for t, odd in zip(texts, plain, strict=True)]
-
-    def decode_documents(self, ids: list[list[int]]) -> list[str]:
-        return [t[1:] for t in self.library.decode(ids)] if ids else []
+    def encode_documents(self, texts: list[str]) -> pa.ListArray:
+        """Ids of whole documents. Stretches repeat, so each is looked up; the store of a worker is emptied at 300,000."""
+        stretches = [self.stretches.findall(" " + t) if t else [] for t in texts]
+        new = list({x for found in stretches for x in found} - self.known.keys())
+        if len(self.known) + len(new) > 300_000:
+            self.known.clear()
+            new = list({x for found in stretches for x in found})
+        plain = [x for x in new if MARK not in x]
+        self.known.update(zip(plain, (array("i", i) for i in self.library.encode(plain)), strict=True))
+        self.known.update((x, array("i", self.encode(x))) for x in new if MARK in x)
+        ids, ends = array("i"), [0]
+        for found in stretches:
+            for x in found:
+                ids.extend(self.known[x])
+            ends.append(len(ids))
+        for x in new:
+            if len(x) > 64:
+                del self.known[x]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+
+    def decode_documents(self, ids: pa.ListArray) -> list[str]:
+        """Texts of id lists; ids that do not spell UTF-8 give U+FFFD."""
+        flat, ends = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+        size = self.length[flat]
+        total = np.concatenate([[0], np.cumsum(size)])
+        spelt = self.content[np.repeat(self.start[flat] - total[:-1], size) + np.arange(total[-1])].tobytes()
+        at = total[ends]
+        return [spelt[i:j].decode("utf-8", "replace")[1:] for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def is_token(self, piece: str) -> bool:
         known = self.stable.get(piece)
@@ -286,7 +321,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = 32_768) -> DataFrame:
             sizes = pc.fill_null(pc.binary_length(part.column("text")), 0).to_pylist()
             for a, b in _slices(sizes):
                 texts = [t or "" for t in part.column("text").slice(a, b - a).to_pylist()]
-                yield _with(part, a, b, "ids", pa.array(pieces.encode_documents(texts), pa.list_(pa.int32())))
+                yield _with(part, a, b, "ids", pieces.encode_documents(texts))
 
     is_giant = F.coalesce(F.length("text") > chunk, F.lit(False))
     small = docs.filter(~is_giant).mapInArrow(whole, schema)
@@ -307,7 +342,6 @@ def decode(encoded: DataFrame, model_path: str, to: str = "decoded") -> DataFram
         for part in parts:
             sizes = pc.fill_null(pc.list_value_length(part.column("ids")), 0).to_pylist()
             for a, b in _slices([4 * n for n in sizes]):
-                ids = [x or [] for x in part.column("ids").slice(a, b - a).to_pylist()]
-                yield _with(part, a, b, to, pa.array(pieces.decode_documents(ids), pa.string()))
+                yield _with(part, a, b, to, pa.array(pieces.decode_documents(part.column("ids").slice(a, b - a)), pa.string()))
 
     return encoded.mapInArrow(run, schema)
