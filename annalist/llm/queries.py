@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, ctw, decontam, exact_dedup, langmix, pagediff, pieces, quality, setsketch
+from annalist.llm import chat, ctw, decontam, exact_dedup, langmix, pagediff, pieces, quality, setsketch, templates
 from annalist.llm.shared import fold, table
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -52,6 +52,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_components(table(spark, sf_dir, "documents"), percent=85)
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_line_dedup": op6_line_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
@@ -127,6 +132,34 @@ SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, st) AS k FROM sim WHERE similarity >= 0.8)
         SELECT doc_id, item_id, similarity, st AS start_word, n AS n_words FROM r WHERE k = 1
     """,
+    "op6_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, text AS doc, k, lines[k] AS line, trim(regexp_replace(regexp_replace(lines[k], '[0-9]+', '0', 'g'), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), ' ') AS form
+            FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+        ), t AS (SELECT *, CASE WHEN form = '' THEN [] ELSE string_split(form, ' ') END AS tokens FROM l),
+        seen AS (SELECT DISTINCT len(tokens) AS n, tokens[1:3] AS lead, form, tokens, doc FROM t WHERE len(tokens) >= 4),
+        forms AS (SELECT n, lead, form, tokens, count(*) AS docs FROM seen GROUP BY ALL),
+        leaves AS (SELECT n, lead, sum(docs) AS total FROM forms GROUP BY ALL HAVING count(*) > 1 AND sum(docs) >= 5),
+        met AS (SELECT forms.* , total FROM forms JOIN leaves USING (n, lead)),
+        places AS (
+            SELECT n, lead, p, tokens[p] AS token, sum(docs) AS docs, any_value(total) AS total
+            FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM met) GROUP BY n, lead, p, tokens[p]
+        ), modal AS (
+            SELECT n, lead, p, token FROM (SELECT *, row_number() OVER (PARTITION BY n, lead, p ORDER BY docs DESC, token DESC) AS k FROM places)
+            WHERE k = 1 AND 2 * docs >= total
+        ), instances AS (
+            SELECT m.n, m.lead, m.form FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM met) m
+            LEFT JOIN modal ON m.n = modal.n AND m.lead = modal.lead AND m.p = modal.p AND m.tokens[m.p] = modal.token
+            GROUP BY m.n, m.lead, m.form HAVING count(modal.token) / any_value(m.n) >= 0.7
+        ), spread AS (
+            SELECT n, lead FROM seen JOIN instances USING (n, lead, form) GROUP BY n, lead HAVING count(DISTINCT doc) >= 5
+        ), gone AS (
+            SELECT form FROM forms WHERE docs >= 5 UNION SELECT form FROM instances JOIN spread USING (n, lead)
+        )
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE gone.form IS NULL), '') AS text,
+            count(*) AS n_lines, count(gone.form) AS n_dropped
+        FROM t LEFT JOIN gone USING (form) GROUP BY doc_id
+    """,
     "op10_chat_format": """
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
