@@ -5,9 +5,10 @@ has a context tree over the ``depth`` bytes before it. At every node the Krichev
 is mixed with the product of its children, P_w = (P_e + prod P_w(children)) / 2, so all depths take part with the weight that
 the training texts give them. A text's score is the sum of the log probabilities of its bytes under the trained tree.
 
-The tree is made of (depth + 1)-grams, which are counted in the tasks and added up in one shuffle; nodes are folded level by
-level with groupings and joins. Nothing of the model is sent whole: tasks get the most frequent 2^20 grams and words, and what
-a text has beyond these is looked up by joins, so the answer is that of the whole model at every size.
+The tree is made of (depth + 1)-grams, which are counted in the tasks and added up in one shuffle. Below its two upper levels
+it falls apart by the two bytes before a decision, so each such part is folded in a task of its own, from its counted grams;
+the upper levels have 65,535 nodes at most. Nothing of the model is sent whole: tasks get the most frequent 2^20 grams and
+words, and what a text has beyond these is looked up by joins, so the answer is that of the whole model at every size.
 """
 
 from __future__ import annotations
@@ -15,13 +16,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from annalist.llm import text as T
 from annalist.llm.shared import few_at_once, fold, stored
@@ -100,64 +99,150 @@ def _word_keys(texts: list[bytes]) -> np.ndarray:
     return np.concatenate([words.view(np.int64), np.full(len(texts), END, np.int64)])
 
 
-@F.pandas_udf(DoubleType())
-def _kt(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Natural logarithm of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return pd.Series([math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.lgamma(x + y + 1) - math.log(math.pi) for x, y in zip(a, b, strict=True)], dtype=float)
+_SMALL = np.array([math.lgamma(k / 2) if k else 0.0 for k in range(64)])
 
 
-def _decisions(table: DataFrame) -> DataFrame:
-    """The eight decisions of each gram: node (partial byte after a leading one) and bit."""
-    byte = F.col("key").bitwiseAND(F.lit(255).cast("long"))
-    shift = lambda x, k, up: F.call_function("shiftleft" if up else "shiftright", x, k)
-    one = F.lit(1).cast("long")
-    each = F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda k: F.struct(shift(one, k, True).bitwiseOR(shift(byte, 8 - k, False)).alias("node"), shift(byte, 7 - k, False).bitwiseAND(one).alias("bit")),
-    )
-    return table.withColumn("x", F.explode(each)).select(*table.columns, "x.node", "x.bit")
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive halves and integers."""
+    big = np.maximum(x, 16.0)
+    series = (big - 0.5) * np.log(big) - big + 0.5 * math.log(2 * math.pi) + 1 / (12 * big) - 1 / (360 * big**3) + 1 / (1260 * big**5)
+    return np.where(x < 31, _SMALL[np.minimum(2 * x, 63).astype(np.int64)], series)
 
 
-def _place(level: int):
-    """The key of the node of a decision at a level: the last ``level`` bytes before it, and the node."""
-    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * level)) - 1).cast("long"))
-    return F.shiftleft(context, 8).bitwiseOR(F.col("node"))
+def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Logarithm of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
 
 
-def build_tree(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
-    """The nodes of each level (place, p: probability of a one, own: weight of the node's own estimate), the root first."""
-    levels, below = [], None
-    bits = stored(_decisions(counts), "decisions")
-    for level in range(depth, -1, -1):
-        nodes = bits.groupBy(_place(level).alias("place")).agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("a"), F.sum(F.col("n") * F.col("bit")).alias("b"))
-        nodes = nodes.withColumn("pe", _kt("a", "b"))
+def _decisions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (partial byte after a leading one) and bits of the eight decisions of each gram, a row for each gram."""
+    byte, k = (keys & 255)[:, None], np.arange(8)[None, :]
+    return (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
+
+
+def _place(keys: np.ndarray, nodes: np.ndarray, level: int) -> np.ndarray:
+    """Keys of the nodes of decisions at a level: the last ``level`` bytes before them, and the node."""
+    return (((keys >> 8) & ((1 << (8 * level)) - 1))[:, None] << 8) | nodes
+
+
+def _up(places: np.ndarray, level: int) -> np.ndarray:
+    """The parents, at ``level``, of nodes one level below."""
+    return (places >> 8 & ((1 << (8 * level)) - 1)) << 8 | (places & 255)
+
+
+class Level:
+    """Nodes of one level in the order of their places: the probability of a one, the weight of a node's own estimate, P_w."""
+
+    def __init__(self, places: np.ndarray, a: np.ndarray, b: np.ndarray, level: int, below: "tuple[np.ndarray, np.ndarray] | None"):
+        self.places = places
+        pe = kt(a, b)
+        self.a, self.b, self.p = a, b, (b + 0.5) / (a + b + 1)
         if below is None:
-            nodes = nodes.withColumn("pw", F.col("pe"))
+            self.pw, self.own = pe, np.ones(len(pe))
         else:
-            context = F.shiftright("place", 8).bitwiseAND(F.lit((1 << (8 * level)) - 1).cast("long"))
-            up = F.shiftleft(context, 8).bitwiseOR(F.col("place").bitwiseAND(F.lit(255).cast("long")))
-            children = below.groupBy(up.alias("place")).agg(F.sum("pw").alias("split"))
-            high, low = F.greatest("pe", "split"), F.least("pe", "split")
-            nodes = nodes.join(children, "place").withColumn("pw", high + F.log1p(F.exp(low - high)) - F.log(F.lit(2.0)))
-        own = F.exp(F.col("pe") - F.log(F.lit(2.0)) - F.col("pw")) if below is not None else F.lit(1.0)
-        nodes = nodes.select("place", ((F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).alias("p"), own.alias("own"), "pw")
-        below = stored(nodes, f"level{level}")
-        levels.append(below.select("place", "p", "own"))
-    return levels[::-1]
-
-
-def gram_scores(table: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """(key, lp): log10 probability of the last byte of each gram of ``table`` (key), seen in training or not."""
-    rows = _decisions(table.select("key"))
-    guess = F.lit(0.5)
-    for level in range(len(levels) - 1, -1, -1):
-        nodes = levels[level].select(F.col("place").alias("at"), "p", "own")
-        rows = rows.withColumn("place", _place(level)).join(nodes, F.col("place") == F.col("at"), "left")
-        mixed = F.when(F.col("p").isNull(), F.lit(0.5)).otherwise(F.col("own") * F.col("p") + (1 - F.col("own")) * guess)
-        rows = rows.withColumn("guess", mixed).drop("place", "at", "p", "own")
-        guess = F.col("guess")
-    hit = F.when(F.col("bit") == 1, F.col("guess")).otherwise(1 - F.col("guess"))
-    return rows.groupBy("key").agg(F.sum(F.log10(hit)).alias("lp"))
+            split = np.bincount(np.searchsorted(places, _up(below[0], level)), weights=below[1], minlength=len(places))
+            self.pw = np.logaddexp(pe, split) - math.log(2)
+            self.own = np.exp(pe - math.log(2) - self.pw)
+
+    def mix(self, places: np.ndarray, guess: np.ndarray) -> np.ndarray:
+        """The probability of a one, given that of the node below on the way; one half where nothing was seen."""
+        at, hit = _found(places.ravel(), self.places)
+        at, hit = at.reshape(places.shape), hit.reshape(places.shape)
+        if not len(self.places):
+            return np.full(places.shape, 0.5)
+        return np.where(hit, self.own[at] * self.p[at] + (1 - self.own[at]) * guess, 0.5)
+
+
+#: Levels below this one are folded in parts.
+UPPER = 2
+
+
+def _subtree(keys: np.ndarray, n: np.ndarray, depth: int) -> list[Level]:
+    """The levels ``depth`` to UPPER of the grams of one part."""
+    nodes, bits = _decisions(keys)
+    weight = np.broadcast_to(n[:, None], bits.shape).ravel().astype(float)
+    ones = weight * bits.ravel()
+    levels, below = [], None
+    for level in range(depth, UPPER - 1, -1):
+        places, at = np.unique(_place(keys, nodes, level), return_inverse=True)
+        total, b = np.bincount(at.ravel(), weights=weight), np.bincount(at.ravel(), weights=ones)
+        levels.append(Level(places, total - b, b, level, below))
+        below = (places, levels[-1].pw)
+    return levels
+
+
+def _part():
+    """The two bytes before the last of a gram."""
+    return F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))
+
+
+def upper_levels(counts: DataFrame, depth: int) -> list[Level]:
+    """The levels UPPER - 1 to 0. The driver gets the nodes of level UPPER - 1 only: 256 x 255 at most."""
+
+    def fold_part(part: pa.Table) -> pa.Table:
+        level = _subtree(part.column("key").to_numpy(), part.column("n").to_numpy(), depth)[-1]
+        return pa.table({"place": level.places, "a": level.a, "b": level.b, "pw": level.pw})
+
+    second = counts.groupBy(_part()).applyInArrow(fold_part, "place long, a double, b double, pw double")
+    above = F.shiftleft(F.shiftright("place", 8).bitwiseAND(F.lit(255).cast("long")), 8).bitwiseOR(F.col("place").bitwiseAND(F.lit(255).cast("long")))
+    rows = second.groupBy(above.alias("place")).agg(*(F.sum(c).alias(c) for c in ("a", "b", "pw"))).orderBy("place").toArrow()
+    places, a, b, split = (rows.column(c).to_numpy() for c in ("place", "a", "b", "pw"))
+    first = Level(places, a, b, 1, (places, split))
+    roots = np.unique(places & 255)
+    at = np.searchsorted(roots, places & 255)
+    root = Level(roots, np.bincount(at, weights=a, minlength=len(roots)), np.bincount(at, weights=b, minlength=len(roots)), 0, (places, first.pw))
+    return [first, root]
+
+
+def gram_scores(wanted: DataFrame, counts: DataFrame, upper, depth: int) -> DataFrame:
+    """(key, lp): log10 probability of the last byte of each gram of ``wanted`` (key), seen in training or not."""
+
+    def score_part(wanted: pa.Table, counted: pa.Table) -> pa.Table:
+        keys = wanted.column("key").to_numpy()
+        nodes, bits = _decisions(keys)
+        guess = np.full(bits.shape, 0.5)
+        below = _subtree(counted.column("key").to_numpy(), counted.column("n").to_numpy(), depth) if counted.num_rows else []
+        for level, tree in zip(range(depth, UPPER - 1, -1), below, strict=False):
+            guess = tree.mix(_place(keys, nodes, level), guess)
+        for level, tree in zip((1, 0), upper.value, strict=True):
+            guess = tree.mix(_place(keys, nodes, level), guess)
+        return pa.table({"key": keys, "lp": np.log10(np.where(bits == 1, guess, 1 - guess)).sum(axis=1)})
+
+    return wanted.select("key").groupBy(_part()).cogroup(counts.groupBy(_part())).applyInArrow(score_part, "key long, lp double")
+
+
+class Lookup:
+    """Places of 64-bit keys by open addressing; tables of at most ``SENT`` keys."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.int64)
+        self.at = np.full(1 << bits, -1, np.int32)
+        todo, slots = np.arange(len(keys)), self._slots(keys)
+        while len(todo):
+            free = self.at[slots] < 0
+            first = np.zeros(len(todo), bool)
+            first[np.unique(slots, return_index=True)[1]] = True
+            put = free & first
+            self.keys[slots[put]], self.at[slots[put]] = keys[todo[put]], todo[put]
+            todo, slots = todo[~put], (slots[~put] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key in the table, -1 where it is not."""
+        slots = self._slots(keys)
+        out = self.at[slots]
+        todo = np.flatnonzero((out >= 0) & (self.keys[slots] != keys))
+        slots = slots[todo]
+        while len(todo):
+            slots = (slots + 1) & self.mask
+            out[todo] = self.at[slots]
+            more = (out[todo] >= 0) & (self.keys[slots] != keys[todo])
+            todo, slots = todo[more], slots[more]
+        return out
 
 
 def _cut(counts: DataFrame) -> int:
@@ -201,11 +286,11 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     grams_n = counted(lambda texts: grams(texts, depth)[0], "grams")
     words_n = counted(_word_keys, "words")
     n_all, n_distinct = words_n.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    levels = build_tree(grams_n, depth)
+    upper = docs.sparkSession.sparkContext.broadcast(upper_levels(grams_n, depth))
 
     gram_cut, word_cut = _cut(grams_n), _cut(words_n)
     context = docs.sparkSession.sparkContext
-    often = context.broadcast((_sent(gram_scores(grams_n.filter(F.col("n") >= gram_cut), levels), "lp"), _sent(words_n.filter(F.col("n") >= word_cut), "n")))
+    often = context.broadcast((_sent(gram_scores(grams_n.filter(F.col("n") >= gram_cut), grams_n, upper, depth), "lp"), _sent(words_n.filter(F.col("n") >= word_cut), "n")))
 
     def rare(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
         """Keys and counts of each text, as arrays."""
@@ -219,6 +304,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def run(parts):
         (gram_keys, gram_lp), (word_keys, word_n) = often.value
+        gram_at, word_at = Lookup(gram_keys), Lookup(word_keys)
         row = TaskContext.get().partitionId() << 33
         for part in parts:
             texts = _bytes(part.column("text"))
@@ -226,13 +312,15 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 n = b - a
                 code, n_code = grams(texts[a:b], depth)
                 owner = np.repeat(np.arange(n), n_code)
-                at, hit = _found(code, gram_keys)
+                at = gram_at.find(code)
+                hit = at >= 0
                 lp = np.bincount(owner[hit], weights=gram_lp[at[hit]], minlength=n) if len(gram_lp) else np.zeros(n)
                 gk, gn = rare(code[~hit], owner[~hit], n)
                 words, first = T.keyed_words(texts[a:b])
                 words = np.concatenate([words.view(np.int64), np.full(n, END, np.int64)])
                 owner = np.concatenate([np.repeat(np.arange(n), np.diff(first)), np.arange(n)])
-                at, hit = _found(words, word_keys)
+                at = word_at.find(words)
+                hit = at >= 0
                 base = np.bincount(owner[hit], weights=np.log10(word_n[at[hit]] + 0.5), minlength=n) if len(word_n) else np.zeros(n)
                 wk, wn = rare(words[~hit], owner[~hit], n)
                 arrays = [
@@ -248,7 +336,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     rare_words = spread("wk", "wn").join(words_n, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rare_words = rare_words.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("more_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
     rare_grams = spread("gk", "gn")
-    rare_lp = gram_scores(rare_grams.select("key").distinct(), levels)
+    rare_lp = gram_scores(rare_grams.select("key").distinct(), grams_n, upper, depth)
     rare_grams = rare_grams.join(rare_lp, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("lp")).alias("more_lp"))
     total = rows.drop("wk", "wn", "gk", "gn").join(rare_words, "row", "left").join(rare_grams, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -82,10 +82,10 @@ class Pieces:
         return out
 
     def encode_documents(self, texts: list[str]) -> pa.ListArray:
-        """Ids of whole documents. Stretches repeat, so each is looked up; the store of a worker is emptied at 300,000."""
+        """Ids of whole documents. Stretches repeat, so each is looked up; the store of a worker is emptied at 100,000."""
         stretches = [self.stretches.findall(" " + t) if t else [] for t in texts]
         new = list({x for found in stretches for x in found} - self.known.keys())
-        if len(self.known) + len(new) > 300_000:
+        if len(self.known) + len(new) > 100_000:
             self.known.clear()
             new = list({x for found in stretches for x in found})
         plain = [x for x in new if MARK not in x]
@@ -196,7 +196,7 @@ def load_model(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(bytes(content))
 
 
-def _slices(sizes: list[int], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     first = total = 0
     for i, n in enumerate(sizes):
         if i > first and total + n > limit:
