@@ -153,8 +153,12 @@ STOP_WORDS: dict[str, tuple[str, ...]] = {
 def detect_language(text: Column) -> Column:
     """The language with the most stop words; the first in order on a tie, null without any."""
     tokens = words(text)
-    scores = F.array(*[F.struct(F.size(F.filter(tokens, lambda w, s=s: w.isin(*s))).alias("n"), F.lit(-k).alias("k"), F.lit(x).alias("lang")) for k, (x, s) in enumerate(sorted(STOP_WORDS.items()))])
-    best = F.array_max(scores)
+
+    def scored(place: int, lang: str) -> Column:
+        hits = F.size(F.filter(tokens, lambda w: w.isin(*STOP_WORDS[lang])))
+        return F.struct(hits.alias("n"), F.lit(-place).alias("place"), F.lit(lang).alias("lang"))
+
+    best = F.array_max(F.array(*[scored(k, x) for k, x in enumerate(sorted(STOP_WORDS))]))
     return F.when(best["n"] > 0, best["lang"])
 
 

@@ -42,9 +42,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, within: int = 3) -> Da
     prints = simhash(docs, key, text)
     pairs = near_fingerprints(prints, within=within)
     links = pairs.select(F.col("a").alias("simhash")).unionAll(pairs.select(F.col("b").alias("simhash"))).groupBy("simhash").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = prints.groupBy("simhash").agg(F.min(key).alias("class_id")).join(links, "simhash", "left")
-    joined = prints.join(classes, prints["simhash"] == classes["simhash"], "left")
-    return joined.select(key, prints["simhash"], F.when(prints["simhash"].isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = prints.groupBy("simhash").agg(F.min(key).alias("class_id")).join(links, "simhash", "left").withColumnRenamed("simhash", "__print")
+    joined = prints.join(classes, F.col("simhash") == F.col("__print"), "left")
+    return joined.select(key, "simhash", F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def exact_duplicates(docs: DataFrame, key: str, text: str, order: Sequence[str]) -> DataFrame:

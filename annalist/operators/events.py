@@ -46,7 +46,8 @@ def assign_sequence(events: DataFrame, stream: Sequence[str] = STREAM, order: Se
 
 def canonical(*columns: str) -> Column:
     """The canonical content of an event for hashing: its columns as text, JSON-quoted, null as null, joined by |."""
-    quoted = [F.coalesce(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\", r"\\\\\\\\"), '"', '\\\\\\\\"'), F.lit('"')), F.lit("null")) for c in columns]
+    escaped = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    quoted = [F.coalesce(F.concat(F.lit('"'), escaped(c), F.lit('"')), F.lit("null")) for c in columns]
     return F.concat_ws("|", *quoted)
 
 

@@ -1,2 +1,6 @@
-QUERIES = {}
-SQL = {}
+"""All queries of the library and, where SQL can say the same, their SQL."""
+
+from annalist.plans import log, papers
+
+QUERIES = log.QUERIES | papers.QUERIES
+SQL = log.SQL | papers.SQL
