@@ -1,6 +1,6 @@
 """All queries of the library and, where SQL can say the same, their SQL."""
 
-from annalist.plans import log, papers
+from annalist.plans import log, panels, papers
 
-QUERIES = log.QUERIES | papers.QUERIES
-SQL = log.SQL | papers.SQL
+QUERIES = log.QUERIES | papers.QUERIES | panels.QUERIES
+SQL = log.SQL | papers.SQL | panels.SQL
