@@ -152,7 +152,7 @@ STOP_WORDS: dict[str, tuple[str, ...]] = {
 
 def detect_language(text: Column) -> Column:
     """The language with the most stop words; the first in order on a tie, null without any."""
-    tokens = words(text)
+    tokens = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " "), " ")
 
     def scored(place: int, lang: str) -> Column:
         hits = F.size(F.filter(tokens, lambda w: w.isin(*STOP_WORDS[lang])))
