@@ -24,14 +24,14 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _tokens(line: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0"), r"[ \t\r\f\x0B]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+def _plain(line: Column) -> Column:
+    """A line's form: digits masked, tokens with one space between."""
+    return F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0"), r"[ \t\r\f\x0B]+", " "))
 
 
 def _form(line: Column) -> Column:
     """The 64-bit key of a line's form."""
-    return F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0"), r"[ \t\r\f\x0B]+", " ")))
+    return F.xxhash64(_plain(line))
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
@@ -40,17 +40,21 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
 
 def recurring_forms(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(form, template): the forms that belong to a recurring template; template is null where the form itself recurs."""
-    lines = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("line"))
-    lines = lines.withColumn("tokens", _tokens(F.col("line"))).filter(F.size("tokens") >= min_tokens)
-    lines = lines.select("doc", "tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64(F.array_join("tokens", " ")).alias("form"))
+    # the forms are made inside the array, so that each is made once, whatever reads it later
+    plain = F.array_distinct(F.transform(_lines(F.col("text")), _plain))
+    lines = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc"), F.explode(plain).alias("plain"))
+    size = F.length("plain") - F.length(F.replace(F.col("plain"), F.lit(" "), F.lit(""))) + 1
+    lines = lines.filter((F.col("plain") != "") & (size >= min_tokens))
+    lines = lines.select("doc", "plain", F.xxhash64(size, F.substring_index("plain", " ", LEADING)).alias("leaf"), F.xxhash64("plain").alias("form"))
     seen = stored(lines.select("leaf", "form", "doc").distinct(), "forms")
     forms = seen.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("docs"))
     own = forms.filter(F.col("docs") >= min_docs).select("form", F.lit(None).cast("array<string>").alias("template"))
 
     leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("docs").alias("total")).filter((F.col("forms") > 1) & (F.col("total") >= min_docs))
     leaves = stored(leaves.select("leaf", "total"), "leaves")
-    met = lines.join(_small(leaves.select("leaf"), broadcast_rows), "leaf").groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"))
-    met = stored(met.join(forms, ["leaf", "form"]), "met")
+    met = lines.join(_small(leaves.select("leaf"), broadcast_rows), "leaf").groupBy("leaf", "form").agg(F.first("plain").alias("plain"))
+    met = met.join(forms, ["leaf", "form"]).select("leaf", "form", F.split("plain", " ").alias("tokens"), "docs")
+    met = stored(met, "met")
     places = met.select("leaf", "docs", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
     modal = places.groupBy("leaf", "place").agg(F.max(F.struct("docs", "token")).alias("top")).join(leaves, "leaf")
     modal = modal.withColumn("token", F.when(2 * F.col("top.docs") >= F.col("total"), F.col("top.token")))
