@@ -85,7 +85,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         found = hits if found is None else found.unionByName(hits)
     # all windows of a document in one row: it has no more of them than words times item sizes
     windows = found.distinct().groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("len", "width", "start")).alias("windows"))
-    cut = texts.join(windows, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "words", F.explode("windows").alias("w"))
+    # texts travel, not their words: these are made again after the join, for the documents that have windows
+    cut = docs.select("doc_id", "text").join(windows, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", _words(F.col("text")).alias("words"), "windows")
+    cut = cut.select("doc_id", "words", F.explode("windows").alias("w"))
     cut = cut.select("doc_id", "w.len", "w.width", "w.start", F.slice("words", F.col("w.start"), F.col("w.len")).alias("words"))
     cut = cut.withColumn("shingles", _numbered(_shingles(F.col("words"), F.col("width")))).withColumn("print", simhash(F.col("words"))).drop("words")
     cut = stored(cut, "windows")
