@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm import text as T
-from annalist.llm.shared import few_at_once, fold, stored
+from annalist.llm.shared import few_at_once, fold, lean, stored
 
 DEPTH = 5
 #: Entries of a table that is sent to the tasks, at most.
@@ -91,7 +91,7 @@ def _counter(make):
             u, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], names=["key", "n"])
 
-    return run
+    return lean(run)
 
 
 def _word_keys(texts: list[bytes]) -> np.ndarray:
@@ -314,14 +314,14 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 owner = np.repeat(np.arange(n), n_code)
                 at = gram_at.find(code)
                 hit = at >= 0
-                lp = np.bincount(owner[hit], weights=gram_lp[at[hit]], minlength=n) if len(gram_lp) else np.zeros(n)
+                lp = np.bincount(owner[hit], weights=gram_lp[at[hit]], minlength=n).astype(float)
                 gk, gn = rare(code[~hit], owner[~hit], n)
                 words, first = T.keyed_words(texts[a:b])
                 words = np.concatenate([words.view(np.int64), np.full(n, END, np.int64)])
                 owner = np.concatenate([np.repeat(np.arange(n), np.diff(first)), np.arange(n)])
                 at = word_at.find(words)
                 hit = at >= 0
-                base = np.bincount(owner[hit], weights=np.log10(word_n[at[hit]] + 0.5), minlength=n) if len(word_n) else np.zeros(n)
+                base = np.bincount(owner[hit], weights=np.log10(word_n[at[hit]] + 0.5), minlength=n).astype(float)
                 wk, wn = rare(words[~hit], owner[~hit], n)
                 arrays = [
                     part.column("doc_id").slice(a, n), pa.array(row + np.arange(n)), pa.array(np.diff(first) + 1), pa.array(np.bincount(owner[hit], minlength=n).astype(np.int64)),
@@ -331,7 +331,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_tokens", "known", "n_bytes", "base", "lp", "wk", "wn", "gk", "gn"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(docs.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, n_bytes long, base double, lp double, wk array<long>, wn array<long>, gk array<long>, gn array<long>"), "scored")
+    rows = stored(docs.mapInArrow(lean(run), f"doc_id {kind}, row long, n_tokens long, known long, n_bytes long, base double, lp double, wk array<long>, wn array<long>, gk array<long>, gn array<long>"), "scored")
     spread = lambda keys, counts: rows.select("row", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(counts).alias("times"))).alias("x")).select("row", "x.key", "x.times")
     rare_words = spread("wk", "wn").join(words_n, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rare_words = rare_words.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("more_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))

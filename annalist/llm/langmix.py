@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm import text as T
-from annalist.llm.shared import few_at_once, fold
+from annalist.llm.shared import few_at_once, fold, lean
 
 #: Trigrams are hashed to so many buckets: with MAX_LANGS languages the model has at most 64 MB.
 BUCKETS, MAX_LANGS = 1 << 16, 256
@@ -58,7 +58,7 @@ class LanguageModel:
         sizes = np.diff(first)
         full = np.flatnonzero(sizes > 0)
         shares, posterior = np.full((n, n_lang), 1 / max(1, n_lang)), np.full((n, n_lang), 1 / max(1, n_lang))
-        if not len(full):
+        if not len(full) or not n_lang:
             return shares, posterior
         like = np.add.reduceat(self.logs[buckets], words, axis=0).astype(np.float64)
         at = first[:-1][full]
@@ -135,7 +135,7 @@ def fit(docs: DataFrame) -> LanguageModel:
     known = few_at_once(docs).filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0)).select("lang", "text")
     if known.select("lang").distinct().count() > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    total = known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = known.mapInArrow(lean(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, np.ndarray] = {}
     for lang, part in ((x, total.filter(pc.equal(total.column("lang"), x))) for x in pc.unique(total.column("lang")).to_pylist()):
         counts[lang] = np.zeros(BUCKETS)
@@ -177,4 +177,4 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     rows = few_at_once(docs).select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, langs array<string>, shares array<double>")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double, langs array<string>, shares array<double>")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.shared import few_at_once
+from annalist.llm.shared import few_at_once, lean
 
 #: Element names of HTML.
 RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|math|canvas|audio|video"
@@ -221,4 +221,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
             settle(len(window) - 1)
             yield batch()
 
-    return laid.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_shared long")
+    return laid.mapInArrow(lean(run), f"page_id {kind}, url string, text string, n_chars long, n_shared long")

@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.shared import few_at_once, stored
+from annalist.llm.shared import few_at_once, lean, stored
 
 MARK = "▁"
 #: Characters to stand for U+2581 while the library encodes; one that the text lacks is taken.
@@ -303,17 +303,20 @@ def _long_ids(giants: DataFrame, model, chunk: int) -> DataFrame:
     return traced.groupBy("key").agg(F.flatten(ordered).alias("ids"))
 
 
-def encode(docs: DataFrame, model_path: str, chunk: int = 32_768) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, chunk: int = 32_768, verify: str | None = None) -> DataFrame:
     """Add ``ids`` (array of int) to every row of ``docs``, from its column text.
 
+    ``verify``: a column to add that says whether decoding the ids gives the text again (null counts as empty).
+
     Null and empty texts have no ids. Texts of more than ``chunk`` characters take the parallel scan; equal ones are encoded
-    once. All other columns are kept (an older ``ids`` is replaced); repeated rows stay; an empty table gives an empty result.
+    once. All other columns are kept (older columns of the new names are replaced); repeated rows stay; an empty table gives an
+    empty result.
     """
     if chunk < 64:
         raise ValueError("a chunk has 64 characters at least")
     model = load_model(docs.sparkSession, model_path)
-    docs = few_at_once(docs.drop("ids"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids array<int>"
+    docs = few_at_once(docs.drop("ids", *([verify] if verify else [])))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids array<int>" + (f", `{verify}` boolean" if verify else "")
 
     def whole(parts):
         pieces = _pieces(model)
@@ -321,14 +324,22 @@ def encode(docs: DataFrame, model_path: str, chunk: int = 32_768) -> DataFrame:
             sizes = pc.fill_null(pc.binary_length(part.column("text")), 0).to_pylist()
             for a, b in _slices(sizes):
                 texts = [t or "" for t in part.column("text").slice(a, b - a).to_pylist()]
-                yield _with(part, a, b, "ids", pieces.encode_documents(texts))
+                ids = pieces.encode_documents(texts)
+                out = _with(part, a, b, "ids", ids)
+                if verify:
+                    same = pa.array([x == t for x, t in zip(pieces.decode_documents(ids), texts, strict=True)], pa.bool_())
+                    out = _with(out, 0, b - a, verify, same)
+                yield out
 
     is_giant = F.coalesce(F.length("text") > chunk, F.lit(False))
-    small = docs.filter(~is_giant).mapInArrow(whole, schema)
+    small = docs.filter(~is_giant).mapInArrow(lean(whole), schema)
     giants = docs.filter(is_giant).withColumn("__key", F.sha2("text", 256))
     distinct = giants.groupBy(F.col("__key").alias("key")).agg(F.first("text").alias("text"))
     ids = _long_ids(distinct, model, chunk).withColumnRenamed("key", "__key")
-    return small.unionByName(giants.join(ids, "__key").select(*docs.columns, "ids"))
+    long = giants.join(ids, "__key").select(*docs.columns, "ids")
+    if verify:
+        long = decode(long, model_path, "__decoded").select(*docs.columns, "ids", (F.col("__decoded") == F.col("text")).alias(verify))
+    return small.unionByName(long)
 
 
 def decode(encoded: DataFrame, model_path: str, to: str = "decoded") -> DataFrame:
@@ -344,4 +355,4 @@ def decode(encoded: DataFrame, model_path: str, to: str = "decoded") -> DataFram
             for a, b in _slices([4 * n for n in sizes]):
                 yield _with(part, a, b, to, pa.array(pieces.decode_documents(part.column("ids").slice(a, b - a)), pa.string()))
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lean(run), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm import text as T
-from annalist.llm.shared import few_at_once, fold, stored
+from annalist.llm.shared import few_at_once, fold, lean, stored
 
 #: Where the measures of a text are cut. Shares are of bytes, letters, words, shingles or lines.
 EDGES: dict[str, list[float]] = {
@@ -127,7 +127,7 @@ def _text_cells(part: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
     sizes = pc.fill_null(pc.binary_length(pc.cast(part.column("text"), pa.binary())), 0).to_pylist()
     a = total = 0
     for i, size in enumerate([*sizes, 0]):
-        if i == len(sizes) or (i > a and total + size > 1 << 21):
+        if i == len(sizes) or (i > a and total + size > 1 << 20):
             if i > a:
                 yield a, i, cells([x or b"" for x in pc.cast(part.column("text").slice(a, i - a), pa.binary()).to_pylist()])
             a, total = i, 0
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, ridge: f
             for a, b, grid in _text_cells(part):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array([g.tobytes() for g in grid], pa.binary())], names=["doc_id", "cell"])
 
-    rows = few_at_once(docs).filter(fold(F.col("doc_id")) != 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, cell binary")
+    rows = few_at_once(docs).filter(fold(F.col("doc_id")) != 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, cell binary")
     marked = rows.join(trusted, F.col("doc_id") == F.col("id"), "left")
     counted = marked.groupBy("cell").agg(
         F.count(F.lit(1)).alias("u"),
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, ridge: f
             kept = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(flat[kept])], names=["k", "x"])
 
-        return {r[0]: r[1] for r in counted.mapInArrow(part_sums, "k long, x double").groupBy("k").agg(F.sum("x")).collect()}
+        return {r[0]: r[1] for r in counted.mapInArrow(lean(part_sums), "k long, x double").groupBy("k").agg(F.sum("x")).collect()}
 
     def unpack(found: dict[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = np.zeros(WIDTH + WIDTH * WIDTH + 2)
@@ -243,4 +243,4 @@ def score(docs: DataFrame, model: QualityModel, to: str = "score") -> DataFrame:
                 arrays = [part.column(c).slice(a, b - a) for c in part.schema.names]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(model.scores(grid))], names=[*part.schema.names, to])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -43,13 +43,8 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decode(pieces.encode(docs, model_path), model_path)
-    return out.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-        "ids",
-    )
+    out = pieces.encode(docs, model_path, verify="round_trip")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm import text as T
 from annalist.llm.components import connected_components
-from annalist.llm.shared import few_at_once, stored
+from annalist.llm.shared import few_at_once, lean, stored
 
 BASE, RATE, LAST = 1.001, 20.0, 2**16 - 2
 ROWS = 4
@@ -108,7 +108,7 @@ def _sketcher(m: int):
                     schema=schema,
                 )
 
-    return run, "doc_id long, n long, cid long, check long, sketch binary"
+    return lean(run), "doc_id long, n long, cid long, check long, sketch binary"
 
 
 def _bander(m: int):
@@ -128,7 +128,7 @@ def _bander(m: int):
             copies = np.repeat(part.column("copies").to_numpy(), n_bands)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cid), pa.array(copies)], names=["band", "cid", "copies"])
 
-    return run, "band long, cid long, copies long"
+    return lean(run), "band long, cid long, copies long"
 
 
 def _estimator(m: int, percent: int):
@@ -141,7 +141,7 @@ def _estimator(m: int, percent: int):
             keep = may_reach((a > b).sum(axis=1), (a < b).sum(axis=1), m, n_a, n_b, percent)
             yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    return run, "a long, b long"
+    return lean(run), "a long, b long"
 
 
 def _set_maker(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def _verifier(percent: int):
                 keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    return run, "a long, b long"
+    return lean(run), "a long, b long"
 
 
 def _common(sets: list[np.ndarray], n_left: int, width: int = 4096) -> np.ndarray:
@@ -278,7 +278,7 @@ def near_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     families = stored(families, "families")
 
     wanted = families.select("cid").join(classes.select("cid", F.col("rep").alias("doc_id")), "cid")
-    sets = source.join(wanted.hint("shuffle_hash"), "doc_id").select("cid", "text").mapInArrow(_set_maker, "cid long, n long, shingles binary")
+    sets = source.join(wanted.hint("shuffle_hash"), "doc_id").select("cid", "text").mapInArrow(lean(_set_maker), "cid long, n long, shingles binary")
     sets = stored(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
 
     side = lambda x, cols: [F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols]]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +47,7 @@ def fold(doc_id: Column) -> Column:
 
 
 #: Rows of whole texts that travel to Python at once, at most.
-TEXTS_AT_ONCE = 500
+TEXTS_AT_ONCE = 200
 
 
 def few_at_once(df: DataFrame) -> DataFrame:
@@ -57,3 +60,18 @@ def few_at_once(df: DataFrame) -> DataFrame:
     if now <= 0 or now > TEXTS_AT_ONCE:
         df.sparkSession.conf.set(key, str(TEXTS_AT_ONCE))
     return df
+
+
+def lean(function):
+    """A mapInArrow function that gives its memory back to the system when a task ends, as workers wait for others."""
+
+    @functools.wraps(function)
+    def run(parts):
+        yield from function(parts)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # not this C library
+
+    return run

@@ -25,8 +25,8 @@ def _lines(text: Column) -> Column:
 
 
 def _plain(line: Column) -> Column:
-    """A line's form: digits masked, tokens with one space between."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0"), r"[ \t\r\f\x0B]+", " "))
+    """A line's form: digits masked, tokens with one space between. Single spaces are not matched, as they stay."""
+    return F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0"), r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "))
 
 
 def _form(line: Column) -> Column:

@@ -58,7 +58,7 @@ def word_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64) * _ODD[5])
 
 
-def batches(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def batches(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of at most ``limit`` bytes each (or one text)."""
     first = size = 0
     for i, t in enumerate(texts):
