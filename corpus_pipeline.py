@@ -48,9 +48,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether decoding these gives the text again."""
-    out = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL, to="__decoded")
-    same = (F.col("__decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
-    return out.select(*docs.drop("ids").columns, "ids", same)
+    return pieces.encode(docs, PIECE_MODEL, verify="round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
