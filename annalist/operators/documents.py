@@ -17,9 +17,9 @@ BLOCKS = tuple((k, 15 * k) for k in range(4))
 def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, simhash): 60 bits, each set where more than half of the words have it; null without words.
 
-    Words are counted into 60 sums in one grouping, before the shuffle.
+    Words are counted into 60 sums in one grouping, before the shuffle. Their bits are made inside the array, once each.
     """
-    tokens = docs.select(key, F.explode_outer(X.words(F.col(text))).alias("w")).select(key, X.token_bits(F.col("w")).alias("h"))
+    tokens = docs.select(key, F.explode_outer(F.transform(X.words(F.col(text)), X.token_bits)).alias("h"))
     bit = lambda k: F.shiftright("h", k).bitwiseAND(F.lit(1).cast("long"))
     sums = tokens.groupBy(key).agg(F.count("h").alias("n"), *[F.sum(bit(k)).alias(f"b{k}") for k in range(60)])
     value = sum((F.when(2 * F.col(f"b{k}") > F.col("n"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(1, 60)), F.when(2 * F.col("b0") > F.col("n"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
