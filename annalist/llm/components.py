@@ -10,13 +10,13 @@ from annalist.llm.shared import stored
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")  # so that a hub's rows can be split
     return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
+    low = stored(down.groupBy("a").agg(F.min("b").alias("m")), "low")
     moved = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select("a", F.col("m").alias("b")))
 
@@ -28,7 +28,8 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node that occurs in ``links`` (a, b: long); root is the smallest node that it reaches.
 
-    Every step is a grouping and a join on narrow rows; the driver sees two numbers a round. Rounds grow with the logarithm of
+    Every step is a grouping, whose minima are written, and a plain join with them, which Spark splits where a hub has too many
+    rows. The driver sees two numbers a round. Rounds grow with the logarithm of
     the longest path. Loops and repeated links do no harm; an empty table gives an empty result.
     """
     edges = stored(links.select("a", "b").filter("a <> b").distinct(), "links")

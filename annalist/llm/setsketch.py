@@ -292,7 +292,7 @@ def near_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     parts = stored(connected_components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp")), "parts")
     least = parts.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = parts.join(least, "comp").select("cid", "component_id")
-    by_class = classes.join(named, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
+    by_class = stored(classes.join(named, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id")), "named")
     return (
         rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
         .join(by_class, "cid", "left")
