@@ -46,6 +46,7 @@ def recurring_forms(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_
     size = F.length("plain") - F.length(F.replace(F.col("plain"), F.lit(" "), F.lit(""))) + 1
     lines = lines.filter((F.col("plain") != "") & (size >= min_tokens))
     lines = lines.select("doc", "plain", F.xxhash64(size, F.substring_index("plain", " ", LEADING)).alias("leaf"), F.xxhash64("plain").alias("form"))
+    lines = stored(lines, "lines")  # so that the forms are made once; most readers take the keys only
     seen = stored(lines.select("leaf", "form", "doc").distinct(), "forms")
     forms = seen.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("docs"))
     own = forms.filter(F.col("docs") >= min_docs).select("form", F.lit(None).cast("array<string>").alias("template"))
@@ -59,6 +60,7 @@ def recurring_forms(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_
     modal = places.groupBy("leaf", "place").agg(F.max(F.struct("docs", "token")).alias("top")).join(leaves, "leaf")
     modal = modal.withColumn("token", F.when(2 * F.col("top.docs") >= F.col("total"), F.col("top.token")))
     template = modal.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("template"))
+    template = stored(template, "templates")  # so that the rows of a large leaf can be split in the join
     same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
     instances = met.join(template, "leaf").filter(same / F.size("tokens") >= alike).select("leaf", "form", "template")
     instances = stored(instances, "instances")
