@@ -4,25 +4,27 @@
    asides, forms, scripts, styles; class, id and role names of adverts, notices, comments, ...) is left out.
 2. Pages are laid out in the order of host and URL path, and each is paired with the neighbour of its host whose path has more
    in common with its own. The lines of the two are aligned by a longest common subsequence, and shared lines are deleted.
-3. A pair in which the shared lines hold half of the page's text or more is a pair of copies and says nothing about the frame
-   of the page; the other neighbour is asked, and then nothing is deleted.
+3. Pages with the same lines are copies: the nearest page that is no copy is asked, however long the run of copies and
+   wherever a task ends. Where the shared lines hold half of a page's text or more, the neighbour on the other side is asked;
+   where they do so on both sides, what both share is the frame.
 4. Lines in an element that HTML marks as the article (article, main) are not deleted for being shared: passages recur from
    article to article, and they are text. Where a page has such an element with text, the article is what it holds.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from bisect import bisect_left
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.shared import few_at_once, lean
+from annalist.llm.shared import few_at_once, lean, stored
 
 #: Element names of HTML.
 RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|math|canvas|audio|video"
@@ -149,76 +151,150 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
+def _article(page: str) -> list[tuple[str, bool]]:
+    """The lines of a page; of one with text in an article element, the lines of the article."""
+    lines = lines_of(page or "")
+    return [x for x in lines if x[1]] if any(article for _, article in lines) else lines
+
+
 class _Page:
-    def __init__(self, page_id, url, host, path, text):
-        self.page_id, self.url, self.host, self.path = page_id, url, host, path
-        self.lines = lines_of(text or "")
-        if any(article for _, article in self.lines):
-            self.lines = [x for x in self.lines if x[1]]
-        self.texts = [t for t, _ in self.lines]
+    """A page as the keys of its lines."""
+
+    def __init__(self, key, host, path, listing, keys, sizes, guest):
+        self.key, self.host, self.path, self.listing, self.guest = key, host, path, listing, guest
+        self.keys, self.sizes = keys, sizes
 
 
-def _main_text(page: _Page, neighbours: list[_Page]) -> tuple[str, int]:
-    """The text that is left, and how many lines were found to be shared."""
-    size = sum(map(len, page.texts))
+def _shared(page: _Page, neighbours: list[_Page]) -> list[int]:
+    """The places of the lines of a page that are shared with its nearest page."""
+    half = sum(page.sizes)
+    both: set[int] | None = None
     for other in sorted(neighbours, key=lambda p: -_alike(page.path, p.path)):
-        shared = common_lines(page.texts, other.texts)
-        if 2 * sum(len(page.texts[i]) for i in shared) < size:
-            return "\n".join(t for i, (t, article) in enumerate(page.lines) if article or i not in shared), len(shared)
-    return "\n".join(page.texts), 0
+        shared = common_lines(page.keys, other.keys)
+        if 2 * sum(page.sizes[i] for i in shared) < half:
+            return sorted(shared)
+        both = shared if both is None else both & shared
+    return sorted(both or ())
+
+
+def _measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the lines of pages; equal lists of lines have equal listings."""
+    for part in parts:
+        rows = [[t for t, _ in _article(x)] for x in part.column("html").to_pylist()]
+        keys = [[_key(t) for t in row] for row in rows]
+        made = [pa.array([_key("\n".join(row)) for row in rows], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([[len(t) for t in row] for row in rows], pa.list_(pa.int32()))]
+        names = ["k1", "k2", "host", "path"]
+        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made], names=[*names, "listing", "keys", "sizes"])
+
+
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _differ(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared lines of pages that come in the order of part, host and path. A run of copies waits for the page after it."""
+    run: list[_Page] = []
+    before: _Page | None = None
+    now = None
+    out: list[tuple] = []
+
+    def settle(after: _Page | None) -> None:
+        for page in run:
+            if not page.guest:
+                out.append((*page.key, _shared(page, [p for p in (before, after) if p is not None and p.host == page.host])))
+
+    def batch() -> pa.RecordBatch:
+        k1, k2, shared = zip(*out, strict=True)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], names=["a1", "a2", "shared"])
+
+    for part in parts:
+        for number, guest, k1, k2, *rest in zip(*(part.column(c).to_pylist() for c in ("part", "guest", "k1", "k2", "host", "path", "listing", "keys", "sizes")), strict=True):
+            page = _Page((k1, k2), *rest, guest)
+            if number != now:
+                settle(None)
+                run, before, now = [], None, number
+            elif (run[-1].host, run[-1].listing) != (page.host, page.listing):
+                settle(page)
+                run, before = [], run[-1]
+            if run:  # copies hold one list of keys
+                page.keys, page.sizes = run[0].keys, run[0].sizes
+            run.append(page)
+        if out:
+            yield batch()
+    settle(None)
+    if out:
+        yield batch()
+
+
+def _guests(ends: list) -> list[tuple]:
+    """(part, k1, k2): the pages of other parts that a part asks: the nearest ones beyond its ends that are no copies of them."""
+    found = []
+    kind = lambda x: (x["host"], x["listing"])
+    for step, end, next_, beyond in ((-1, "first", "last", "other_last"), (1, "last", "first", "other_first")):
+        for k, row in enumerate(ends):
+            j = k + step
+            while 0 <= j < len(ends):
+                page = ends[j][next_]
+                if kind(page) == kind(row[end]):
+                    page = ends[j][beyond]
+                    if page is None:  # a part of copies only
+                        j += step
+                        continue
+                if page["host"] == row[end]["host"]:
+                    found.append((row["part"], page["k1"], page["k2"]))
+                break
+    return found
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) and n_shared (lines that a page shares with the one it is paired with) for
     every row of ``pages`` (page_id, url, html).
 
-    Null and empty html give an empty text. A null url is a page of the empty host. Repeated pages are each other's neighbours
-    and, as copies, delete nothing. Pages are ordered by ranges of (host, path, page_id), so a host of any size is many tasks
-    that hold three pages at a time; the first and the last page of a task have one neighbour. Other columns are ignored; an
-    empty table gives an empty result. Whole pages of any length are read.
+    Null and empty html give an empty text. A null url is a page of the empty host. Repeated pages are copies of one another
+    and have the text of one. Keys of lines are laid out by ranges of (host, path), so a host of any size is many tasks; the
+    pages that tasks ask beyond their ends are sent to them, and two rows of keys a task go to the driver to find these. The
+    text of a page does not depend on the number of tasks. Pages of unmarked text that have all but a few lines in common count
+    as pages of one frame. A run of copies is held by its task as keys. Other columns are ignored; an empty table gives an
+    empty result. Whole pages of any length are read.
     """
+    spark = pages.sparkSession
     url = F.coalesce("url", F.lit(""))
     laid = few_at_once(pages).select(
+        F.xxhash64(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url").alias("k1"),
+        F.xxhash64(F.coalesce("html", F.lit(""))).alias("k2"),
         "page_id",
         "url",
         F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
         "html",
     )
-    laid = laid.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    kind = pages.schema["page_id"].dataType.simpleString()
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: deque[_Page] = deque()
-        out: list[tuple] = []
-        id_type = None
+    order = ["host", "path", "k1", "k2"]
+    lines = laid.select(*order, "html").mapInArrow(lean(_measure), "k1 long, k2 long, host string, path string, listing long, keys array<long>, sizes array<int>")
+    lines = stored(lines.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).dropDuplicates(["part", *order]), "page-lines")
 
-        def settle(at: int) -> None:
-            page = window[at]
-            near = [window[k] for k in (at - 1, at + 1) if 0 <= k < len(window) and window[k].host == page.host]
-            text, shared = _main_text(page, near)
-            out.append((page.page_id, page.url, text, len(text), shared))
+    row = F.struct(*order, "listing")
+    ends = lines.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    unlike = lambda end: (F.col("host") != F.col(f"{end}.host")) | (F.col("listing") != F.col(f"{end}.listing"))
+    others = lines.join(F.broadcast(ends), "part").groupBy("part", "first", "last").agg(F.min(F.when(unlike("first"), row)).alias("other_first"), F.max(F.when(unlike("last"), row)).alias("other_last"))
+    ends = sorted(others.collect(), key=lambda r: r["part"])
+    guests = spark.createDataFrame(_guests(ends), "to int, k1 long, k2 long").distinct()
+    sent = lines.join(F.broadcast(guests), ["k1", "k2"]).withColumn("part", F.col("to")).drop("to").withColumn("guest", F.lit(True))
+    met = lines.withColumn("guest", F.lit(False)).unionByName(sent)
+    met = met.repartition(max(len(ends), 1), "part").sortWithinPartitions("part", *order)
+    answers = met.mapInArrow(lean(_differ), "a1 long, a2 long, shared array<int>")
 
-        def batch() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True))
-            types = (id_type, pa.string(), pa.string(), pa.int64(), pa.int64())
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "url", "text", "n_chars", "n_shared"])
-            out.clear()
-            return made
+    kind = pages.schema["page_id"].dataType.simpleString()
 
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            id_type = part.schema.field("page_id").type
-            for row in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "host", "path", "html")), strict=True):
-                window.append(_Page(*row))
-                if len(window) == 2:
-                    settle(0)
-                elif len(window) == 3:
-                    settle(1)
-                    window.popleft()
-            if out:
-                yield batch()
-        if window:
-            settle(len(window) - 1)
-            yield batch()
+            texts, counts = [], []
+            for page, shared in zip(part.column("html").to_pylist(), part.column("shared").to_pylist(), strict=True):
+                gone = set(shared or ())
+                texts.append("\n".join(t for i, (t, article) in enumerate(_article(page)) if article or i not in gone))
+                counts.append(len(gone))
+            made = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *made], names=["page_id", "url", "text", "n_chars", "n_shared"])
 
-    return laid.mapInArrow(lean(run), f"page_id {kind}, url string, text string, n_chars long, n_shared long")
+    rows = laid.join(answers, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")), "left").select("page_id", "url", "html", "shared")
+    return rows.mapInArrow(lean(cut), f"page_id {kind}, url string, text string, n_chars long, n_shared long")

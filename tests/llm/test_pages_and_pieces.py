@@ -134,3 +134,21 @@ def test_extraction_of_the_table(spark, sf):
     known = [r for r in rows if r.doc in docs]
     assert len(known) > 10 and all(r.text.split("\n")[1:] == docs[r.doc] for r in known)
     assert all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_short_articles_lose_a_long_frame_wherever_tasks_end(spark):
+    frame = "".join(f"<div>Entry {k} of the long menu of this site</div>" for k in range(20))
+    page = lambda k: f"<body>{frame}<p>own {k}</p><div>All rights reserved</div>"
+    rows = [(k, f"http://h.example/{k:03}", page(k)) for k in range(9)]
+    rows += [(100 + k, f"http://h.example/004/{k:02}", page(4)) for k in range(12)]  # a run of copies
+    rows += [(200, "http://g.example/1", page(1)), (201, "http://g.example/2", page(2)), (202, None, None)]
+    wanted = {i: f"own {4 if i >= 100 else i}" for i, _, _ in rows if i < 200} | {200: "own 1", 201: "own 2", 202: ""}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that tasks stay as small as they are dealt
+        for n in ("1", "3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.page_id: r.text for r in pagediff.main_texts(spark.createDataFrame(rows, PAGES)).collect()} == wanted
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
