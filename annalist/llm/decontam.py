@@ -4,8 +4,11 @@ Texts are words: runs of letters and digits, lower-cased. For each benchmark ite
 are compared with it:
 
 1. Seeds: a window that shares no shingle with an item has similarity 0, so only windows laid where a shingle of an item
-   occurs are made (its place in the document less its place in the item). Nothing is lost by this. Shingles are joined by
-   their 64-bit keys; the benchmark's side is broadcast only while it has at most ``broadcast_seeds`` rows.
+   occurs are made (its place in the document less its place in the item), and the windows between two such starts of an
+   item where its parts may stand in another order. Of N shingles, a window at the threshold t shares 2tN / (1 + t) at least,
+   so there are as many hits, and the nearest starts around it are at most 2N / (1 + t) apart; a window with all starts on
+   one side is no better than the nearest of them. Nothing is lost by this. Shingles are joined by their 64-bit keys; the
+   benchmark's side is broadcast only while it has at most ``broadcast_seeds`` rows.
 2. A window gets a 64-bit SimHash of its words. Fingerprints are cut in ``radius + 1`` blocks; two within ``radius`` bits of
    one another agree in one block at least, so an equi-join on (item size, block, value) finds every pair within the radius.
 3. Candidates are verified exactly: multiplicity-weighted Jaccard similarity of the 5-word shingles of window and item.
@@ -58,8 +61,8 @@ def _blocks(fingerprint: Column, radius: int) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 15, broadcast_seeds: int = 1_000_000) -> DataFrame:
     """The benchmark items (item_id, text) that the documents (doc_id, text) contain.
 
-    Returns a row for each pair: doc_id, item_id, similarity, start_word (where the best window starts, from 1; the earliest of
-    equal ones), n_words (of the item). An item of fewer than five words is one shingle. A document shorter than an item is one
+    Returns a row for each pair: doc_id, item_id, similarity, start_word (where the best window starts, from 1; of
+    equal ones, the earliest of those laid at a shingle), n_words (of the item). An item of fewer than five words is one shingle. A document shorter than an item is one
     window. Null and empty texts, and items without a word, match nothing. Repeated documents or items give one row for each
     pair of ids (the best one). A null doc_id is an id like any other. Other columns are ignored; empty tables give an empty
     result. Whole texts of any length are searched.
@@ -68,7 +71,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     items = items.withColumn("len", F.size("words")).withColumn("width", F.least("len", F.lit(WIDTH)))
     items = items.withColumn("shingles", _shingles(F.col("words"), F.col("width"))).withColumn("item_print", simhash(F.col("words")))
     items = stored(items, "items")
-    seeds = items.select("width", "len", F.posexplode("shingles").alias("offset", "shingle")).distinct()
+    seeds = items.select("width", "len", F.xxhash64("words").alias("item"), F.posexplode("shingles").alias("offset", "shingle")).distinct()
     widths = [r[0] for r in items.select("width").distinct().collect()]  # five numbers at most
     if seeds.count() <= broadcast_seeds:
         seeds = F.broadcast(seeds)
@@ -80,14 +83,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         keys = texts.select("doc_id", F.size("words").alias("size"), F.posexplode(_shingles(F.col("words"), F.lit(width))).alias("at", "shingle"))
         hits = keys.join(seeds.filter(F.col("width") == width), "shingle")
         place = F.greatest(F.lit(1), F.least(F.col("at") - F.col("offset") + 1, F.col("size") - F.col("len") + 1))
-        hits = hits.select("doc_id", "len", F.lit(width).alias("width"), place.alias("start"))
+        hits = hits.select("doc_id", "item", "len", F.lit(width).alias("width"), "at", place.alias("start"))
         found = hits if found is None else found.unionByName(hits)
+    runs = found.groupBy("doc_id", "item", "len", "width").agg(F.sort_array(F.collect_set("start")).alias("starts"), F.size(F.collect_set("at")).alias("hits"))
+    size = F.col("len") - F.col("width") + 1
+    inside = lambda x, y: F.when((y - x > 1) & (y - x <= 2 * size / (1 + threshold) + 1e-6), F.sequence(x + 1, y - 1)).otherwise(F.array().cast("array<int>"))
+    between = F.flatten(F.zip_with(F.slice("starts", F.lit(1), F.size("starts") - 1), F.slice("starts", F.lit(2), F.size("starts") - 1), inside))
+    between = F.when(F.col("hits") + 1e-6 >= 2 * threshold * size / (1 + threshold), between).otherwise(F.array().cast("array<int>"))
+    laid = lambda starts, seeded: F.transform(starts, lambda x: F.struct(x.alias("start"), F.lit(seeded).alias("seeded")))
+    runs = runs.select("doc_id", "len", "width", F.explode(F.concat(laid(F.col("starts"), 1), laid(between, 0))).alias("s"))
+    runs = runs.groupBy("doc_id", "len", "width", "s.start").agg(F.max("s.seeded").alias("seeded"))
     # all windows of a document in one row: it has no more of them than words times item sizes
-    windows = found.distinct().groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("len", "width", "start")).alias("windows"))
+    windows = runs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("len", "width", "start", "seeded")).alias("windows"))
     # texts travel, not their words: these are made again after the join, for the documents that have windows
     cut = docs.select("doc_id", "text").join(windows, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", _words(F.col("text")).alias("words"), "windows")
     cut = cut.select("doc_id", "words", F.explode("windows").alias("w"))
-    cut = cut.select("doc_id", "w.len", "w.width", "w.start", F.slice("words", F.col("w.start"), F.col("w.len")).alias("words"))
+    cut = cut.select("doc_id", "w.len", "w.width", "w.start", "w.seeded", F.slice("words", F.col("w.start"), F.col("w.len")).alias("words"))
     cut = cut.withColumn("shingles", _numbered(_shingles(F.col("words"), F.col("width")))).withColumn("print", simhash(F.col("words"))).drop("words")
     cut = stored(cut, "windows")
 
@@ -98,8 +109,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     near = near.select(F.col("doc_id").alias("id"), F.col("len").alias("len_"), F.col("start").alias("start_"), F.col("print").alias("print_"), "item_id", "item_print")
     sets = items.select("item_id", "item_print", _numbered(F.col("shingles")).alias("item_shingles"), F.col("len").alias("n_words"))
     on = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("len") == F.col("len_")) & (F.col("start") == F.col("start_")) & (F.col("print") == F.col("print_"))
-    pairs = cut.join(near, on).select("doc_id", "item_id", "item_print", "start", "shingles").join(sets, ["item_id", "item_print"])
+    pairs = cut.join(near, on).select("doc_id", "item_id", "item_print", "start", "seeded", "shingles").join(sets, ["item_id", "item_print"])
     common = F.size(F.array_intersect("shingles", "item_shingles"))
     pairs = pairs.withColumn("similarity", common / (F.size("shingles") + F.size("item_shingles") - common)).filter(F.col("similarity") >= threshold)
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "n_words")).alias("best"))
+    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "seeded", (-F.col("start")).alias("before"), "n_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.before")).cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words"))

@@ -109,3 +109,12 @@ def test_ties_and_repeated_turns_have_one_order(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a")]
     texts = {chat.format_chats(spark.createDataFrame(x, TURNS)).first().formatted for x in (rows, rows[::-1])}
     assert len(texts) == 1
+
+
+def test_parts_of_an_item_in_another_order_are_found(spark):
+    a, b = ([f"{x}{k}" for k in range(50)] for x in "ab")
+    other = [f"o{k}" for k in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(other[:100] + b + a + other[100:])), (2, " ".join(other[:100] + b[:20] + a[:20] + other[100:]))], DOCS)
+    bench = spark.createDataFrame([(10, " ".join(a + b))], "item_id long, text string")
+    found = [(r.doc_id, r.item_id, round(r.similarity, 3), r.start_word) for r in decontam.contaminated(docs, bench).collect()]
+    assert found == [(1, 10, round(92 / 100, 3), 101)]
