@@ -62,16 +62,25 @@ def span_verification(spark, sf_dir):
     return D.verify_spans(_evidence(spark, sf_dir), sources).select("source_id", "char_start", "char_end", "verified")
 
 
+#: Short passages that are broadcast, at most.
+SHORT_PASSAGES = 10_000
+
+
 def passage_spans(spark, sf_dir):
     """Where benchmark passages stand in documents, code points from 0.
 
-    Their first three words and those of every place in a document meet by an equi-join; the whole passage is compared then.
+    Words 2 to 4 of a passage, which its own white space bounds, and those of every place in a document meet by an equi-join;
+    the whole passage is compared then. Passages of fewer than five words are compared with every document, broadcast only
+    while there are at most ``SHORT_PASSAGES`` of them.
     """
-    head = lambda c: F.regexp_extract(c, r"^(\S+\s+\S+\s+\S+)", 1)
-    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.xxhash64(F.regexp_replace(head(F.col("text")), r"\s+", " ")).alias("head")).filter(F.length("passage") > 0)
+    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("p")).filter(F.length("passage") > 0)
+    short = passages.filter(F.size("p") < 5).select("item_id", "passage")
+    passages = passages.filter(F.size("p") >= 5).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("p", 2, 3), " ")).alias("head"))
     words = F.split("text", r"\s+")
     starts = _docs(spark, sf_dir).filter(F.length("text") > 0).select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(3)), " "))))).alias("head"))
-    meet = starts.join(passages.select("item_id", "passage", "head"), "head").select("doc_id", "item_id", "passage").distinct()
+    meet = starts.join(passages.select("item_id", "passage", "head"), "head").select("doc_id", "item_id", "passage")
+    short = F.broadcast(short) if short.count() <= SHORT_PASSAGES else short
+    meet = meet.unionByName(_docs(spark, sf_dir).join(short, F.expr("instr(text, passage) > 0")).select("doc_id", "item_id", "passage")).distinct()
     found = meet.join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id").withColumn("at", F.expr("instr(text, passage)"))
     return found.filter("at > 0").select("doc_id", "item_id", (F.col("at") - 1).cast("long").alias("char_start"), (F.col("at") - 1 + F.length("passage")).cast("long").alias("char_end"))
 
