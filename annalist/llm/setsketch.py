@@ -87,7 +87,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _sketcher(m: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("text_key", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -104,11 +104,11 @@ def _sketcher(m: int):
                     for k in range(2):
                         keys[k, full] = T.mix(np.add.reduceat(T.mix(sets ^ _A[k]), at) + n[full].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array([s.tobytes() for s in sketch], pa.binary())],
+                    [part.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array([s.tobytes() for s in sketch], pa.binary()), part.column("text_key").slice(a, b - a)],
                     schema=schema,
                 )
 
-    return lean(run), "doc_id long, n long, cid long, check long, sketch binary"
+    return lean(run), "doc_id long, n long, cid long, check long, sketch binary, text_key long"
 
 
 def _bander(m: int):
@@ -256,19 +256,20 @@ def _residual_links(families: DataFrame, links: DataFrame, sets: DataFrame, perc
     return rows.groupBy("family", "left", "kind", "at").applyInArrow(_block_linker(percent), "a long, b long")
 
 
-def near_components(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_components(docs: DataFrame, percent: int = 80, text_key: bool = False) -> DataFrame:
     """Group the rows of ``docs`` (doc_id long, text) whose shingle sets reach a Jaccard similarity of ``percent`` / 100.
 
     Returns a row for each row: doc_id, n_shingles, component_id (smallest doc_id that can be reached over links), kept
     (doc_id = component_id). Words: runs of anything but 0x20 and 0x09-0x0D, A-Z lower-cased. A text of one to four words is
     one shingle; a null or empty text has no shingle, no link and itself as component. Equal texts and repeated rows are one
-    class. Rows that share a doc_id are rows of their own; a null doc_id never names a component that has another id. Other
-    columns are ignored; an empty table gives an empty result. Whole texts are used, of any length.
+    class. Rows that share a doc_id are rows of their own; a null doc_id never names a component that has another id, and of a
+    component of null ids only, the rows of one class are kept. With ``text_key``, the column text_key (xxhash64 of the text)
+    tells rows that share a doc_id apart. Other columns are ignored; an empty table gives an empty result. Whole texts are used, of any length.
     """
     m = ROWS * bands_for(percent)
-    source = few_at_once(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = few_at_once(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     rows = stored(source.mapInArrow(*_sketcher(m)), "sketches")
-    classes = rows.filter("n > 0").groupBy("cid", "check", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
+    classes = rows.filter("n > 0").groupBy("cid", "check", "n").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("rep_key"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
     bands = classes.select("cid", "copies", "sketch").mapInArrow(*_bander(m))
     heads = bands.groupBy("band").agg(F.max(F.struct("copies", "cid")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -277,8 +278,11 @@ def near_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     families = connected_components(stars).select(F.col("node").alias("cid"), F.col("root").alias("family"))
     families = stored(families, "families")
 
-    wanted = families.select("cid").join(classes.select("cid", F.col("rep").alias("doc_id")), "cid")
-    sets = source.join(wanted.hint("shuffle_hash"), "doc_id").select("cid", "text").mapInArrow(lean(_set_maker), "cid long, n long, shingles binary")
+    wanted = families.select("cid").join(classes.select("cid", F.col("rep").alias("doc_id"), "rep_key"), "cid")
+    sets = source.join(wanted.filter("doc_id IS NOT NULL").drop("rep_key").hint("shuffle_hash"), "doc_id").select("cid", "text")
+    # a class of null ids only has its text by the key of one of its texts
+    nameless = source.filter("doc_id IS NULL").join(wanted.filter("doc_id IS NULL").select("cid", F.col("rep_key").alias("text_key")), "text_key").select("cid", "text")
+    sets = sets.unionByName(nameless).mapInArrow(lean(_set_maker), "cid long, n long, shingles binary")
     sets = stored(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
 
     side = lambda x, cols: [F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols]]
@@ -290,12 +294,14 @@ def near_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = verified.unionByName(_residual_links(families, verified, sets, percent))
 
     parts = stored(connected_components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp")), "parts")
-    least = parts.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = parts.join(least, "comp").select("cid", "component_id")
-    by_class = stored(classes.join(named, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id")), "named")
-    return (
-        rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
+    least = parts.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("component_id"), F.min("cid").alias("first"))
+    named = parts.join(least, "comp").select("cid", "component_id", "first")
+    by_class = classes.join(named, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"), (F.col("cid") == F.coalesce("first", "cid")).alias("leads"))
+    by_class = stored(by_class, "named")
+    found = (
+        rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"), "text_key")
         .join(by_class, "cid", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "leads", "text_key")
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | F.coalesce("leads", F.lit(True))))
     )
+    return found.select("doc_id", "n_shingles", "component_id", "kept", *(["text_key"] if text_key else []))

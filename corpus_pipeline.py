@@ -5,8 +5,8 @@ docs. The first four return the columns of documents, fewer rows; the last adds
 text and passes all others on.
 
 Rows that share a doc_id are told apart by their texts in the first two stages. Later a document is its doc_id: near dedup
-keeps all rows of an id that it keeps, and decontamination drops all rows of an id that it drops. A null doc_id is an id like
-any other. Every stage takes an empty table.
+keeps all rows of an id that it keeps, and decontamination drops all rows of an id that it drops. A row without doc_id is its
+text there. Every stage takes an empty table.
 """
 
 from __future__ import annotations
@@ -36,14 +36,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose 5-word shingles are linked by a similarity of 0.8 or more: the smallest doc_id."""
-    kept = setsketch.near_components(docs, percent=80).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    kept = setsketch.near_components(docs, percent=80, text_key=True).filter("kept")
+    kept = kept.select(F.col("doc_id").alias("__id"), F.when(F.col("doc_id").isNull(), F.col("text_key")).alias("__key")).distinct()
+    key = F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"]))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & key.eqNullSafe(F.col("__key")), "left_semi")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark (similarity 0.8 or more)."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    name = F.coalesce(F.concat(F.lit("id "), docs["doc_id"].cast("string")), F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+    found = decontam.contaminated(docs.select(name.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(found, name == F.col("__id"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

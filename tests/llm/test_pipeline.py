@@ -42,3 +42,19 @@ def test_stages_take_nulls_repeats_and_nothing(spark, sf, name):
     kept = out.collect()
     assert 0 < len(kept) <= len(rows) and {r.score for r in kept} == {7}
     assert stage(spark, docs.filter("false"), sf).count() == 0
+
+
+def test_rows_without_an_id_are_their_texts(spark, sf):
+    from annalist.llm import setsketch
+
+    words = lambda x: [f"{x}{k}" for k in range(200)]
+    near = lambda x, end: " ".join([*words(x)[:-1], end])
+    rows = [(5, near("a", "x")), (None, near("a", "y")), (None, near("b", "x")), (None, near("b", "y")), (None, near("c", "x"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.component_id, r.kept) for r in setsketch.near_components(docs).collect()]
+    assert sorted(found, key=str) == sorted([(5, 5, True), (None, 5, False), (None, None, True), (None, None, False), (None, None, True)], key=str)
+    kept = [r.text for r in cp.drop_near_copies(spark, docs, sf).collect()]
+    assert len(kept) == 3 and near("a", "x") in kept and near("c", "x") in kept
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(None, leak), (None, near("c", "x")), (1, near("b", "x")), (2, leak), (None, None)], "doc_id long, text string")
+    assert {r.text for r in cp.drop_leaks(spark, docs, sf).collect()} == {near("c", "x"), near("b", "x"), None}
