@@ -1,14 +1,17 @@
-"""Main text of web pages: blocks of text, and nearest-URL page differencing.
+"""Main text of web pages: nearest-URL page differencing over blocks of text.
 
-1. A page becomes lines, one for each block of text. What HTML itself marks as no article (navigation, headers, footers,
-   asides, forms, scripts, styles; class, id and role names of adverts, notices, comments, ...) is left out.
+1. A page becomes lines, one for each block of text, those of menus and other frames included. Only what is never text (scripts,
+   styles, the head, hidden elements) is left out.
 2. Pages are laid out in the order of host and URL path, and each is paired with the neighbour of its host whose path has more
-   in common with its own. The lines of the two are aligned by a longest common subsequence, and shared lines are deleted.
-3. Pages with the same lines are copies: the nearest page that is no copy is asked, however long the run of copies and
+   in common with its own. The lines of the two are aligned by a longest common subsequence, and shared lines are deleted: that
+   takes the menus, notices, adverts and footers of a site, whatever their markup.
+3. Pages with the same text are copies: the nearest page that is no copy is asked, however long the run of copies and
    wherever a task ends. Where the shared lines hold half of a page's text or more, the neighbour on the other side is asked;
    where they do so on both sides, what both share is the frame.
-4. Lines in an element that HTML marks as the article (article, main) are not deleted for being shared: passages recur from
-   article to article, and they are text. Where a page has such an element with text, the article is what it holds.
+4. Markup then decides what a pair cannot tell. A line that no neighbour shares goes if HTML itself marks it as no article
+   (nav, header, footer, aside, form, ...) or a whole token of its class, id or role does (``HINTS``): comments and adverts of one
+   page alone, and hosts with one page. Where a page has an article or main element with text, the lines outside of it go too.
+   A shared line within article or main stays: passages recur from article to article, and they are text.
 """
 
 from __future__ import annotations
@@ -28,90 +31,99 @@ from annalist.llm.shared import few_at_once, lean, stored
 
 #: Element names of HTML.
 RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|math|canvas|audio|video"
-OUTSIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "label"}
+OUTSIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset"}
 ARTICLE = {"article", "main"}
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id and role names that mark what is not the article.
+#: Elements whose id says what they hold; that of a heading or a paragraph is the anchor of a link.
+BOXES = set("aside center dialog dir div dl figure form iframe menu nav ol section span table td ul".split())
+#: Whole tokens of class, id and role names that mark what is not the article.
 HINTS = set(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup "
-    "modal overlay newsletter subscribe subscription signup login sidebar rail menu nav navbar navigation navigations breadcrumb breadcrumbs topbar toolbar "
-    "masthead header footer foot copyright comment comments commentlist disqus respond reply replies discussion share sharing social related recommended "
-    "recommendations widget search pagination pager skip contentinfo complementary form dialog".split()
+    "ad ads advert adverts advertisement advertising adsense ad-slot ad-banner sponsor sponsored promo promotion banner cookie cookies cookie-notice cookie-banner "
+    "cookie-bar cookie-consent consent gdpr notice notices alert popup modal overlay newsletter newsletter-signup subscribe subscription signup login sidebar rail "
+    "menu main-menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar masthead header site-header page-header footer site-footer page-footer copyright "
+    "comment comments comment-list comments-area user-comments reader-comments commentlist disqus disqus_thread respond reply replies discussion share sharing "
+    "share-buttons share-bar social social-links social-share related related-posts related-articles recommended recommendations widget search search-form "
+    "pagination pager skip skip-link contentinfo complementary form dialog".split()
 )
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-_MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_WORD = re.compile(r"[A-Za-z]+")
+_MARK = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+#: Where a line lies: within an article element, in no element that says, or in one that is no article.
+IN_ARTICLE, PLAIN, OUT = 2, 1, 0
 
 
-def _marked(attributes: str) -> bool:
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(w.lower() in HINTS for m in _MARK.finditer(attributes) for w in _WORD.findall(m[2] or m[3] or m[4] or ""))
+def _marked(name: str, attributes: str) -> bool:
+    for m in _MARK.finditer(attributes):
+        if (m[1].lower() != "id" or name in BOXES) and not HINTS.isdisjoint((m[2] or m[3] or m[4] or "").lower().split()):
+            return True
+    return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """The blocks of text of a page in order, each with whether an article element holds it."""
-    out: list[tuple[str, bool]] = []
-    held: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements that leave text out or are articles (True), and their depth
+def blocks_of(page: str) -> list[tuple[str, int]]:
+    """All blocks of text of a page in order, each with where it lies. Hidden elements and the head have none."""
+    out: list[tuple[str, int]] = []
+    held: dict[bool, list[str]] = {False: [], True: []}  # text of the block, and what lies outside of the article within it
+    stack: list[tuple[str, str, int]] = []  # open elements that say something (unseen, outside, article), and their depth
     depth: dict[str, int] = defaultdict(int)  # open elements of the names on the stack
-    outside = inside = 0
+    now = {"unseen": 0, "outside": 0, "article": 0}
 
     def flush() -> None:
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            held.clear()
+        for outside, parts in held.items():
+            text = " ".join(html.unescape("".join(parts)).split())
+            parts.clear()
             if text:
-                out.append((text, inside > 0))
+                out.append((text, OUT if outside else IN_ARTICLE if now["article"] else PLAIN))
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not outside:
-            held.append(page[at : m.start()])
+        if m.start() > at and not now["unseen"]:
+            held[now["outside"] > 0].append(page[at : m.start()])
         at = m.end()
-        if m[1]:
-            continue
         if not m[3]:
             continue
         name = m[3].lower()
         if name in BLOCKS:
             flush()
-        elif name == "br" and not outside:
-            held.append(" ")
+        elif name == "br":
+            held[now["outside"] > 0].append(" ")
         if m[2]:
             if depth[name]:
                 depth[name] -= 1
                 if stack and stack[-1][0] == name and stack[-1][2] == depth[name]:
-                    _, article, _ = stack.pop()
-                    inside -= article
-                    outside -= not article
+                    now[stack.pop()[1]] -= 1
             continue
         if name in VOID or m[4].endswith("/"):
             continue
-        leaves = name in OUTSIDE or (name not in ("html", "body", "article", "main") and _marked(m[4]))
-        if leaves or name in ARTICLE:
-            flush()
-            stack.append((name, not leaves, depth[name]))
-            inside += not leaves
-            outside += leaves
-        if leaves or name in ARTICLE or depth[name] or any(s[0] == name for s in stack):
+        kind = None
+        if name == "head" or (m[4] and _HIDDEN.search(m[4])):
+            kind = "unseen"
+        elif name in OUTSIDE or (m[4] and name not in ("html", "body", "article", "main") and _marked(name, m[4])):
+            kind = "outside"
+        elif name in ARTICLE:
+            kind = "article"
+        if kind:
+            stack.append((name, kind, depth[name]))
+            now[kind] += 1
+        if kind or depth[name]:
             depth[name] += 1
-    if at < len(page) and not outside:
-        held.append(page[at:])
+    if at < len(page) and not now["unseen"]:
+        held[now["outside"] > 0].append(page[at:])
     flush()
     return out
 
 
+def lines_of(page: str) -> list[tuple[str, bool]]:
+    """The blocks of text that markup does not put outside of the article, each with whether an article element holds it."""
+    return [(text, where == IN_ARTICLE) for text, where in blocks_of(page) if where != OUT]
+
+
 def common_lines(a: list[str], b: list[str]) -> set[int]:
     """Places in ``a`` of the lines of a longest common subsequence of the two."""
     lo = 0
@@ -151,10 +163,17 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
-def _article(page: str) -> list[tuple[str, bool]]:
-    """The lines of a page; of one with text in an article element, the lines of the article."""
-    lines = lines_of(page or "")
-    return [x for x in lines if x[1]] if any(article for _, article in lines) else lines
+def _may_stay(blocks: list[tuple[str, int]]) -> list[bool]:
+    """What markup leaves of the blocks of a page: its article elements, or all that lies in no element that is no article."""
+    floor = IN_ARTICLE if any(where == IN_ARTICLE for _, where in blocks) else PLAIN
+    return [where >= floor for _, where in blocks]
+
+
+def text_of(blocks: list[tuple[str, int]], shared: set[int]) -> tuple[str, int, int]:
+    """The main text, and how many lines differencing deleted and how many more markup did."""
+    gone = {i for i in shared if blocks[i][1] != IN_ARTICLE}
+    left = [text for i, ((text, _), stays) in enumerate(zip(blocks, _may_stay(blocks), strict=True)) if stays and i not in gone]
+    return "\n".join(left), len(gone), len(blocks) - len(gone) - len(left)
 
 
 class _Page:
@@ -178,11 +197,16 @@ def _shared(page: _Page, neighbours: list[_Page]) -> list[int]:
 
 
 def _measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of the lines of pages; equal lists of lines have equal listings."""
+    """Keys of all lines of pages, and the sizes of those that differencing alone may delete; copies have equal listings."""
     for part in parts:
-        rows = [[t for t, _ in _article(x)] for x in part.column("html").to_pylist()]
-        keys = [[_key(t) for t in row] for row in rows]
-        made = [pa.array([_key("\n".join(row)) for row in rows], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([[len(t) for t in row] for row in rows], pa.list_(pa.int32()))]
+        listings, keys, sizes = [], [], []
+        for page in part.column("html").to_pylist():
+            blocks = blocks_of(page or "")
+            stays = _may_stay(blocks)
+            listings.append(_key("\n".join(text for (text, _), s in zip(blocks, stays, strict=True) if s)))
+            keys.append([_key(text) for text, _ in blocks])
+            sizes.append([len(text) if s else 0 for (text, _), s in zip(blocks, stays, strict=True)])
+        made = [pa.array(listings, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
         names = ["k1", "k2", "host", "path"]
         yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made], names=[*names, "listing", "keys", "sizes"])
 
@@ -217,7 +241,7 @@ def _differ(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif (run[-1].host, run[-1].listing) != (page.host, page.listing):
                 settle(page)
                 run, before = [], run[-1]
-            if run:  # copies hold one list of keys
+            if run and page.keys == run[0].keys:  # copies hold one list of keys
                 page.keys, page.sizes = run[0].keys, run[0].sizes
             run.append(page)
         if out:
@@ -248,8 +272,8 @@ def _guests(ends: list) -> list[tuple]:
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points) and n_shared (lines that a page shares with the one it is paired with) for
-    every row of ``pages`` (page_id, url, html).
+    """page_id, url, text, n_chars (code points), n_shared (lines that differencing deleted) and n_marked (lines that markup
+    deleted of the others) for every row of ``pages`` (page_id, url, html).
 
     Null and empty html give an empty text. A null url is a page of the empty host. Repeated pages are copies of one another
     and have the text of one. Keys of lines are laid out by ranges of (host, path), so a host of any size is many tasks; the
@@ -288,13 +312,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts, counts = [], []
-            for page, shared in zip(part.column("html").to_pylist(), part.column("shared").to_pylist(), strict=True):
-                gone = set(shared or ())
-                texts.append("\n".join(t for i, (t, article) in enumerate(_article(page)) if article or i not in gone))
-                counts.append(len(gone))
-            made = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *made], names=["page_id", "url", "text", "n_chars", "n_shared"])
+            found = [text_of(blocks_of(page or ""), set(shared or ())) for page, shared in zip(part.column("html").to_pylist(), part.column("shared").to_pylist(), strict=True)]
+            texts, shared, marked = zip(*found, strict=True) if found else ((), (), ())
+            made = [pa.array(texts, pa.string()), *[pa.array(x, pa.int64()) for x in (map(len, texts), shared, marked)]]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *made], names=["page_id", "url", "text", "n_chars", "n_shared", "n_marked"])
 
     rows = laid.join(answers, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")), "left").select("page_id", "url", "html", "shared")
-    return rows.mapInArrow(lean(cut), f"page_id {kind}, url string, text string, n_chars long, n_shared long")
+    return rows.mapInArrow(lean(cut), f"page_id {kind}, url string, text string, n_chars long, n_shared long, n_marked long")

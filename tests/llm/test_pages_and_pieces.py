@@ -152,3 +152,86 @@ def test_short_articles_lose_a_long_frame_wherever_tasks_end(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def brute_texts(rows):
+    """Nearest-URL differencing in plain loops: the page before and the page after of the host that are no copies."""
+    made = {i: pagediff.blocks_of(h or "") for i, _, h in rows}
+    stays = {i: pagediff._may_stay(b) for i, b in made.items()}
+    main = {i: [t for (t, _), s in zip(b, stays[i], strict=True) if s] for i, b in made.items()}
+    split = {i: (u or "").split("://")[-1].partition("/") for i, u, _ in rows}
+    order = sorted(made, key=lambda i: (split[i][0], "/" + split[i][2]))
+    out = {}
+    for at, i in enumerate(order):
+        around = []
+        for way in (range(at - 1, -1, -1), range(at + 1, len(order))):
+            j = next((order[k] for k in way if split[order[k]][0] != split[i][0] or main[order[k]] != main[i]), None)
+            if j is not None and split[j][0] == split[i][0]:
+                around.append(j)
+        alike = lambda j: pagediff._alike(split[i][2], split[j][2])
+        lines, found, both = [t for t, _ in made[i]], None, None
+        for j in sorted(around, key=lambda j: -alike(j)):
+            shared = pagediff.common_lines(lines, [t for t, _ in made[j]])
+            assert len(shared) == brute_common(lines, [t for t, _ in made[j]])
+            if 2 * sum(len(lines[k]) for k in shared if stays[i][k]) < sum(map(len, main[i])):
+                found = shared
+                break
+            both = shared if both is None else both & shared
+        out[i] = pagediff.text_of(made[i], found if found is not None else both or set())[0]
+    return out
+
+
+def frames(seed):
+    """Pages of four hosts with a frame that markup names, one that it does not, and one in part; own text, shared passages, copies."""
+    rnd = random.Random(seed)
+    say = lambda n: " ".join(rnd.choice("abcdefghijkl") * 3 for _ in range(n))
+    passages, rows = [say(30) for _ in range(3)], []
+    for host in range(4):
+        menu, notice, foot = [f"menu{host} {say(2)}" for _ in range(8)], f"notice{host} {say(6)}", f"foot{host} {say(4)}"
+        for k in range(9):
+            body = [f"title {host} {k}", say(12), *rnd.sample(passages, rnd.randint(0, 2)), say(12)]
+            text = "".join(f"<p>{x}</p>" for x in body)
+            bare = "".join(f"<div>{m}</div>" for m in menu)
+            page = [
+                f"<nav>{bare}</nav><div class='notice'>{notice}</div><article>{text}</article><div class='comments'>own comment {k}</div><footer>{foot}</footer>",
+                f"{bare}<div>{notice}</div><div>{text}</div><div>{foot}</div>",
+                f"{bare}<div>{notice}</div><article>{text}</article><div>{foot}</div>",
+                f"<nav>{bare}</nav><div>{notice}</div><div>{text}</div><div class='comments'>own comment {k}</div><div>{foot}</div>",
+            ][host]
+            rows.append((len(rows), f"http://h{host}.example/{k // 3}/{k}", page))
+            if k == 4:
+                rows += [(len(rows) + c, f"http://h{host}.example/{k // 3}/{k}-{c}", page) for c in range(5)]
+    return rows
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "31"])
+def test_differencing_equals_plain_loops_at_any_number_of_tasks(spark, partitions):
+    rows = frames(5)
+    wanted = brute_texts(rows)
+    assert all("notice" not in t and "menu" not in t and "comment" not in t and "foot" not in t for t in wanted.values())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        out = pagediff.main_texts(spark.createDataFrame(rows, PAGES).repartition(3)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.page_id: r.text for r in out} == wanted
+    assert all(r.n_shared >= 10 for r in out)  # the frame of eight entries, a notice and a foot goes by differencing
+
+
+def test_names_that_only_look_like_frames_stay():
+    kept = lambda html: [t for t, _ in pagediff.lines_of(html)]
+    assert kept('<article><p class="light-rail">The tram opened.</p><h2 id="search">Search for survivors</h2><p class="ad-1990">x</p></article>') == ["The tram opened.", "Search for survivors", "x"]
+    assert kept('<body><div class="social-policy"><p>Policy.</p></div>') == ["Policy."]
+    assert kept("<p>before <label>a label</label> after</p>") == ["before a label after"]
+    assert kept("<p>before <span class='share'>Share!</span> after</p>") == ["before after"]
+    assert kept("<div data-class='ad'>x</div><div class='box ad'>y</div>") == ["x"]
+
+
+def test_differencing_deletes_lines_of_the_table(spark, sf):
+    """The frames of the table differ from page to page of a host, but some of their lines recur."""
+    n, by_pair, by_markup = queries.op4_html_extraction(spark, sf).agg(F.count(F.lit(1)), F.count_if(F.col("n_shared") > 0), F.count_if(F.col("n_marked") > 0)).first()
+    print(f"of {n} pages, {by_pair} lose lines by differencing, {by_markup} by markup")
+    assert 0 < by_pair <= n
