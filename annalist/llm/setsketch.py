@@ -4,13 +4,15 @@
    ``LAST``, where x_i is the least of exponential variates that the shingles draw for that register. The registers of a
    union are the maxima of the registers (``merge``), and the closer two sets, the more of their registers agree.
 2. Texts with equal sets are one class from here on; a class is represented by its smallest doc_id.
-3. Bands of four register values are keys. In every band bucket, each class is paired with one leader (the class with the most
+3. Bands of eight register values are keys. In every band bucket, each class is paired with one leader (the class with the most
    copies), never with all others. Enough bands are used for a pair at the threshold to be missed with probability 1e-5.
 4. A pair whose sizes, or whose jointly estimated similarity (by likelihood over the registers), rule the threshold out is
    dropped; the likelihood has to be e^-12.5 of its best, five standard errors. All others are verified on their full sets.
-5. Classes that share buckets form a family. A family in which the verified links leave more than one component is compared
-   exactly across its components, in blocks of bounded size that hold whole sets, each block pair a task of its own; only a
-   spanning forest of the links found leaves the task. So a pair that shares a bucket is never lost, whatever its leader.
+5. A bucket whose members the verified links leave in more than one component is settled exactly: its members meet in blocks of
+   bounded size, each block pair a task of its own, first with their sketches. A pair counts in the first bucket that it shares,
+   if it lies across components and sizes and likelihood leave it room. Members with such a pair meet once more with their full
+   sets, and only a spanning forest of the links found leaves the task. So a pair that shares a bucket is never lost, whatever
+   its leader, and no pair is compared that shares none.
 6. Components of the links are found by star contraction, and every row takes the component of its class.
 """
 
@@ -30,7 +32,7 @@ from annalist.llm.components import connected_components
 from annalist.llm.shared import few_at_once, lean, stored
 
 BASE, RATE, LAST = 1.001, 20.0, 2**16 - 2
-ROWS = 4
+ROWS = 8
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, 1024, dtype=np.uint64)
@@ -111,21 +113,27 @@ def _sketcher(m: int):
     return lean(run), "doc_id long, n long, cid long, check long, sketch binary, text_key long"
 
 
+def _band_keys(sketch: np.ndarray) -> np.ndarray:
+    """The keys of the bands of each sketch."""
+    wide = sketch.astype(np.uint64).reshape(len(sketch), -1, ROWS)
+    h = np.tile(np.arange(1, wide.shape[1] + 1, dtype=np.uint64), (len(sketch), 1))
+    for r in range(ROWS):
+        h = T.mix(h * np.uint64(31) + wide[:, :, r])
+    return h
+
+
+def _sketches(column: pa.ChunkedArray | pa.Array, m: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, m)
+
+
 def _bander(m: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if not part.num_rows:
                 continue
-            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, m).astype(np.uint64)
-            n_bands = m // ROWS
-            keys = np.zeros((len(sketch), n_bands), np.uint64)
-            for k in range(n_bands):
-                h = np.full(len(sketch), k + 1, np.uint64)
-                for r in range(ROWS):
-                    h = T.mix(h * np.uint64(31) + sketch[:, ROWS * k + r])
-                keys[:, k] = h
-            cid = np.repeat(part.column("cid").to_numpy(), n_bands)
-            copies = np.repeat(part.column("copies").to_numpy(), n_bands)
+            keys = _band_keys(_sketches(part.column("sketch"), m))
+            cid = np.repeat(part.column("cid").to_numpy(), keys.shape[1])
+            copies = np.repeat(part.column("copies").to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(cid), pa.array(copies)], names=["band", "cid", "copies"])
 
     return lean(run), "band long, cid long, copies long"
@@ -136,7 +144,7 @@ def _estimator(m: int, percent: int):
         for part in parts:
             if not part.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, m) for c in ("sketch_a", "sketch_b"))
+            a, b = (_sketches(part.column(c), m) for c in ("sketch_a", "sketch_b"))
             n_a, n_b = (part.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
             keep = may_reach((a > b).sum(axis=1), (a < b).sum(axis=1), m, n_a, n_b, percent)
             yield part.select(["a", "b"]).filter(pa.array(keep))
@@ -193,15 +201,49 @@ def _common(sets: list[np.ndarray], n_left: int, width: int = 4096) -> np.ndarra
     return total.astype(np.int64)
 
 
+def _buckets(classes: DataFrame, m: int) -> DataFrame:
+    """(band, a, b): the members b of the band buckets that more than one class shares, each with the leader a of its bucket."""
+    bands = classes.select("cid", "copies", "sketch").mapInArrow(*_bander(m))
+    heads = bands.groupBy("band").agg(F.max(F.struct("copies", "cid")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return bands.join(heads, "band").select("band", F.col("head.cid").alias("a"), F.col("cid").alias("b"))
+
+
+def _sides(block: pa.Table) -> tuple[pa.Table, int]:
+    """The rows of a block pair, those of the left block first, and how many these are."""
+    right = block.column("right").to_numpy(zero_copy_only=False)
+    return block.take(pa.array(np.argsort(right, kind="stable"))).combine_chunks(), int((~right).sum())
+
+
+def _hopeful_rows(m: int, percent: int):
+    def run(block: pa.Table) -> pa.Table:
+        """The rows of a block pair that have a hopeful pair across it: in its first shared band, and of different components."""
+        block, n_left = _sides(block)
+        hope = np.zeros(block.num_rows, bool)
+        if 0 < n_left < block.num_rows:
+            sketch = _sketches(block.column("sketch"), m)
+            keys, here = _band_keys(sketch), block.column("band")[0].as_py()
+            comp, n = block.column("comp").to_numpy(), block.column("n").to_numpy().astype(float)
+            band = int(np.flatnonzero(keys[0].view(np.int64) == here)[0])
+            for i in range(n_left):
+                ahead = (comp[n_left:] != comp[i]) & (100 * np.minimum(n[i], n[n_left:]) >= percent * np.maximum(n[i], n[n_left:]))
+                ahead &= ~(keys[n_left:, :band] == keys[i, :band]).any(axis=1)
+                j = n_left + np.flatnonzero(ahead)
+                if len(j):
+                    near = may_reach((sketch[i] > sketch[j]).sum(axis=1), (sketch[i] < sketch[j]).sum(axis=1), m, np.full(len(j), n[i]), n[j], percent)
+                    hope[i] |= near.any()
+                    hope[j[near]] = True
+        kept = block.filter(pa.array(hope))
+        return kept.select(["band", "left", "kind", "at", "right", "cid", "comp"])
+
+    return run
+
+
 def _block_linker(percent: int):
     def run(block: pa.Table) -> pa.Table:
         """The links between the left and the right rows of a block pair that join different components, as a forest."""
-        block = block.combine_chunks()
-        right = block.column("right").to_numpy(zero_copy_only=False)
-        order = np.argsort(right, kind="stable")
-        block, n_left = block.take(pa.array(order)), int((~right).sum())
+        block, n_left = _sides(block)
         found: list[tuple[int, int]] = []
-        if 0 < n_left < len(order):
+        if 0 < n_left < block.num_rows:
             cid, comp, n = (block.column(c).to_numpy() for c in ("cid", "comp", "n"))
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("shingles").combine_chunks()]
             common = _common(sets, n_left)
@@ -222,24 +264,25 @@ def _block_linker(percent: int):
     return run
 
 
-def _residual_links(families: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact links across the components that the verified links leave in a family."""
-    comps = connected_components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
-    members = families.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).join(sets.select("cid", "n"), "cid")
-    by_comp = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` (band, cid, comp, n) once for each block pair in which they meet the other components of their bucket.
+
+    The largest component of a bucket is met by the rest only, and the rest by itself as well. Buckets of one component are left out.
+    """
+    by_comp = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     blocks = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
     plan = (
-        by_comp.groupBy("family")
+        by_comp.groupBy("band")
         .agg(F.max(F.struct("rows", "comp", "shingles")).alias("top"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count(F.lit(1)).alias("comps"))
         .filter("comps > 1")
         .select(
-            "family",
+            "band",
             F.col("top.comp").alias("main"),
             blocks(F.col("top.rows"), F.col("top.shingles")).alias("main_blocks"),
             blocks(F.col("rows") - F.col("top.rows"), F.col("shingles") - F.col("top.shingles")).alias("rest_blocks"),
         )
     )
-    placed = members.join(plan, "family").withColumn("is_main", F.col("comp") == F.col("main"))
+    placed = members.join(plan, "band").withColumn("is_main", F.col("comp") == F.col("main"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     pair = lambda left, kind, right, is_right: F.struct(left.alias("left"), F.lit(kind).alias("kind"), right.alias("at"), F.lit(is_right).alias("right"))
@@ -251,9 +294,19 @@ def _residual_links(families: DataFrame, links: DataFrame, sets: DataFrame, perc
             F.transform(F.filter(upto(F.col("rest_blocks")), lambda i: i <= here), lambda i: pair(i, "rest", here, True)),
         )
     )
-    rows = placed.select("family", "cid", "comp", F.explode(tasks).alias("task")).select("family", "cid", "comp", "task.*")
-    rows = rows.join(sets, "cid").select("family", "left", "kind", "at", "right", "cid", "comp", "n", "shingles")
-    return rows.groupBy("family", "left", "kind", "at").applyInArrow(_block_linker(percent), "a long, b long")
+    return placed.select("band", "cid", "comp", "n", F.explode(tasks).alias("task")).select("band", "cid", "comp", "n", "task.*")
+
+
+def _residual_links(members: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, m: int, percent: int) -> DataFrame:
+    """Exact links across the components that the verified links leave in a bucket (``members``: band, cid, n)."""
+    comps = connected_components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
+    members = members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    task = ["band", "left", "kind", "at"]
+    rows = _block_pairs(members).join(classes.select("cid", "sketch"), "cid").select(*task, "right", "cid", "comp", "n", "sketch")
+    hopeful = rows.groupBy(*task).applyInArrow(_hopeful_rows(m, percent), "band long, left int, kind string, at int, right boolean, cid long, comp long")
+    hopeful = stored(hopeful, "hopeful")
+    rows = hopeful.join(sets, "cid").select(*task, "right", "cid", "comp", "n", "shingles")
+    return rows.groupBy(*task).applyInArrow(_block_linker(percent), "a long, b long")
 
 
 def near_components(docs: DataFrame, percent: int = 80, text_key: bool = False) -> DataFrame:
@@ -271,15 +324,11 @@ def near_components(docs: DataFrame, percent: int = 80, text_key: bool = False)
     rows = stored(source.mapInArrow(*_sketcher(m)), "sketches")
     classes = rows.filter("n > 0").groupBy("cid", "check", "n").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("rep_key"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
-    bands = classes.select("cid", "copies", "sketch").mapInArrow(*_bander(m))
-    heads = bands.groupBy("band").agg(F.max(F.struct("copies", "cid")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    stars = bands.join(heads, "band").select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).filter("a <> b")
-    stars = stored(stars.distinct(), "stars")
-    families = connected_components(stars).select(F.col("node").alias("cid"), F.col("root").alias("family"))
-    families = stored(families, "families")
+    members = stored(_buckets(classes, m), "buckets")
+    stars = stored(members.select("a", "b").filter("a <> b").distinct(), "stars")
 
-    wanted = families.select("cid").join(classes.select("cid", F.col("rep").alias("doc_id"), "rep_key"), "cid")
-    sets = source.join(wanted.filter("doc_id IS NOT NULL").drop("rep_key").hint("shuffle_hash"), "doc_id").select("cid", "text")
+    wanted = members.select(F.col("b").alias("cid")).distinct().join(classes.select("cid", F.col("rep").alias("doc_id"), "rep_key"), "cid")
+    sets = source.join(wanted.filter("doc_id IS NOT NULL").drop("rep_key"), "doc_id").select("cid", "text")
     # a class of null ids only has its text by the key of one of its texts
     nameless = source.filter("doc_id IS NULL").join(wanted.filter("doc_id IS NULL").select("cid", F.col("rep_key").alias("text_key")), "text_key").select("cid", "text")
     sets = sets.unionByName(nameless).mapInArrow(lean(_set_maker), "cid long, n long, shingles binary")
@@ -291,7 +340,8 @@ def near_components(docs: DataFrame, percent: int = 80, text_key: bool = False)
     hopeful = hopeful.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").mapInArrow(*_estimator(m, percent))
     verified = hopeful.join(sets.select(*side("b", ["shingles"])), "b").join(sets.select(*side("a", ["shingles"])), "a").mapInArrow(*_verifier(percent))
     verified = stored(verified, "verified")
-    links = verified.unionByName(_residual_links(families, verified, sets, percent))
+    members = members.select("band", F.col("b").alias("cid")).join(classes.select("cid", "n"), "cid")
+    links = verified.unionByName(_residual_links(members, verified, classes, sets, m, percent))
 
     parts = stored(connected_components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp")), "parts")
     least = parts.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("component_id"), F.min("cid").alias("first"))

@@ -134,6 +134,28 @@ def test_near_components_edges(spark):
     assert setsketch.near_components(docs.filter("false")).count() == 0
 
 
+def test_a_near_copy_without_an_id_is_linked(spark):
+    base = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(5, base), (None, base + " more"), (6, "other words that are not alike at all"), (None, "x " + " ".join(f"v{k}" for k in range(90))), (None, " ".join(f"v{k}" for k in range(90)))], DOCS)
+    found = rows_of(setsketch.near_components(docs, 85).select("doc_id", "component_id", "kept"))
+    assert [r for r in found if r[0] is None].count((None, 5, False)) == 1 and (5, 5, True) in found and (6, 6, True) in found
+    assert sorted(r[2] for r in found if r[0] is None and r[1] is None) == [False, True]
+
+
+def test_boilerplate_is_not_compared_all_with_all(spark):
+    """Texts with half of their words in common and no near copy: few share a bucket, and none that share none are compared."""
+    rnd = random.Random(3)
+    common = " ".join(f"c{k}" for k in range(80))
+    m = setsketch.ROWS * setsketch.bands_for(85)
+    sizes = {}
+    for n in (300, 1200):
+        rows = [(k, common + " " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(80))) for k in range(n)]
+        sets, first = text.shingle_sets([t.encode() for _, t in rows])
+        keys = setsketch._band_keys(setsketch.registers(sets, first, m))
+        sizes[n] = sum(c for column in keys.T for c in Counter(column.tolist()).values() if c > 1) / n
+    assert sizes[300] < 3 and sizes[1200] < 8  # of 37 buckets of a text, those that others share
+
+
 def test_near_components_on_the_table(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op7_minhash_near_dedup(spark, sf).collect()}
