@@ -1,29 +1,36 @@
 """Exact dedup by an extendible-hash index kept in files that all executors share.
 
-1. Each text is lower-cased (A-Z) and keyed by 64 bits. Equal (key, text) rows are combined before and after one shuffle, so
-   bytes are compared by the grouping itself and a text copied a billion times is one row from each map task.
-2. The directory: the entries are counted by the first ``max_depth`` bits of their key. Buckets start as one; a bucket with
-   more than ``capacity`` entries is split in two by its next bit, and the directory doubles when that bit is beyond its depth.
-3. Owner tasks each take a range of buckets, chain the entries whose keys collide (different texts, one key) in the order of
-   their digests, and write them as index pages, sorted by bucket and key.
-4. Every row looks its key and digest up in the pages.
+1. Each text is lower-cased (A-Z) and keyed by 64 bits. The distinct keys are counted by their first ``max_depth`` bits.
+2. The directory: buckets start as one; a bucket with more than ``capacity`` keys is split in two by its next bit, and the
+   directory doubles when that bit is beyond its depth. A slot of the directory leads to a bucket, and a bucket is a key range.
+3. Tasks look each text's slot up, combine the equal texts that they meet, and send one entry for each to the owner of its
+   bucket. Owners walk their buckets in the order of keys. Entries with one key are chained: an entry is compared byte by byte
+   with the texts of the chain, and joins the one it equals or ends the chain. A chain says what stays of each text, and the
+   owner writes it as index pages. An owner holds the chain of one key at a time, and a text copied a billion times reaches it
+   as a few entries from each task.
+4. Every row goes through its slot and bucket to the chain of its key. Where a chain holds several texts, the digest tells which.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.shared import ascii_lower, shared_dir
+from annalist.llm.shared import ascii_lower, few_at_once, lean, stored
+
+#: Bytes of texts that a task combines at once.
+WINDOW = 16 << 20
 
 
 def directory(counts: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[tuple[int, int, int]]]:
-    """(global depth, [(slot, bucket, local depth)]) for entry counts by ``max_depth``-bit prefix.
+    """(global depth, [(slot, bucket, local depth)]) for key counts by ``max_depth``-bit prefix.
 
-    At most 2 ** max_depth slots. A bucket that is overfull at ``max_depth`` keeps its entries (an overflow page).
+    At most 2 ** max_depth slots. A bucket that is overfull at ``max_depth`` keeps its keys (an overflow page).
     """
     below = [0] * ((1 << max_depth) + 1)
     for slot in range(1 << max_depth):
@@ -45,51 +52,121 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int) -> tuple[in
     return depth, slots
 
 
-def build_index(docs: DataFrame, capacity: int = 100_000, max_depth: int = 12) -> tuple[DataFrame, DataFrame]:
-    """Write the index of ``docs`` (doc_id, text) and return its directory and its pages.
-
-    Pages: bucket, key, chain (position among the texts of one key, from 1), digest, keep_id, group_size. The driver holds at
-    most 2 ** max_depth counts and slots (4,096 by default), whatever the input.
+def _prefix(bits: int) -> Column:
+    return F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def _more(a, b):
+    """The larger of two ids; a null one loses."""
+    return b if a is None else a if b is None else max(a, b)
+
+
+def _combine(kind: pa.DataType):
+    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("norm", pa.binary()), ("keep_id", kind), ("group_size", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One entry for each text of a window of rows."""
+        held: dict[bytes, list] = {}
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(*((bucket, key, norm, keep, n) for norm, (bucket, key, keep, n) in held.items()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for part in parts:
+            columns = (part.column("bucket"), part.column("key"), pc.cast(part.column("norm"), pa.binary()), part.column("doc_id"))
+            for bucket, key, norm, doc in zip(*(c.to_pylist() for c in columns), strict=True):
+                entry = held.get(norm)
+                if entry:
+                    entry[2], entry[3] = _more(entry[2], doc), entry[3] + 1
+                else:
+                    held[norm] = [bucket, key, doc, 1]
+                    size += len(norm)
+            if size > WINDOW:
+                yield batch()
+                held.clear()
+                size = 0
+        if held:
+            yield batch()
+
+    return lean(run)
+
+
+def _own(kind: pa.DataType):
+    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("chain", pa.int32()), ("chained", pa.int32()), ("digest", pa.string()), ("keep_id", kind), ("group_size", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages of the buckets of a task, whose entries come in the order of bucket and key."""
+        at: tuple | None = None
+        chain: dict[bytes, list] = {}
+        pages: list[tuple] = []
+
+        def close() -> None:
+            by_digest = sorted(((hashlib.sha256(norm).hexdigest(), keep, n) for norm, (keep, n) in chain.items()), key=lambda x: x[0])
+            pages.extend((*at, k, len(by_digest), *x) for k, x in enumerate(by_digest, 1))
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pages, strict=True), schema, strict=True)], schema=schema)
+            pages.clear()
+            return out
+
+        for part in parts:
+            for bucket, key, norm, keep, n in zip(*(part.column(c).to_pylist() for c in ("bucket", "key", "norm", "keep_id", "group_size")), strict=True):
+                if (bucket, key) != at:
+                    if at:
+                        close()
+                    at = (bucket, key)
+                    chain = {}
+                met = chain.get(norm)  # equal hash of the text, then equal bytes
+                if met:
+                    met[0], met[1] = _more(met[0], keep), met[1] + n
+                else:
+                    chain[norm] = [keep, n]
+            if pages:
+                yield batch()
+        if at:
+            close()
+            yield batch()
+
+    return lean(run)
+
+
+def build_index(docs: DataFrame, capacity: int = 100_000, max_depth: int = 16, key: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``docs`` (doc_id, text) as (doc_id, norm, key, bucket), and the directory and pages of the index written for them.
+
+    Pages: bucket, key, chain (position among the texts of one key, from 1), chained (how many texts these are), digest, keep_id,
+    group_size. The driver holds at most 2 ** max_depth counts and slots (65,536 by default), whatever the input.
     """
-    spark: SparkSession = docs.sparkSession
-    home = f"{shared_dir(spark)}/exact-index-{uuid.uuid4().hex}"
-    entries = (
-        _keyed(docs)
-        .groupBy("key", "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("digest"), "keep_id", "group_size")
-    )
-    entries.write.parquet(f"{home}/entries")
-    entries = spark.read.schema(entries.schema).parquet(f"{home}/entries")
-    prefix = lambda bits: F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
-    counts = {r[0]: r[1] for r in entries.groupBy(prefix(max_depth)).count().collect()}
-    depth, slots = directory(counts, capacity, max_depth)
-    spark.createDataFrame(slots, "slot long, bucket int, local_depth int").coalesce(1).write.parquet(f"{home}/directory")
-    folder = spark.read.schema("slot long, bucket int, local_depth int").parquet(f"{home}/directory")
-    pages = (
-        entries.withColumn("slot", prefix(depth))
-        .join(F.broadcast(folder), "slot")  # at most 2 ** max_depth rows
-        .withColumn("chain", F.row_number().over(W.partitionBy("key").orderBy("digest")))
-        .select("bucket", "key", "chain", "digest", "keep_id", "group_size")
-    )
-    pages.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key").write.parquet(f"{home}/pages")
-    return folder, spark.read.schema(pages.schema).parquet(f"{home}/pages")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", ascii_lower(F.col("text")).alias("norm")).withColumn("key", F.xxhash64("norm"))
-
-
-def exact_duplicates(docs: DataFrame, capacity: int = 100_000, max_depth: int = 12) -> DataFrame:
+    spark = docs.sparkSession
+    keyed = few_at_once(docs).select("doc_id", ascii_lower(F.col("text")).alias("norm")).withColumn("key", key(F.col("norm")))
+    found = keyed.select("key").distinct().groupBy(_prefix(max_depth).alias("slot")).count()
+    depth, slots = directory({r[0]: r[1] for r in found.collect()}, capacity, max_depth)
+    folder = stored(spark.createDataFrame(slots, "slot long, bucket int, local_depth int").coalesce(1), "exact-directory")
+    routed = keyed.withColumn("slot", _prefix(depth)).join(F.broadcast(folder.select("slot", "bucket")), "slot")  # at most 2 ** max_depth rows
+    rows = routed.select("doc_id", "norm", "key", "bucket")
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.limit(0).select("doc_id").toArrow().schema.field(0).type
+    entries = rows.mapInArrow(_combine(kind), f"bucket int, key long, norm binary, keep_id {id_type}, group_size long")
+    owned = entries.repartition("bucket").sortWithinPartitions("bucket", "key")
+    pages = owned.mapInArrow(_own(kind), f"bucket int, key long, chain int, chained int, digest string, keep_id {id_type}, group_size long")
+    return rows, folder, stored(pages, "exact-pages")
+
+
+def exact_duplicates(docs: DataFrame, capacity: int = 100_000, max_depth: int = 16, key: Callable[[Column], Column] = F.xxhash64, broadcast_keys: int = 1_000_000) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain.
 
     Null and empty texts are one group. Of equal texts the row with the largest doc_id stays (rows that share this doc_id all
     stay: they cannot be told apart); null ids lose to any other, and a group of null ids keeps them all. Other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. ``key``: the hash of a text (long); texts that collide are told apart.
     """
-    _, pages = build_index(docs, capacity, max_depth)
-    rows = _keyed(docs).select("doc_id", "key", F.sha2("norm", 256).alias("digest"))
-    return rows.join(pages, ["key", "digest"]).select(
+    rows, _, pages = build_index(docs, capacity, max_depth, key)
+    crowded = pages.filter("chain = 2").select(F.col("key").alias("crowded"))
+    crowded = F.broadcast(crowded) if crowded.count() <= broadcast_keys else crowded
+    asked = rows.join(crowded, F.col("key") == F.col("crowded"), "left")
+    asked = asked.select("doc_id", "bucket", "key", F.when(F.col("crowded").isNotNull(), F.sha2("norm", 256)).alias("own_digest"))
+    found = asked.join(pages, ["bucket", "key"]).filter((F.col("chained") == 1) | (F.col("own_digest") == F.col("digest")))
+    return found.select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -70,6 +71,37 @@ def test_exact_dedup_edges(spark, capacity):
     assert exact_dedup.exact_duplicates(docs.filter("false")).count() == 0
 
 
+def three_keys(norm):
+    """A hash with three values that differ in their first bits: all texts collide."""
+    return F.shiftleft((F.length(norm) % 3).cast("long"), 62)
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 1000])
+def test_colliding_texts_are_chained_and_told_apart(spark, capacity):
+    rnd = random.Random(capacity)
+    rows = [(k if k % 11 else None, "".join(rnd.choice("aAbB") for _ in range(rnd.randint(0, 4)))) for k in range(300)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(t.lower(), []).append(d)
+    keep = {t: max((d for d in ids if d is not None), default=None) for t, ids in groups.items()}
+    out = exact_dedup.exact_duplicates(docs, capacity, 4, three_keys).collect()
+    wanted = Counter((d, keep[t.lower()], len(groups[t.lower()]), hashlib.sha256(t.lower().encode()).hexdigest()) for d, t in rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out) == wanted
+    assert len({r.bucket for r in out}) == {1: 3, 2: 2, 1000: 1}[capacity] and max(r.chain for r in out) > 5  # chains are long, buckets as the directory says
+
+
+def test_the_answer_goes_through_the_directory(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 40}") for k in range(200)], DOCS)
+    rows, folder, pages = exact_dedup.build_index(docs, 5, 8)
+    slots = {r.slot: r.bucket for r in folder.collect()}
+    depth = (len(slots) - 1).bit_length()
+    for r in pages.collect():
+        assert slots[(r.key & (2**64 - 1)) >> (64 - depth)] == r.bucket
+    assert max(Counter(r.bucket for r in pages.collect()).values()) <= 5 and pages.count() == 40
+    assert rows.join(pages, ["bucket", "key"]).count() == 200
+
+
 def test_word_and_shingle_keys_follow_the_definition():
     rnd = random.Random(1)
     texts = ["".join(rnd.choice("aB é\t\n\x0b\x1c x") for _ in range(rnd.randint(0, 60))) for _ in range(200)] + ["", "   ", "one"]
