@@ -29,11 +29,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.shared import few_at_once, lean, stored
+from annalist.llm.shared import few_at_once, forget, fresh, lean, stored
 
 MARK = "▁"
-#: Characters to stand for U+2581 while the library encodes; one that the text lacks is taken.
-_STAND_INS = [chr(0x10FFF0 + k) for k in range(14)] + [chr(0xFFFF0 + k) for k in range(14)]
+#: Private characters to stand for U+2581 while the library encodes; the first that the text lacks is taken.
+_STAND_INS = range(0x10FFFD, 0xF0000, -1)
 #: Fixed value: protocol-buffer bytes that, at the end of a model, set normalizer_spec.add_dummy_prefix to false.
 NO_PREFIX = b"\x1a\x02\x18\x00"
 #: Chunks whose matrices are combined in one step.
@@ -72,7 +72,7 @@ class Pieces:
         """Ids of ``text`` as it is, without the space that a document begins with."""
         if MARK not in text:
             return self.library.encode(text)
-        stand_in = next(c for c in _STAND_INS if c not in text and c not in self.ids)
+        stand_in = next(c for c in map(chr, _STAND_INS) if c not in text and c not in self.ids)
         given, wanted = ([self.bytes[b] for b in c.encode()] for c in (stand_in, MARK))
         ids, out, k = self.library.encode(text.replace(MARK, stand_in)), [], 0
         while k < len(ids):
@@ -241,8 +241,22 @@ def resolve(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
     return states[::-1]
 
 
+def _resolved(table: pa.Table, by: str, enter: int, leave: int) -> pa.Table:
+    """The states at both ends of the chunks or blocks of a table; -1 if not exactly one path leads through them."""
+    try:
+        states = resolve([_unpack(m) for m in table.column("matrix").to_pylist()], enter, leave) if enter >= 0 else None
+    except ValueError:
+        states = None
+    n = table.num_rows
+    enters, leaves = (states[:-1], states[1:]) if states else ([-1] * n, [-1] * n)
+    return pa.table({"key": table.column("key"), by: table.column(by), "enter": pa.array(enters, pa.int32()), "leave": pa.array(leaves, pa.int32())})
+
+
 def _long_ids(giants: DataFrame, model, chunk: int) -> DataFrame:
-    """(key, ids) for the texts of ``giants`` (key, text), which are distinct."""
+    """(key, ids) for the texts of ``giants`` (key, text), which are distinct.
+
+    A text through which the scan does not find one path is encoded by the model's library whole, in one task.
+    """
 
     chunk_schema = pa.schema([("key", pa.string()), ("chunk", pa.int32()), ("left", pa.string()), ("body", pa.string()), ("right", pa.string())])
 
@@ -269,14 +283,10 @@ def _long_ids(giants: DataFrame, model, chunk: int) -> DataFrame:
         return pa.table({"key": block.column("key")[:1], "block": pa.array([block.column("chunk")[0].as_py() // BLOCK], pa.int32()), "matrix": pa.array([_pack(total)], pa.binary())})
 
     def borders(blocks: pa.Table) -> pa.Table:
-        blocks = blocks.sort_by("block")
-        states = resolve([_unpack(m) for m in blocks.column("matrix").to_pylist()], 0, 0)
-        return pa.table({"key": blocks.column("key"), "block": blocks.column("block"), "enter": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32())})
+        return _resolved(blocks.sort_by("block"), "block", 0, 0)
 
     def inside(block: pa.Table) -> pa.Table:
-        block = block.sort_by("chunk")
-        states = resolve([_unpack(m) for m in block.column("matrix").to_pylist()], block.column("enter")[0].as_py(), block.column("leave")[0].as_py())
-        return pa.table({"key": block.column("key"), "chunk": block.column("chunk"), "enter": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32())})
+        return _resolved(block.sort_by("chunk"), "chunk", block.column("enter")[0].as_py(), block.column("leave")[0].as_py())
 
     def trace(parts):
         pieces = _pieces(model)
@@ -298,9 +308,19 @@ def _long_ids(giants: DataFrame, model, chunk: int) -> DataFrame:
     blocks = steps.groupBy("key", "block").applyInArrow(product, "key string, block int, matrix binary")
     ends = blocks.groupBy("key").applyInArrow(borders, "key string, block int, enter int, leave int")
     states = steps.join(ends, ["key", "block"]).groupBy("key", "block").applyInArrow(inside, "key string, chunk int, enter int, leave int")
-    traced = chunks.join(states, ["key", "chunk"]).mapInArrow(trace, "key string, chunk int, ids array<int>")
+    states = stored(states, "states")
+    lost = stored(states.filter("enter < 0").select("key").distinct(), "no-path")
+    forget(steps)
+    traced = chunks.join(states, ["key", "chunk"]).join(lost, "key", "left_anti").mapInArrow(trace, "key string, chunk int, ids array<int>")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])
-    return traced.groupBy("key").agg(F.flatten(ordered).alias("ids"))
+    found = traced.groupBy("key").agg(F.flatten(ordered).alias("ids"))
+
+    def whole(parts):
+        pieces = _pieces(model)
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(map(pieces.encode, part.column("text").to_pylist()), pa.list_(pa.int32()))], names=["key", "ids"])
+
+    return found.unionByName(giants.join(lost, "key", "left_semi").mapInArrow(whole, "key string, ids array<int>"))
 
 
 def encode(docs: DataFrame, model_path: str, chunk: int = 32_768, verify: str | None = None) -> DataFrame:
@@ -333,12 +353,13 @@ def encode(docs: DataFrame, model_path: str, chunk: int = 32_768, verify: str |
 
     is_giant = F.coalesce(F.length("text") > chunk, F.lit(False))
     small = docs.filter(~is_giant).mapInArrow(lean(whole), schema)
-    giants = docs.filter(is_giant).withColumn("__key", F.sha2("text", 256))
-    distinct = giants.groupBy(F.col("__key").alias("key")).agg(F.first("text").alias("text"))
-    ids = _long_ids(distinct, model, chunk).withColumnRenamed("key", "__key")
-    long = giants.join(ids, "__key").select(*docs.columns, "ids")
+    by, again = fresh(docs, "__key"), fresh(docs, "__decoded")
+    giants = docs.filter(is_giant).withColumn(by, F.sha2("text", 256))
+    distinct = giants.groupBy(F.col(by).alias("key")).agg(F.first("text").alias("text"))
+    ids = _long_ids(distinct, model, chunk).withColumnRenamed("key", by)
+    long = giants.join(ids, by).select(*docs.columns, "ids")
     if verify:
-        long = decode(long, model_path, "__decoded").select(*docs.columns, "ids", (F.col("__decoded") == F.col("text")).alias(verify))
+        long = decode(long, model_path, again).select(*docs.columns, "ids", (F.col(again) == F.col("text")).alias(verify))
     return small.unionByName(long)
 
 

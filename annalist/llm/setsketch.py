@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm import text as T
 from annalist.llm.components import connected_components
-from annalist.llm.shared import few_at_once, lean, stored
+from annalist.llm.shared import few_at_once, forget, lean, stored
 
 BASE, RATE, LAST = 1.001, 20.0, 2**16 - 2
 ROWS = 8
@@ -297,8 +297,9 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     return placed.select("band", "cid", "comp", "n", F.explode(tasks).alias("task")).select("band", "cid", "comp", "n", "task.*")
 
 
-def _residual_links(members: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, m: int, percent: int) -> DataFrame:
-    """Exact links across the components that the verified links leave in a bucket (``members``: band, cid, n)."""
+def _residual_links(members: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, m: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Exact links across the components that the verified links leave in a bucket (``members``: band, cid, n), and the stored
+    rows of hopeful pairs that they are made from."""
     comps = connected_components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
     members = members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     task = ["band", "left", "kind", "at"]
@@ -306,7 +307,7 @@ def _residual_links(members: DataFrame, links: DataFrame, classes: DataFrame, se
     hopeful = rows.groupBy(*task).applyInArrow(_hopeful_rows(m, percent), "band long, left int, kind string, at int, right boolean, cid long, comp long")
     hopeful = stored(hopeful, "hopeful")
     rows = hopeful.join(sets, "cid").select(*task, "right", "cid", "comp", "n", "shingles")
-    return rows.groupBy(*task).applyInArrow(_block_linker(percent), "a long, b long")
+    return rows.groupBy(*task).applyInArrow(_block_linker(percent), "a long, b long"), hopeful
 
 
 def near_components(docs: DataFrame, percent: int = 80, text_key: bool = False) -> DataFrame:
@@ -336,18 +337,19 @@ def near_components(docs: DataFrame, percent: int = 80, text_key: bool = False)
 
     side = lambda x, cols: [F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols]]
     narrow = classes.select("cid", "n", "sketch")
-    hopeful = stars.join(narrow.select(*side("a", ["n", "sketch"])), "a").join(narrow.select(*side("b", ["n", "sketch"])), "b")
-    hopeful = hopeful.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").mapInArrow(*_estimator(m, percent))
-    verified = hopeful.join(sets.select(*side("b", ["shingles"])), "b").join(sets.select(*side("a", ["shingles"])), "a").mapInArrow(*_verifier(percent))
+    likely = stars.join(narrow.select(*side("a", ["n", "sketch"])), "a").join(narrow.select(*side("b", ["n", "sketch"])), "b")
+    likely = likely.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").mapInArrow(*_estimator(m, percent))
+    verified = likely.join(sets.select(*side("b", ["shingles"])), "b").join(sets.select(*side("a", ["shingles"])), "a").mapInArrow(*_verifier(percent))
     verified = stored(verified, "verified")
-    members = members.select("band", F.col("b").alias("cid")).join(classes.select("cid", "n"), "cid")
-    links = verified.unionByName(_residual_links(members, verified, classes, sets, m, percent))
+    sized = members.select("band", F.col("b").alias("cid")).join(classes.select("cid", "n"), "cid")
+    residual, hopeful = _residual_links(sized, verified, classes, sets, m, percent)
 
-    parts = stored(connected_components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp")), "parts")
+    parts = stored(connected_components(verified.unionByName(residual)).select(F.col("node").alias("cid"), F.col("root").alias("comp")), "parts")
     least = parts.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("component_id"), F.min("cid").alias("first"))
     named = parts.join(least, "comp").select("cid", "component_id", "first")
     by_class = classes.join(named, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"), (F.col("cid") == F.coalesce("first", "cid")).alias("leads"))
     by_class = stored(by_class, "named")
+    forget(classes, members, stars, sets, verified, hopeful, parts)
     found = (
         rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"), "text_key")
         .join(by_class, "cid", "left")

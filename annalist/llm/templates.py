@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.shared import stored
+from annalist.llm.shared import forget, stored
 
 LEADING = 3
 
@@ -38,8 +38,7 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def recurring_forms(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(form, template): the forms that belong to a recurring template; template is null where the form itself recurs."""
+def _recurring(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     # the forms are made inside the array, so that each is made once, whatever reads it later
     plain = F.array_distinct(F.transform(_lines(F.col("text")), _plain))
     lines = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc"), F.explode(plain).alias("plain"))
@@ -66,22 +65,41 @@ def recurring_forms(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_
     instances = stored(instances, "instances")
     spread = seen.join(instances.select("leaf", "form"), ["leaf", "form"]).select("leaf", "doc").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs)
     general = instances.join(spread.select("leaf"), "leaf").select("form", "template")
-    return own.unionByName(general).groupBy("form").agg(F.max("template").alias("template"))
+    return own.unionByName(general).groupBy("form").agg(F.max("template").alias("template")), (lines, seen, leaves, met, template, instances)
+
+
+def recurring_forms(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(form, template): the forms that belong to a recurring template; template is null where the form itself recurs."""
+    found, steps = _recurring(docs, min_docs, alike, min_tokens, broadcast_rows)
+    found = stored(found, "recurring")
+    forget(*steps)
+    return found
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000, long_lines: int = 2_000) -> DataFrame:
     """doc_id, text without the lines of recurring templates, n_lines and n_dropped for every row of ``docs`` (doc_id, text).
 
     Lines of fewer than ``min_tokens`` tokens, empty ones among them, always stay. A null text is empty, one empty line. Whether
     a line is dropped depends on its form alone, so rows that share a doc_id and repeated rows are treated alike; a null doc_id
     is an id like any other. Ties for a constant take the larger token. Other columns are ignored; an empty table gives an
-    empty result. Whole texts of any length are read.
+    empty result. Whole texts of any length are read; the lines of one with more than ``long_lines`` are joined with the forms
+    one by one, as a look through an array of forms for each line would take the square of their number.
     """
-    forms = stored(recurring_forms(docs, min_docs, alike, min_tokens, broadcast_rows).select("form"), "recurring")
-    said = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _form))).alias("form"))
-    hits = said.join(_small(forms, broadcast_rows), "form").groupBy("id").agg(F.collect_set("form").alias("drop"))
-    rows = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    forms = recurring_forms(docs, min_docs, alike, min_tokens, broadcast_rows).select("form")
     lines = _lines(F.col("text"))
+    is_long = F.size(lines) > long_lines
+    docs = docs.select("doc_id", "text")
+    short, long = docs.filter(~is_long), docs.filter(is_long).withColumn("sha", F.sha2("text", 256))
+
+    said = short.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.transform(lines, _form))).alias("form"))
+    hits = said.join(_small(forms, broadcast_rows), "form").groupBy("id").agg(F.collect_set("form").alias("drop"))
+    rows = short.join(hits, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop", _form(x))))
     rows = rows.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-    return rows.select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))
+
+    spread = long.select("sha", "text").dropDuplicates(["sha"]).select("sha", F.posexplode(F.transform(lines, lambda x: F.struct(x.alias("line"), _form(x).alias("form")))).alias("at", "x"))
+    stay = spread.select("sha", "at", "x.line", "x.form").join(_small(forms, broadcast_rows), "form", "left_anti")
+    stay = stay.groupBy(F.col("sha").alias("of")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("left"))
+    empty = F.array().cast("array<string>")
+    long = long.join(stay, F.col("sha") == F.col("of"), "left").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce("left", empty).alias("kept"))
+    return rows.unionByName(long).select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))

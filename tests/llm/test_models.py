@@ -61,10 +61,10 @@ def test_quality_edges(spark):
 def test_quality_risk_falls_to_the_minimum(spark, sf):
     """The gradient of the unbiased risk is 0 where fitting stops, or the non-negative part is at its border."""
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = quality.fit(docs, labels, steps=40)
+    model = quality.fit(docs, labels, ridge=1e-4, steps=40)
     marked = {r.doc_id: r.quality for r in labels.collect() if part(r.doc_id) != 0}
     rows = [(r.doc_id, r.text) for r in docs.collect() if part(r.doc_id) != 0]
-    grid = quality.cells([t.encode() for _, t in rows])
+    grid = quality.cells([t.encode() for _, t in rows], np.array(model.odds))
     at = quality._columns([g.tobytes() for g in grid])
     x = np.zeros((len(rows), quality.WIDTH))
     np.put_along_axis(x, at, 1.0, axis=1)
@@ -208,3 +208,26 @@ def test_inference_equals_a_plain_loop():
     value, found = model._maximise(like, np.array([0]), np.array([len(like)]), np.ones((1, 3), bool))
     assert np.allclose(found[0], theta) and value[0] == pytest.approx(np.log((np.exp(like) * theta).sum(axis=1)).sum())
     assert pa.array([1]) is not None
+
+
+def test_the_prior_comes_from_positives_and_all_texts(spark, sf):
+    """Mixtures of two scores with a known share, and the table, whose labels of 0 are not read."""
+    rnd = np.random.default_rng(8)
+    for share in (0.3, 0.6, 0.9):
+        good, bad = (np.clip(rnd.normal(m, 60, 200_000).astype(int), 0, 799) for m in (500, 250))
+        n = int(share * 200_000)
+        u, p = np.bincount(np.append(good[:n], bad[: 200_000 - n]), minlength=800), np.bincount(rnd.permutation(good)[:20_000], minlength=800)
+        assert abs(quality.best_bin(u, p) - share) < 0.03
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    one, other = (quality.fit(docs, x) for x in (labels, labels.filter("quality = 1")))
+    assert np.allclose(one.weights, other.weights) and one.prior == other.prior
+
+
+def test_likeness_reads_trigrams():
+    texts = [b"the cat sat on the mat and the dog", b"zqx zqx zqx zqx zqx zqx zqx"]
+    grams, first = quality.trigram_counts(texts)
+    assert list(np.diff(first)) == [len(t) for t in texts]
+    count = lambda k: np.bincount(grams[first[k] : first[k + 1]], minlength=quality.BUCKETS) * 10_000
+    odds = quality.log_odds(count(0) + count(1), count(0))
+    liked = quality.measures(texts, odds)[:, -1]
+    assert liked[0] > 0.1 and liked[1] < -1

@@ -118,3 +118,10 @@ def test_parts_of_an_item_in_another_order_are_found(spark):
     bench = spark.createDataFrame([(10, " ".join(a + b))], "item_id long, text string")
     found = [(r.doc_id, r.item_id, round(r.similarity, 3), r.start_word) for r in decontam.contaminated(docs, bench).collect()]
     assert found == [(1, 10, round(92 / 100, 3), 101)]
+
+
+def test_long_texts_lose_the_same_lines(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, "one\ntwo\nthree"), (-2, "one\ntwo\nthree")], DOCS))
+    key = lambda limit: sorted((tuple(r) for r in templates.drop_recurring_lines(docs, long_lines=limit).collect()), key=str)
+    assert key(2_000) == key(2) == key(0)

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -70,6 +72,17 @@ def test_encode_and_decode_every_kind_of_text(spark, library):
     assert pieces.encode(docs.filter("false"), PATH).count() == 0
 
 
+def test_a_text_without_one_path_is_encoded_by_the_library(spark, library, monkeypatch):
+    """A scan that fails: every product of matrices is empty."""
+    text = " ".join(f"word{k}" for k in range(300))
+    docs = spark.createDataFrame([(1, text), (2, text + "\u2581"), (3, "short")], "doc_id long, text string").withColumn("__key", F.lit("theirs")).withColumn("__decoded", F.lit("also"))
+    steps = pieces._resolved(pa.table({"key": ["a"], "block": pa.array([0], pa.int32()), "matrix": [pieces._pack(np.zeros((1, 1), bool))]}), "block", 0, 0)
+    assert steps.column("enter").to_pylist() == [-1] and pieces._resolved(steps.append_column("matrix", pa.array([b""])), "block", -1, -1).column("leave").to_pylist() == [-1]
+    monkeypatch.setattr(pieces.Pieces, "transfer", lambda self, left, body, right: np.zeros((len(self.states(left, body[: self.longest])) if left else 1, len(self.states((left + body)[-self.longest :], right)) if right else 1), bool))
+    out = {r.doc_id: r for r in pieces.encode(docs, PATH, chunk=64, verify="ok").collect()}
+    assert list(out[1].ids) == library.encode(text) and all(r.ok and r["__key"] == "theirs" and r["__decoded"] == "also" for r in out.values()) and len(out) == 3
+
+
 def test_encode_the_table(spark, sf, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = queries.op5_sentencepiece(spark, sf).collect()
