@@ -10,7 +10,8 @@ are compared with it:
    one side is no better than the nearest of them. Nothing is lost by this. Shingles are joined by their 64-bit keys; the
    benchmark's side is broadcast only while it has at most ``broadcast_seeds`` rows.
 2. A window gets a 64-bit SimHash of its words. Fingerprints are cut in ``radius + 1`` blocks; two within ``radius`` bits of
-   one another agree in one block at least, so an equi-join on (item size, block, value) finds every pair within the radius.
+   one another agree in one block at least, so an equi-join on (item, block, value) finds every pair within the radius, of a
+   window and the items that it was laid for.
 3. Candidates are verified exactly: multiplicity-weighted Jaccard similarity of the 5-word shingles of window and item.
 """
 
@@ -25,13 +26,19 @@ WIDTH = 5
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    """The 64-bit keys of the words of a text."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _shingles(words: Column, width: Column) -> Column:
-    """Keys of all runs of ``width`` words (an int column), in order."""
-    last = F.size(words) - width + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
+def _shingles(words: Column, width: Column | int) -> Column:
+    """Keys of all runs of ``width`` words, in order: the hash of the keys of the words."""
+    last = F.size(words) - width
+    if isinstance(width, int):  # no slices are made; the keys are the same
+        run = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(width)])
+    else:
+        run = lambda i: F.xxhash64(F.slice(words, i + 1, width))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), run)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _numbered(shingles: Column) -> Column:
@@ -42,10 +49,9 @@ def _numbered(shingles: Column) -> Column:
 
 
 def simhash(words: Column) -> Column:
-    """64-bit SimHash of an array of words: a bit is set where more than half of the words' keys have it."""
-    keys = F.transform(words, lambda w: F.xxhash64(w))
+    """64-bit SimHash of an array of word keys: a bit is set where more than half of them have it."""
     bit = lambda h, b: F.call_function("shiftright", h, b).bitwiseAND(F.lit(1).cast("long"))
-    ones = lambda b: F.aggregate(keys, F.lit(0).cast("long"), lambda s, h: s + bit(h, b))
+    ones = lambda b: F.aggregate(words, F.lit(0).cast("long"), lambda s, h: s + bit(h, b))
     value = lambda b: F.when(ones(b) * 2 > F.size(words), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(value(b)))
 
@@ -58,7 +64,7 @@ def _blocks(fingerprint: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("block"), value(a, b).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 15, broadcast_seeds: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 19, broadcast_seeds: int = 1_000_000) -> DataFrame:
     """The benchmark items (item_id, text) that the documents (doc_id, text) contain.
 
     Returns a row for each pair: doc_id, item_id, similarity, start_word (where the best window starts, from 1; of
@@ -68,43 +74,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     result. Whole texts of any length are searched.
     """
     items = benchmark.select("item_id", _words(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
-    items = items.withColumn("len", F.size("words")).withColumn("width", F.least("len", F.lit(WIDTH)))
-    items = items.withColumn("shingles", _shingles(F.col("words"), F.col("width"))).withColumn("item_print", simhash(F.col("words")))
+    items = items.withColumn("len", F.size("words")).withColumn("width", F.least("len", F.lit(WIDTH))).withColumn("item", F.xxhash64("words"))
+    items = items.withColumn("shingles", _shingles(F.col("words"), F.col("width"))).withColumn("item_print", simhash(F.col("words"))).drop("words")
     items = stored(items, "items")
-    seeds = items.select("width", "len", F.xxhash64("words").alias("item"), F.posexplode("shingles").alias("offset", "shingle")).distinct()
-    widths = [r[0] for r in items.select("width").distinct().collect()]  # five numbers at most
+    seeds = items.select("width", "len", "item", F.posexplode("shingles").alias("offset", "shingle")).distinct()
+    widths = sorted(r[0] for r in items.select("width").distinct().collect()) or [WIDTH]  # five numbers at most
     if seeds.count() <= broadcast_seeds:
         seeds = F.broadcast(seeds)
     texts = docs.select("doc_id", _words(F.col("text")).alias("words"))
-    if not widths:
-        widths = [WIDTH]
-    found = None
-    for width in widths:
-        keys = texts.select("doc_id", F.size("words").alias("size"), F.posexplode(_shingles(F.col("words"), F.lit(width))).alias("at", "shingle"))
-        hits = keys.join(seeds.filter(F.col("width") == width), "shingle")
-        place = F.greatest(F.lit(1), F.least(F.col("at") - F.col("offset") + 1, F.col("size") - F.col("len") + 1))
-        hits = hits.select("doc_id", "item", "len", F.lit(width).alias("width"), "at", place.alias("start"))
-        found = hits if found is None else found.unionByName(hits)
+    shingles = {w: _shingles(F.col("words"), w) for w in widths}
+    if len(widths) == 1:
+        keys = texts.select("doc_id", F.size("words").alias("size"), F.lit(widths[0]).alias("width"), F.posexplode(shingles[widths[0]]).alias("at", "shingle"))
+    else:  # all widths in one pass over the texts
+        place = lambda width, found: F.transform(found, lambda x, i: F.struct(F.lit(width).alias("width"), i.alias("at"), x.alias("shingle")))
+        placed = [place(w, k) for w, k in shingles.items()]
+        keys = texts.select("doc_id", F.size("words").alias("size"), F.explode(F.concat(*placed)).alias("k")).select("doc_id", "size", "k.*")
+    hits = keys.join(seeds, ["width", "shingle"])
+    place = F.greatest(F.lit(1), F.least(F.col("at") - F.col("offset") + 1, F.col("size") - F.col("len") + 1))
+    found = hits.select("doc_id", "item", "len", "width", "at", place.alias("start"))
     runs = found.groupBy("doc_id", "item", "len", "width").agg(F.sort_array(F.collect_set("start")).alias("starts"), F.size(F.collect_set("at")).alias("hits"))
     size = F.col("len") - F.col("width") + 1
     inside = lambda x, y: F.when((y - x > 1) & (y - x <= 2 * size / (1 + threshold) + 1e-6), F.sequence(x + 1, y - 1)).otherwise(F.array().cast("array<int>"))
     between = F.flatten(F.zip_with(F.slice("starts", F.lit(1), F.size("starts") - 1), F.slice("starts", F.lit(2), F.size("starts") - 1), inside))
     between = F.when(F.col("hits") + 1e-6 >= 2 * threshold * size / (1 + threshold), between).otherwise(F.array().cast("array<int>"))
     laid = lambda starts, seeded: F.transform(starts, lambda x: F.struct(x.alias("start"), F.lit(seeded).alias("seeded")))
-    runs = runs.select("doc_id", "len", "width", F.explode(F.concat(laid(F.col("starts"), 1), laid(between, 0))).alias("s"))
-    runs = runs.groupBy("doc_id", "len", "width", "s.start").agg(F.max("s.seeded").alias("seeded"))
+    runs = runs.select("doc_id", "item", "len", "width", F.explode(F.concat(laid(F.col("starts"), 1), laid(between, 0))).alias("s"))
+    runs = runs.groupBy("doc_id", "len", "width", "s.start").agg(F.max("s.seeded").alias("seeded"), F.collect_set("item").alias("items"))
     # all windows of a document in one row: it has no more of them than words times item sizes
-    windows = runs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("len", "width", "start", "seeded")).alias("windows"))
+    windows = runs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("len", "width", "start", "seeded", "items")).alias("windows"))
     # texts travel, not their words: these are made again after the join, for the documents that have windows
     cut = docs.select("doc_id", "text").join(windows, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", _words(F.col("text")).alias("words"), "windows")
     cut = cut.select("doc_id", "words", F.explode("windows").alias("w"))
-    cut = cut.select("doc_id", "w.len", "w.width", "w.start", "w.seeded", F.slice("words", F.col("w.start"), F.col("w.len")).alias("words"))
+    cut = cut.select("doc_id", "w.len", "w.width", "w.start", "w.seeded", "w.items", F.slice("words", F.col("w.start"), F.col("w.len")).alias("words"))
     cut = cut.withColumn("shingles", _numbered(_shingles(F.col("words"), F.col("width")))).withColumn("print", simhash(F.col("words"))).drop("words")
     cut = stored(cut, "windows")
 
-    probe = cut.select("doc_id", "len", "start", "print", F.explode(_blocks(F.col("print"), radius)).alias("b")).select("doc_id", "len", "start", "print", "b.*")
-    index = items.select("item_id", "len", "item_print", F.explode(_blocks(F.col("item_print"), radius)).alias("b")).select("item_id", "len", "item_print", "b.*")
-    near = probe.join(index, ["len", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    probe = cut.select("doc_id", "len", "start", "print", F.explode("items").alias("item"), _blocks(F.col("print"), radius).alias("b"))
+    probe = probe.select("doc_id", "len", "start", "print", "item", F.explode("b").alias("b")).select("doc_id", "len", "start", "print", "item", "b.*")
+    index = items.select("item_id", "item", "item_print", F.explode(_blocks(F.col("item_print"), radius)).alias("b")).select("item_id", "item", "item_print", "b.*")
+    near = probe.join(index, ["item", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     near = near.select("doc_id", "len", "start", "print", "item_id", "item_print").distinct()
     near = near.select(F.col("doc_id").alias("id"), F.col("len").alias("len_"), F.col("start").alias("start_"), F.col("print").alias("print_"), "item_id", "item_print")
     sets = items.select("item_id", "item_print", _numbered(F.col("shingles")).alias("item_shingles"), F.col("len").alias("n_words"))

@@ -89,7 +89,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, alike: float = 0.7,
     lines = _lines(F.col("text"))
     is_long = F.size(lines) > long_lines
     docs = docs.select("doc_id", "text")
-    short, long = docs.filter(~is_long), docs.filter(is_long).withColumn("sha", F.sha2("text", 256))
+    short, long = docs.filter(~is_long), docs.filter(is_long).withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
 
     said = short.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.transform(lines, _form))).alias("form"))
     hits = said.join(_small(forms, broadcast_rows), "form").groupBy("id").agg(F.collect_set("form").alias("drop"))

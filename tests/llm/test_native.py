@@ -46,11 +46,11 @@ def test_simhash_blocks_find_all_pairs_within_the_radius(spark):
     for _ in range(200):
         a = rnd.getrandbits(63)
         b = a
-        for k in rnd.sample(range(63), rnd.randint(0, 15)):
+        for k in rnd.sample(range(63), rnd.randint(0, 19)):
             b ^= 1 << k
         rows.append((a, b))
     pairs = spark.createDataFrame(rows, "a long, b long")
-    meet = F.arrays_overlap(F.transform(decontam._blocks(F.col("a"), 15), lambda x: x.cast("string")), F.transform(decontam._blocks(F.col("b"), 15), lambda x: x.cast("string")))
+    meet = F.arrays_overlap(F.transform(decontam._blocks(F.col("a"), 19), lambda x: x.cast("string")), F.transform(decontam._blocks(F.col("b"), 19), lambda x: x.cast("string")))
     assert pairs.filter(meet).count() == 200
 
 
@@ -125,3 +125,62 @@ def test_long_texts_lose_the_same_lines(spark, sf):
     docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, "one\ntwo\nthree"), (-2, "one\ntwo\nthree")], DOCS))
     key = lambda limit: sorted((tuple(r) for r in templates.drop_recurring_lines(docs, long_lines=limit).collect()), key=str)
     assert key(2_000) == key(2) == key(0)
+
+
+def brute_leaks(docs, items, threshold=0.8):
+    """Every window of an item's size at every start of every document, by multiplicity-weighted shingle similarity."""
+    import re
+    from collections import Counter
+
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    bags = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = {}
+    for d, t in docs:
+        w = tokens(t)
+        for i, x in items:
+            v = tokens(x)
+            k = min(5, len(v))
+            if not v or len(w) < k:
+                continue
+            b = bags(v, k)
+            for start in range(max(1, len(w) - len(v) + 1)):
+                a = bags(w[start : start + len(v)], k)
+                common = sum((a & b).values())
+                s = common / (sum(a.values()) + sum(b.values()) - common)
+                if s >= threshold:
+                    out[d, i] = max(out.get((d, i), 0), round(s, 9))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_window_of_a_document_is_missed(spark, seed):
+    """Items edited at an edge, in a run, here and there, with halves exchanged, in long and short documents."""
+    import random
+
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    items = [(k, [word() for _ in range(rnd.choice([1, 3, 4, 5, 8, 22, 40, 60, 100]))]) for k in range(25)]
+    docs = []
+    for _ in range(120):
+        body = [word() for _ in range(rnd.randint(0, 150))]
+        for _ in range(rnd.randint(1, 2)):
+            x = rnd.choice(items)[1][:]
+            n = max(1, len(x) // 9)
+            how = rnd.randrange(5)
+            if how == 1:
+                x[-n:] = [word() for _ in range(n)]
+            elif how == 2:
+                at = rnd.randrange(len(x))
+                x[at : at + n] = [word() for _ in range(len(x[at : at + n]))]
+            elif how == 3:
+                for at in rnd.sample(range(len(x)), min(len(x), max(1, len(x) // 45))):
+                    x[at] = word()
+            elif how == 4:
+                x = x[len(x) // 2 :] + x[: len(x) // 2]
+            at = rnd.randint(0, len(body))
+            body[at:at] = x
+        docs.append((len(docs), " ".join(body)))
+    items = [(k, " ".join(x)) for k, x in items]
+    wanted = brute_leaks(docs, items)
+    found = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found.collect()} == wanted and len(wanted) > 30
