@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from annalist.llm.shared import ascii_lower, few_at_once, lean, stored
 
 #: Bytes of texts that a task combines at once.
-WINDOW = 16 << 20
+WINDOW = 2 << 20
 
 
 def directory(counts: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[tuple[int, int, int]]]:
@@ -131,7 +131,7 @@ def _own(kind: pa.DataType):
     return lean(run)
 
 
-def build_index(docs: DataFrame, capacity: int = 10_000, max_depth: int = 16, key: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_index(docs: DataFrame, capacity: int = 1_000, max_depth: int = 16, key: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows of ``docs`` (doc_id, text) as (doc_id, norm, key, bucket), and the directory and pages of the index written for them.
 
     Pages: bucket, key, chain (position among the texts of one key, from 1), chained (how many texts these are), digest, keep_id,
@@ -153,7 +153,7 @@ def build_index(docs: DataFrame, capacity: int = 10_000, max_depth: int = 16, ke
     return rows, folder, stored(pages, "exact-pages")
 
 
-def exact_duplicates(docs: DataFrame, capacity: int = 10_000, max_depth: int = 16, key: Callable[[Column], Column] = F.xxhash64, broadcast_keys: int = 1_000_000) -> DataFrame:
+def exact_duplicates(docs: DataFrame, capacity: int = 1_000, max_depth: int = 16, key: Callable[[Column], Column] = F.xxhash64, broadcast_keys: int = 1_000_000) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain.
 
     Null and empty texts are one group. Of equal texts the row with the largest doc_id stays (rows that share this doc_id all

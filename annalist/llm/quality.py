@@ -151,11 +151,11 @@ def _columns(cell_bytes: list[bytes]) -> np.ndarray:
 
 
 def _slices(part: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """Where a slice of about a megabyte of texts begins in a batch, and its texts."""
+    """Where a slice of about half a megabyte of texts begins in a batch, and its texts."""
     sizes = pc.fill_null(pc.binary_length(pc.cast(part.column("text"), pa.binary())), 0).to_pylist()
     a = total = 0
     for i, size in enumerate([*sizes, 0]):
-        if i == len(sizes) or (i > a and total + size > 1 << 20):
+        if i == len(sizes) or (i > a and total + size > 1 << 19):
             if i > a:
                 yield a, [x or b"" for x in pc.cast(part.column("text").slice(a, i - a), pa.binary()).to_pylist()]
             a, total = i, 0
