@@ -153,12 +153,14 @@ STOP_WORDS: dict[str, tuple[str, ...]] = {
 def detect_language(text: Column) -> Column:
     """The language with the most stop words; the first in order on a tie, null without any."""
     tokens = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " "), " ")
+    known = sorted({w for words in STOP_WORDS.values() for w in words})
 
-    def scored(place: int, lang: str) -> Column:
-        hits = F.size(F.filter(tokens, lambda w: w.isin(*STOP_WORDS[lang])))
+    def scored(found: Column, place: int, lang: str) -> Column:
+        hits = F.size(F.filter(found, lambda w: w.isin(*STOP_WORDS[lang])))
         return F.struct(hits.alias("n"), F.lit(-place).alias("place"), F.lit(lang).alias("lang"))
 
-    best = F.array_max(F.array(*[scored(k, x) for k, x in enumerate(sorted(STOP_WORDS))]))
+    # the words are bound once, as the element of an array, and the languages look at those that any of them knows
+    best = F.transform(F.array(F.filter(tokens, lambda w: w.isin(*known))), lambda found: F.array_max(F.array(*[scored(found, k, x) for k, x in enumerate(sorted(STOP_WORDS))])))[0]
     return F.when(best["n"] > 0, best["lang"])
 
 

@@ -29,9 +29,11 @@ EVENT = _schema(
     ("actor_type", _s), ("actor_id", _s), ("model_id", _s), ("prompt_version", _s), ("proposal_id", _s), ("brief_version_id", _s), ("supersedes_event_id", _s),
     ("recorded_at", _t), ("prev_hash", _s), ("hash", _s),
 )
-PROPOSAL = _schema(("id", _s), ("event_type", _s), ("payload", _s), ("evidence_ids", _strings), ("certainty", _s), ("confidence", _d), ("created_by", _s), ("created_at", _t))
+PROPOSAL = _schema(("id", _s), ("stream_type", _s), ("stream_id", _s), ("event_type", _s), ("payload", _s), ("evidence_ids", _strings), ("certainty", _s), ("confidence", _d), ("created_by", _s), ("created_at", _t))
 QUARANTINE = _schema(("id", _s), ("step", _s), ("output", _s), ("reason_code", _s), ("created_at", _t))
 MODEL_CALL = _schema(("id", _s), ("model_id", _s), ("prompt_version", _s), ("input_hash", _s), ("output", _s), ("tokens", _l), ("latency_s", _d))
+TEXT = _schema(("source_id", _s), ("text_uri", _s), ("text", _s), ("content_hash", _s))
+HEAD = _schema(("stream_type", _s), ("stream_id", _s), ("head", _l), ("hash", _s))
 SECURITY_LOG = _schema(("ts", _t), ("user_id", _s), ("action", _s), ("detail", _s))
 COLLECTOR_RUN = _schema(("source_key", _s), ("started_at", _t), ("ok", _b), ("attempts", _i), ("documents", _i))
 PERSON_KEY = _schema(("person_id", _s), ("key", T.BinaryType()))
@@ -76,6 +78,7 @@ CERTAINTIES = ("stated", "reported", "speculative")
 RETENTION = ("full", "verify_then_purge", "link_only")
 ROLES = ("viewer", "analyst", "approver", "admin")
 STREAM_TYPES = ("entity", "deal", "market", "proposal")
+ACTOR_TYPES = ("agent", "human", "system")
 
 #: Default approval policy: (event type, certainty or None for any, least confidence, decision). Where nothing fits: review.
 APPROVAL: tuple[tuple[str, str | None, float, str], ...] = (
@@ -96,5 +99,5 @@ APPROVAL: tuple[tuple[str, str | None, float, str], ...] = (
 #: Reason codes of rejected rows.
 REASONS = (
     "unknown_event_type", "no_evidence", "actor_not_human", "no_reason", "agent_without_proposal", "bad_payload", "bad_span", "value_not_in_quote", "quote_too_long",
-    "unknown_code", "unknown_predicate", "self_approval", "unknown_stream_type",
+    "unknown_code", "unknown_predicate", "self_approval", "unknown_stream_type", "unknown_actor_type", "missing_value",
 )

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions import text as X
@@ -17,12 +18,12 @@ CLAIM = "struct<source_id:string,subject:string,predicate:string,object:string,v
 
 
 def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, place, quote, char_start, char_end): sentences with their offsets, code points from 0."""
+    """(key, place, quote, char_start, char_end): sentences with their offsets, code points from 0. ``key`` is unique."""
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"((?:[^.!?\n]|[.!?](?=[^\s.!?]))+[.!?]*|[.!?\n])"), F.lit(0))
-    rows = docs.select(key, F.posexplode(parts).alias("place", "quote"), parts.alias("__all"))
-    start = F.aggregate(F.slice("__all", F.lit(1), F.col("place")), F.lit(0), lambda n, s: n + F.length(s))
-    rows = rows.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("quote"))
-    return rows.drop("__all").filter(F.length(F.trim(F.col("quote"))) > 1)
+    rows = docs.select(key, F.posexplode(parts).alias("place", "quote"))
+    before = F.sum(F.length("quote")).over(W.partitionBy(key).orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("char_start", F.coalesce(before, F.lit(0)).cast("int")).withColumn("char_end", F.col("char_start") + F.length("quote"))
+    return rows.filter(F.length(F.trim(F.col("quote"))) > 1)
 
 
 def classify(docs: DataFrame, key: str, text: str, taxonomy: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -81,6 +82,24 @@ def guard(claims: DataFrame, sources: DataFrame, predicates: Sequence[str], key:
     return joined.withColumn("reason_code", reason).drop("__text")
 
 
+def with_retry(agent: Agent, rows: DataFrame, key: str, output: str, required: Mapping[str, str]) -> DataFrame:
+    """What an agent says of ``rows``, with reason_code: bad_payload where ``output`` lacks the required fields twice.
+
+    Rows whose output fails the schema are given to the agent once more. Guards on spans and values follow (:func:`guard`).
+    """
+    judged = lambda said: said.withColumn("__ok", valid_payload(F.col(output), required))
+    first = judged(agent(rows))
+    again = judged(agent(rows.join(first.filter(~F.col("__ok")).select(key), key, "left_semi")))
+    said = first.filter("__ok").unionByName(again)
+    return said.withColumn("reason_code", F.when(~F.col("__ok"), "bad_payload")).drop("__ok")
+
+
+def quarantined(judged: DataFrame, key: str, step: str, output: Column, at: Column) -> DataFrame:
+    """Rows of the quarantine for what a guard refused."""
+    bad = judged.filter(F.col("reason_code").isNotNull())
+    return bad.select(F.col(key).cast("string").alias("id"), F.lit(step).alias("step"), output.alias("output"), "reason_code", at.alias("created_at"))
+
+
 def route_merges(proposals: DataFrame) -> DataFrame:
     """Merges and splits: always for review, never automatic."""
     return proposals.filter(F.col("event_type").isin("EntityMerged", "EntitySplit")).withColumn("decision", F.lit("review"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text as X
 
-#: Blocks of 15 of a fingerprint's 60 bits: pairs within three bits share one.
-BLOCKS = tuple((k, 15 * k) for k in range(4))
+#: Blocks of 10 of a fingerprint's 60 bits: three bits touch three of the six at most, so pairs within three bits share three.
+BLOCKS = tuple(10 * k for k in range(6))
 
 
 def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,11 +28,16 @@ def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def near_fingerprints(prints: DataFrame, column: str = "simhash", within: int = 3) -> DataFrame:
-    """(a, b): distinct fingerprints, a < b, that differ in at most ``within`` (3 at most) bits, by an equi-join on blocks."""
+    """(a, b): distinct fingerprints, a < b, that differ in at most ``within`` (3 at most) bits.
+
+    They meet by an equi-join on the values of three blocks of ten bits, for each of the 20 choices of three; of the choices that
+    a pair shares, the first counts.
+    """
     if within > 3:
-        raise ValueError("four blocks find pairs within three bits")
+        raise ValueError("three of six blocks find pairs within three bits")
     distinct = prints.filter(F.col(column).isNotNull()).select(F.col(column).alias("p")).distinct()
-    cuts = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftright("p", s).bitwiseAND(F.lit(0x7FFF).cast("long")).alias("value")) for k, s in BLOCKS])
+    masks = [sum(0x3FF << s for s in chosen) for chosen in combinations(BLOCKS, 3)]
+    cuts = F.array(*[F.struct(F.lit(k).alias("block"), F.col("p").bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(masks)])
     blocks = distinct.select("p", F.explode(cuts).alias("x")).select("p", "x.block", "x.value")
     left, right = blocks.withColumnRenamed("p", "a"), blocks.withColumnRenamed("p", "b")
     return left.join(right, ["block", "value"]).filter((F.col("a") < F.col("b")) & (X.hamming(F.col("a"), F.col("b")) <= within)).select("a", "b").distinct()
@@ -76,8 +82,8 @@ def verify_spans(evidence: DataFrame, sources: DataFrame, key: str = "source_id"
 
 
 def unverified_facts(events: DataFrame, evidence: DataFrame, event_id: str, evidence_ids: str, evidence_id: str) -> DataFrame:
-    """(event, evidence id) of events whose evidence is missing or not verified. An event without evidence is not listed."""
-    named = events.select(event_id, F.explode(evidence_ids).alias("__e"))
+    """(event, evidence id) of events whose evidence is missing or not verified; an event that names none has a row with a null."""
+    named = events.select(event_id, F.explode_outer(evidence_ids).alias("__e"))
     good = evidence.filter("verified").select(F.col(evidence_id).alias("__e")).distinct()
     return named.join(good, "__e", "left_anti").select(event_id, F.col("__e").alias(evidence_id))
 

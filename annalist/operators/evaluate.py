@@ -49,6 +49,25 @@ def compare_systems(a: DataFrame, b: DataFrame, key: str, time: str) -> DataFram
     return joined.withColumn("found_in", where).withColumn("first", first)
 
 
+def coverage_ratio(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """The share of the items of an old system that a new one has too: coverage, items, matched."""
+    joined = old.select(key).distinct().join(new.select(key).distinct().withColumn("__in", F.lit(True)), key, "left")
+    return joined.agg((F.count("__in") / F.count(F.lit(1))).alias("coverage"), F.count(F.lit(1)).alias("items"), F.count("__in").alias("matched"))
+
+
+def stage_accuracy(predicted: DataFrame, gold: DataFrame, key: str, stage: str) -> DataFrame:
+    """The share of projects of the gold set whose stage was predicted right; one without a prediction is wrong."""
+    joined = gold.select(key, F.col(stage).alias("__gold")).join(predicted.select(key, F.col(stage).alias("__said")), key, "left")
+    right = F.coalesce(F.col("__gold") == F.col("__said"), F.lit(False))
+    return joined.agg(F.avg(right.cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("projects"), F.count("__said").alias("predicted"))
+
+
+def latency(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Seconds between two times: n, median_s, max_s; rows that lack either do not count."""
+    seconds = F.timestamp_diff("SECOND", F.col(start), F.col(end))
+    return rows.select(seconds.alias("s")).agg(F.count("s").alias("n"), F.expr("percentile(s, 0.5)").alias("median_s"), F.max("s").alias("max_s"))
+
+
 def version_diff(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows added to and removed from a version, repeated ones counted."""
     a, b = before.select(*columns), after.select(*columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.model import EVENT_TYPES, HUMAN_ONLY, STREAM_TYPES
+from annalist.model import ACTOR_TYPES, EVENT_TYPES, HUMAN_ONLY, STREAM_TYPES
 
 STREAM = ("stream_type", "stream_id")
 
@@ -57,7 +57,7 @@ def hash_chain(events: DataFrame, content: Column, stream: Sequence[str] = STREA
     A chain is sequential within its stream. Streams are dealt to tasks and sorted there, and a task holds one hash at a time, so
     a stream of any length needs no memory.
     """
-    rows = events.withColumn("__content", content)
+    rows = events.withColumn("__content", F.concat(F.lit("|"), content))
     rows = rows.join(seeds.select(*stream, F.col("hash").alias("__seed")), list(stream), "left") if seeds is not None else rows.withColumn("__seed", F.lit(None).cast("string"))
     rows = rows.repartition(*stream).sortWithinPartitions(*stream, *order)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", prev_hash string, hash string"
@@ -72,7 +72,7 @@ def hash_chain(events: DataFrame, content: Column, stream: Sequence[str] = STREA
                 if key != at:
                     at, last = key, seed or ""
                 before.append(last)
-                last = hashlib.sha256(f"{last}|{text}".encode()).hexdigest()
+                last = hashlib.sha256((last + text).encode()).hexdigest()
                 after.append(last)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*part.schema.names, "prev_hash", "hash"])
 
@@ -80,10 +80,30 @@ def hash_chain(events: DataFrame, content: Column, stream: Sequence[str] = STREA
 
 
 def chain_breaks(events: DataFrame, content: Column, stream: Sequence[str] = STREAM, order: Sequence[str] = ("sequence",)) -> DataFrame:
-    """Events whose prev_hash is not the hash before them, or whose hash is not that of their content."""
-    before = F.coalesce(F.lag("hash").over(W.partitionBy(*stream).orderBy(*order)), F.lit(""))
-    made = F.sha2(F.concat(F.col("prev_hash"), F.lit("|"), content), 256)
-    return events.withColumn("link_ok", F.col("prev_hash") == before).withColumn("hash_ok", F.col("hash") == made).filter(~(F.col("link_ok") & F.col("hash_ok")))
+    """Events whose prev_hash is not the hash before them (link_ok), whose hash is not that of their content (hash_ok), or whose
+    sequence does not follow the one before (sequence_ok).
+
+    A null in any of these is a break. An end that was cut off leaves no break: see :func:`cut_ends`.
+    """
+    w = W.partitionBy(*stream).orderBy(*order)
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    checked = events.withColumns(
+        {
+            "link_ok": holds(F.col("prev_hash") == F.lag("hash", 1, "").over(w)),
+            "hash_ok": holds(F.col("hash") == F.sha2(F.concat(F.col("prev_hash"), F.lit("|"), content), 256)),
+            "sequence_ok": holds(F.col("sequence") == F.lag("sequence", 1, 0).over(w) + 1),
+        }
+    )
+    return checked.filter(~(F.col("link_ok") & F.col("hash_ok") & F.col("sequence_ok")))
+
+
+def cut_ends(events: DataFrame, heads: DataFrame, stream: Sequence[str] = STREAM) -> DataFrame:
+    """Streams whose last event is not the one that ``heads`` (the stream's columns, head, hash) names: their head, and ``last``,
+    the sequence of the last event that is left (null: none)."""
+    ends = events.groupBy(*stream).agg(F.max("sequence").alias("last"), F.max_by("hash", "sequence").alias("__hash"))
+    on = [heads[c].eqNullSafe(ends[c]) for c in stream]
+    joined = heads.join(ends, on, "left").select(*[heads[c] for c in stream], "head", "last", heads["hash"], "__hash")
+    return joined.filter(~(F.col("head").eqNullSafe(F.col("last")) & F.col("hash").eqNullSafe(F.col("__hash")))).drop("hash", "__hash")
 
 
 def spans(events: DataFrame, stream: Sequence[str], order: Sequence[str], time: str) -> DataFrame:
@@ -106,15 +126,30 @@ def latest_of(events: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return events.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(*ordering))).filter("__k = 1").drop("__k")
 
 
-def reason_code(payload: str = "payload") -> Column:
-    """Why an event may not be written, null if it may: the first rule that it breaks."""
+def state_at(events: DataFrame, at: Column | None, keys: Sequence[str], order: Sequence[str], values: Sequence[str], time: str = "recorded_at", id_column: str | None = None, supersedes: str = "supersedes_event_id") -> DataFrame:
+    """The state at a time (None: now): cut, then hide what was superseded by then (``id_column``: with it), then fold."""
+    known = events if at is None else as_of(events, at, time)
+    return project_state(current_events(known, id_column, supersedes) if id_column else known, keys, order, values)
+
+
+def reason_code(payload: str = "payload", required: Sequence[str] = ()) -> Column:
+    """Why an event may not be written, null if it may: the first rule that it breaks. A null never passes a rule.
+
+    ``required``: columns that may not be null, beside those that the rules name.
+    """
     reason = F.get_json_object(F.col(payload), "$.reason")
     none = F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0
     needs = F.col("event_type").isin([k for k, v in EVENT_TYPES.items() if v])
     excused = (F.col("event_type") == "DealStageChanged") & (F.col("actor_type") == "human") & (F.length(reason) > 0)
+    unknown = lambda c, known: ~F.coalesce(F.col(c).isin(*known), F.lit(False))
+    missing = F.lit(False)
+    for c in required:
+        missing = missing | F.col(c).isNull()
     return (
-        F.when(~F.col("event_type").isin(*EVENT_TYPES), "unknown_event_type")
-        .when(~F.col("stream_type").isin(*STREAM_TYPES), "unknown_stream_type")
+        F.when(unknown("event_type", EVENT_TYPES), "unknown_event_type")
+        .when(unknown("stream_type", STREAM_TYPES), "unknown_stream_type")
+        .when(unknown("actor_type", ACTOR_TYPES), "unknown_actor_type")
+        .when(missing, "missing_value")
         .when(F.try_parse_json(F.col(payload)).isNull(), "bad_payload")
         .when(needs & none & ~F.coalesce(excused, F.lit(False)), "no_evidence")
         .when(F.col("event_type").isin(*HUMAN_ONLY) & (F.col("actor_type") != "human"), "actor_not_human")
@@ -126,8 +161,8 @@ def reason_code(payload: str = "payload") -> Column:
 def frame_hash(df: DataFrame, buckets: int = 256) -> DataFrame:
     """One row (hash, rows): equal for equal multisets of rows, in any order and partitioning.
 
-    Rows are hashed, sorted and hashed again within 256 buckets by their first two digits, then the buckets are; no array holds
-    more than a bucket's share, and equal rows are one entry with their count.
+    Rows are hashed, sorted and hashed again within 65,536 buckets by their first four digits, then the buckets are; no array
+    holds more than a bucket's share, and equal rows are one entry with their count.
     """
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
     counted = df.select(row.alias("h")).groupBy("h").count()

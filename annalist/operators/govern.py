@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.functions import text as X
 from annalist.model import APPROVAL, ROLES
 
 
@@ -20,7 +21,8 @@ def approval(event_type: Column, certainty: Column, confidence: Column, policy:
 
 
 def self_approvals(approvals: DataFrame, approver: str = "actor_id", creator: str = "created_by") -> DataFrame:
-    return approvals.filter(F.col(approver) == F.col(creator))
+    """Approvals by the one who made the proposal, or with either unknown, which nobody can tell from that."""
+    return approvals.filter(F.coalesce(F.col(approver) == F.col(creator), F.lit(True)))
 
 
 def status(events: DataFrame, key: Sequence[str], order: Sequence[str], kind: str, moves: dict[str, str]) -> DataFrame:
@@ -71,10 +73,14 @@ def erase(keys: DataFrame, people: DataFrame, person: str = "person_id") -> Data
 def approve(proposals: DataFrame, approvals: DataFrame) -> DataFrame:
     """Events of approved proposals: ``approvals`` has proposal_id, actor_id, recorded_at, and payload if it was edited.
 
-    Nobody approves their own proposal. Evidence is that of the proposal; an edited one is an event of its editor.
+    Nobody approves their own proposal; one whose maker or approver is unknown is not approved. Evidence is that of the proposal;
+    an edited one is an event of its editor. The id of an event depends on the proposal and its approver alone, so an approval
+    that is sent twice is one event. Streams are those of the proposals (null where these name none, which the store refuses).
     """
     joined = proposals.join(approvals.withColumnsRenamed({"proposal_id": "id", "payload": "edited"}), "id").filter(F.col("actor_id") != F.col("created_by"))
     return joined.select(
+        X.ulid_like(F.lit("approved"), F.col("id"), F.col("actor_id")).alias("id"),
+        *_stream(proposals),
         F.col("id").alias("proposal_id"),
         "event_type",
         F.coalesce("edited", "payload").alias("payload"),
@@ -86,6 +92,55 @@ def approve(proposals: DataFrame, approvals: DataFrame) -> DataFrame:
     )
 
 
+def _stream(proposals: DataFrame) -> list[Column]:
+    return [(F.col(c) if c in proposals.columns else F.lit(None).cast("string")).alias(c) for c in ("stream_type", "stream_id")]
+
+
+def routed(proposals: DataFrame, policy: Sequence[tuple] = APPROVAL) -> DataFrame:
+    """Proposals with ``decision``: auto or review."""
+    return proposals.withColumn("decision", approval(F.col("event_type"), F.col("certainty"), F.col("confidence"), policy))
+
+
+def auto_approve(proposals: DataFrame, policy: Sequence[tuple] = APPROVAL) -> DataFrame:
+    """Events of the proposals that the policy lets through: of the agent that made them, at the time they were made."""
+    return routed(proposals, policy).filter("decision = 'auto'").select(
+        X.ulid_like(F.lit("auto"), F.col("id")).alias("id"),
+        *_stream(proposals),
+        F.col("id").alias("proposal_id"),
+        "event_type",
+        "payload",
+        "evidence_ids",
+        "certainty",
+        F.lit("agent").alias("actor_type"),
+        F.col("created_by").alias("actor_id"),
+        F.col("created_at").alias("recorded_at"),
+    )
+
+
+#: What is kept of a business contact.
+CONTACT = ("name", "role", "organisation", "business_email", "business_phone", "source")
+
+
+def contact_fields(contacts: DataFrame) -> DataFrame:
+    """Contacts without anything but their business fields."""
+    return contacts.select(*CONTACT)
+
+
+def alert_events(signals: DataFrame, tier: str = "tier", at: Column | None = None) -> DataFrame:
+    """AlertRaised events of the Tier 0 signals (id, stream_type, stream_id, evidence_ids, recorded_at), status unconfirmed."""
+    return signals.filter(F.col(tier) == 0).select(
+        X.ulid_like(F.lit("alert"), F.col("id")).alias("id"),
+        "stream_type",
+        "stream_id",
+        F.lit("AlertRaised").alias("event_type"),
+        F.to_json(F.struct(F.col("id").alias("signal_id"), F.lit("unconfirmed").alias("status"))).alias("payload"),
+        "evidence_ids",
+        F.lit("system").alias("actor_type"),
+        F.lit("alerts").alias("actor_id"),
+        (F.col("recorded_at") if at is None else at).alias("recorded_at"),
+    )
+
+
 def expire_texts(sources: DataFrame, now: Column, days: int, text: str = "text") -> DataFrame:
     """Texts under verify_then_purge that are older than ``days`` become null; hashes and quotes stay."""
     old = (F.col("retention_policy") == "verify_then_purge") & (F.date_add(F.col("fetched_at").cast("date"), days) < now)

@@ -1,4 +1,7 @@
-"""Read models: feeds, boards, timelines, watch lists."""
+"""Read models: feeds, boards, timelines, watch lists.
+
+``at``: read as it was known then; rows are cut by their column ``time`` before anything is folded.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,15 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalist.operators.events import latest_of
+from annalist.operators.evaluate import count_by_scale
+from annalist.operators.events import as_of, latest_of, state_at
+
+
+def _then(rows: DataFrame, at: Column | None, time: str) -> DataFrame:
+    return rows if at is None else as_of(rows, at, time)
 
 
 def feed(signals: DataFrame, **wanted: Sequence) -> DataFrame:
@@ -24,9 +33,20 @@ def collect_all(*outputs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outputs)
 
 
-def ticker(signals: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+def ticker(signals: DataFrame, order: Sequence[Column], n: int, at: Column | None = None, time: str = "recorded_at") -> DataFrame:
     """The first ``n`` signals: a top-n in each task, then of those."""
-    return signals.orderBy(*order).limit(n)
+    return _then(signals, at, time).orderBy(*order).limit(n)
+
+
+def kanban(events: DataFrame, key: str, order: Sequence[str], stage: str, stages: Sequence[str], at: Column | None = None, time: str = "recorded_at") -> DataFrame:
+    """How many deals are in each stage by their last event, empty stages too."""
+    return count_by_scale(state_at(events, at, [key], order, [stage], time), stage, stages)
+
+
+def timeline(*kinds: DataFrame, key: str, order: Sequence[str], at: Column | None = None, time: str = "recorded_at") -> DataFrame:
+    """Events of several kinds as one, with their ``place`` within each key; columns that one kind lacks are null."""
+    rows = _then(collect_all(*kinds), at, time)
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("long"))
 
 
 def with_evidence(events: DataFrame, evidence: DataFrame, ids: str, key: str) -> DataFrame:
@@ -34,13 +54,13 @@ def with_evidence(events: DataFrame, evidence: DataFrame, ids: str, key: str) ->
     return events.withColumn(key, F.explode(ids)).drop(ids).join(evidence, key)
 
 
-def no_contact(opportunities: DataFrame, contacts: DataFrame, key: str) -> DataFrame:
-    return opportunities.join(contacts.select(key).distinct(), key, "left_anti")
+def no_contact(opportunities: DataFrame, contacts: DataFrame, key: str, at: Column | None = None, time: str = "recorded_at") -> DataFrame:
+    return opportunities.join(_then(contacts, at, time).select(key).distinct(), key, "left_anti")
 
 
-def watch_list(entities: DataFrame, reports: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def watch_list(entities: DataFrame, reports: DataFrame, key: str, order: Sequence[str], at: Column | None = None, time: str = "recorded_at") -> DataFrame:
     """Entities with their latest report, also those without one."""
-    return entities.join(latest_of(reports, [key], order), key, "left")
+    return entities.join(latest_of(_then(reports, at, time), [key], order), key, "left")
 
 
 def buyers(projects: DataFrame, roles: DataFrame, key: str, role: str, name: str, known: Sequence[str]) -> DataFrame:

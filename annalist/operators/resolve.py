@@ -45,12 +45,42 @@ def trigram_links(texts: DataFrame, key: str, text: str, least: float = 0.6) ->
     return rows.join(named, "grams").select(key, "class_id", "n_links")
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 10, blocks: int = 16) -> DataFrame:
+def candidates(mentions: DataFrame, entities: DataFrame, k: int = 10, least: float = 0.3, mention: str = "mention_id", entity: str = "entity_id", name: str = "name") -> DataFrame:
+    """(mention, entity, confidence, rank): the ``k`` entities whose names are most alike by trigrams, at ``least`` or more; ties
+    take the least entity. It can be a step of :func:`decide`.
+
+    Mentions and entities meet by an equi-join on the rarest trigrams only, as in :func:`trigram_links`; counts are of entities.
+    """
+    side = lambda df, key: df.select(F.col(key), F.array_sort(X.trigrams(F.col(name))).alias("grams"))
+    left, right = side(mentions, mention).distinct(), side(entities, entity).distinct()
+    often = right.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(df: DataFrame, key: str) -> DataFrame:
+        spread = df.select(key, "grams", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(often, "gram", "left")
+        placed = spread.withColumn("place", F.row_number().over(W.partitionBy(key, "grams").orderBy(F.coalesce("df", F.lit(0)), "gram")))
+        return placed.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(F.col(key), "n", "gram")
+
+    other = prefix(right, entity).withColumnRenamed("n", "m")
+    meet = prefix(left, mention).join(other, "gram").filter(F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")).select(mention, entity).distinct()
+    found = meet.join(left, mention).join(right.withColumnRenamed("grams", "grams2"), entity)
+    best = found.groupBy(mention, entity).agg(F.max(X.jaccard(F.col("grams"), F.col("grams2"))).alias("confidence")).filter(F.col("confidence") >= least)
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy(mention).orderBy(F.col("confidence").desc(), entity)).cast("long"))
+    return ranked.filter(F.col("rank") <= k).select(mention, entity, "confidence", "rank")
+
+
+def active_merges(merges: DataFrame, splits: DataFrame) -> DataFrame:
+    """Merges (entity_id, merged_into, at) that no later split (entity_id, split_from, at) of the two undid."""
+    later = splits.groupBy(F.col("entity_id").alias("__e"), F.col("split_from").alias("__m")).agg(F.max("at").alias("__at"))
+    return merges.join(later, (F.col("entity_id") == F.col("__e")) & (F.col("merged_into") == F.col("__m")) & (F.col("__at") > F.col("at")), "left_anti")
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 10, blocks: int | None = None) -> DataFrame:
     """The ``k`` most similar vectors (cosine) of all for each query, itself left out: (query, key, similarity, rank).
 
     A stated set of queries against all rows: queries go to every block of vectors, the best k of each block are kept (rank
-    limits are applied before the shuffle), then the best k of all.
+    limits are applied before the shuffle), then the best k of all. There are two blocks (``blocks``) for each core at least.
     """
+    blocks = blocks or max(16, 2 * queries.sparkSession.sparkContext.defaultParallelism)
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(X.dot(c, c)))
     left = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = vectors.select(key, unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))

@@ -93,6 +93,29 @@ def due(time: Column, cadence: Column) -> Column:
     return F.when(cadence == "daily", F.lit(True)).when(cadence == "weekly", F.dayofweek(time) == 2).otherwise(F.lit(False))
 
 
+def _field(value: Column, field: Column, first: int) -> Column:
+    """Whether a number fits one field of a cron expression: lists of *, n, a-b, each with /step."""
+
+    def fits(item: Column) -> Column:
+        step = F.coalesce(F.split_part(item, F.lit("/"), F.lit(2)).try_cast("int"), F.lit(1))
+        span = F.split_part(item, F.lit("/"), F.lit(1))
+        low = F.when(span == "*", F.lit(first)).otherwise(F.split_part(span, F.lit("-"), F.lit(1)).try_cast("int"))
+        high = F.when((span == "*") | (F.contains(item, F.lit("/")) & ~F.contains(span, F.lit("-"))), F.lit(99)).otherwise(F.coalesce(F.split_part(span, F.lit("-"), F.lit(2)).try_cast("int"), low))
+        return (value >= low) & (value <= high) & ((value - low) % step == 0)
+
+    return F.exists(F.split(field, ","), fits)
+
+
+def cron_due(time: Column, cron: Column) -> Column:
+    """Whether a cron expression (minute, hour, day, month, day of the week: 0 and 7 are Sunday) is due in the minute of a local
+    time. Days of the month and of the week both have to fit. An expression without five fields is never due."""
+    fields = F.split(F.trim(cron), r"\s+")
+    day = F.dayofweek(time) - 1
+    weekday = _field(day, fields[4], 0) | ((day == 0) & _field(F.lit(7), fields[4], 0))
+    ok = _field(F.minute(time), fields[0], 0) & _field(F.hour(time), fields[1], 0) & _field(F.dayofmonth(time), fields[2], 1) & _field(F.month(time), fields[3], 1) & weekday
+    return F.coalesce(F.when(F.size(fields) == 5, ok), F.lit(False))
+
+
 def jitter_seconds(key: Column) -> Column:
     """0 to 59 seconds, the same for a key each time."""
     return F.pmod(F.xxhash64(key), F.lit(60)).cast("int")

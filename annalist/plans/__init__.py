@@ -1,6 +1,6 @@
 """All queries of the library and, where SQL can say the same, their SQL."""
 
-from annalist.plans import log, panels, papers
+from annalist.plans import desk, log, panels, papers, rules
 
-QUERIES = log.QUERIES | papers.QUERIES | panels.QUERIES
-SQL = log.SQL | papers.SQL | panels.SQL
+QUERIES = log.QUERIES | papers.QUERIES | panels.QUERIES | rules.QUERIES | desk.QUERIES
+SQL = log.SQL | papers.SQL | panels.SQL | rules.SQL | desk.SQL

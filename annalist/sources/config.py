@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +51,11 @@ def uncovered(types: DataFrame, sources: DataFrame, gaps: DataFrame, key: str =
     return types.join(sources.select(key).distinct(), key, "left_anti").join(gaps.select(F.col("gap").alias(key)).distinct(), key, "left_anti")
 
 
+def unresolved(values: DataFrame, excused: DataFrame, placeholders: Sequence[str]) -> DataFrame:
+    """Values (path, value) of a brief that are placeholders still and whose path is not among the excused ones."""
+    return values.filter(F.col("value").isin(*placeholders)).join(excused.select("path").distinct(), "path", "left_anti")
+
+
 def accept_source(briefs: DataFrame, base: str, new_id: str, at: str, source: tuple[str, str, str, str]) -> DataFrame:
     """A new version of the brief ``base`` with one source (type, url, cron, licence) more; the old one stays as it is."""
     entry = F.struct(*[F.lit(x).alias(n) for x, n in zip(source, ("type", "url", "cron", "licence_code"), strict=True)])

@@ -5,10 +5,14 @@ Files of a table can be overwritten by whoever may write its folder; this librar
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist import model
+from annalist.functions import text as X
+from annalist.operators import documents as D
 from annalist.operators import events as E
 
 CONTENT = (
@@ -51,27 +55,53 @@ def _hashed(events: DataFrame) -> DataFrame:
 
 
 class EventStore(AppendOnly):
-    """The event log: validated, numbered, chained. One writer at a time, as a stream's numbers and hashes follow its head."""
+    """The event log: validated, numbered, chained. One writer at a time, as a stream's numbers and hashes follow its head.
+
+    The heads of streams (last number and hash) are a table beside the log, so an append reads the heads of the streams that it
+    touches and never the log. A batch is staged before it is appended, so that its heads are those of the rows that were written.
+    After a writer that died between log and heads, :meth:`repair_heads` reads the log once.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark, path + "/events", model.EVENT)
         self.quarantine = AppendOnly(spark, path + "/quarantine", model.QUARANTINE)
+        self.head_log = AppendOnly(spark, path + "/heads", model.HEAD)
+        self.staging = path + "/staging"
+
+    def heads(self) -> DataFrame:
+        """The last number and hash of each stream."""
+        return self.head_log.read().groupBy(*E.STREAM).agg(F.max("head").alias("head"), F.max_by("hash", "head").alias("hash"))
+
+    def repair_heads(self) -> None:
+        ends = self.read().groupBy(*E.STREAM).agg(F.max("sequence").alias("head"), F.max_by("hash", "sequence").alias("hash"))
+        self.head_log.append(ends.join(self.heads().select(*E.STREAM, "head"), [*E.STREAM, "head"], "left_anti"))
 
     def append_events(self, rows: DataFrame) -> int:
         """Append what passes the rules; the rest goes to quarantine with its reason. Returns how many rows were refused."""
         have = set(rows.columns)
         rows = rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in model.EVENT.fields if f.name not in ("sequence", "prev_hash", "hash")])
-        judged = rows.withColumn("reason_code", E.reason_code())
+        judged = self._staged(rows.withColumn("reason_code", E.reason_code(required=("id", "stream_id", "recorded_at"))))
         bad = judged.filter(F.col("reason_code").isNotNull())
         refused = bad.count()
         if refused:
             self.quarantine.append(bad.select("id", F.lit("append").alias("step"), F.to_json(F.struct("event_type", "payload")).alias("output"), "reason_code", F.col("recorded_at").alias("created_at")))
         good = judged.filter(F.col("reason_code").isNull()).drop("reason_code")
-        heads = self.read().groupBy(*E.STREAM).agg(F.max("sequence").alias("head"), F.max_by("hash", "sequence").alias("hash"))
+        heads = self.heads().join(good.select(*E.STREAM).distinct(), list(E.STREAM), "left_semi")
         numbered = E.assign_sequence(good, heads=heads.select(*E.STREAM, "head"))
-        self.append(E.hash_chain(_hashed(numbered), event_content(), seeds=heads.select(*E.STREAM, "hash")))
+        chained = self._staged(E.hash_chain(_hashed(numbered), event_content(), seeds=heads.select(*E.STREAM, "hash")))
+        self.append(chained)
+        self.head_log.append(chained.groupBy(*E.STREAM).agg(F.max("sequence").alias("head"), F.max_by("hash", "sequence").alias("hash")))
         return refused
 
+    def _staged(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.staging}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def cut_ends(self) -> DataFrame:
+        """Streams whose last event is gone from the log."""
+        return E.cut_ends(self.read(), self.heads())
+
     def chain_breaks(self) -> DataFrame:
         return E.chain_breaks(_hashed(self.read()), event_content())
 
@@ -81,6 +111,34 @@ class EventStore(AppendOnly):
         return E.project_state(E.current_events(events), keys, ["recorded_at", "sequence", "id"], values)
 
 
+def tables(spark: SparkSession, path: str) -> dict[str, AppendOnly]:
+    """The other append-only tables of a store, by name."""
+    schemas = {
+        "sources": model.SOURCE, "source_urls": model.SOURCE_URL, "texts": model.TEXT, "evidence": model.EVIDENCE, "entities": model.ENTITY, "proposals": model.PROPOSAL,
+        "model_calls": model.MODEL_CALL, "security_log": model.SECURITY_LOG, "collector_runs": model.COLLECTOR_RUN,
+    }
+    return {name: AppendOnly(spark, f"{path}/{name}", schema) for name, schema in schemas.items()}
+
+
+def write_texts(texts: AppendOnly, rows: DataFrame) -> None:
+    """Append normalised texts (source_id, text_uri, text) with their hashes; a source whose text is there already adds none."""
+    new = rows.join(texts.read().select("source_id").distinct(), "source_id", "left_anti").dropDuplicates(["source_id"])
+    text = X.normalise(F.col("text"))
+    texts.append(new.withColumn("text", text).withColumn("content_hash", X.content_hash(F.col("text"))))
+
+
+def write_evidence(evidence: AppendOnly, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Append evidence (id, source_id, char_start, char_end, quote) with its hash and whether the text holds it; returns the rows."""
+    judged = D.verify_spans(rows.withColumn("quote_hash", X.content_hash(F.col("quote"))), texts)
+    evidence.append(judged)
+    return judged
+
+
+def log_security(log: AppendOnly, actions: DataFrame) -> None:
+    """Append sign-ins, role changes, erasures, ... (ts, user_id, action, detail): apart from the event log."""
+    log.append(actions)
+
+
 def write_raw(files: DataFrame, path: str) -> None:
     """Raw documents (path, modificationTime, length, content: the binaryFile format) for keeping."""
     files.write.mode("append").parquet(path)

@@ -75,19 +75,43 @@ def raise_alerts(signals: DataFrame, target: str, checkpoint: str, tier: str = "
     return signals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def deliver(rows: DataFrame, channels: dict[str, Callable[[DataFrame], None]], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Hand every batch to each channel; a channel that fails does not stop the others."""
+def deliver(rows: DataFrame, channels: dict[str, Callable[[DataFrame], None]], checkpoint: str, trigger: dict | None = None, failures: str | None = None, attempts: int = 3) -> StreamingQuery:
+    """Hand every batch to each channel, ``attempts`` times at most; a channel that fails does not stop the others.
+
+    What a channel did not take is kept under ``failures`` (batch=.../channel=..., with the error), to be sent by
+    :func:`redeliver`. Without that folder the query fails once all channels had their turn, and the batch is tried again.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        for send in channels.values():
-            try:
-                send(batch)
-            except Exception as e:  # noqa: BLE001
-                print(f"channel failed: {e}")
+        failed = {}
+        for name, send in channels.items():
+            for _ in range(attempts):
+                try:
+                    send(batch)
+                    failed.pop(name, None)
+                    break
+                except Exception as e:  # noqa: BLE001
+                    failed[name] = str(e)
+        for name, error in failed.items():
+            if failures is None:
+                raise RuntimeError(f"batch {epoch}: channels failed: {failed}")
+            batch.withColumn("error", F.lit(error)).write.mode("overwrite").parquet(f"{failures}/batch={epoch}/channel={name}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def redeliver(spark: SparkSession, failures: str, channels: dict[str, Callable[[DataFrame], None]], columns: list[str]) -> dict[str, int]:
+    """Send what was kept for each channel once more; rows sent, by channel. A channel that fails again raises."""
+    kept = spark.read.parquet(failures)
+    sent = {}
+    for name, send in channels.items():
+        rows = kept.filter(F.col("channel") == name).select(*columns)
+        sent[name] = rows.count()
+        if sent[name]:
+            send(rows)
+    return sent
+
+
 def counts_by_window(events: DataFrame, time: str, kind: str, window: str = "1 day", late: str = "10 minutes") -> DataFrame:
     """Events of each kind in each window, for live telemetry; ``time`` is cast, as watermarks need a timestamp."""
     rows = events.withColumn("__at", F.col(time).cast("timestamp")).withWatermark("__at", late)
