@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from annalist.llm import decontam, exact_dedup, pieces, quality, setsketch
 from annalist.llm.queries import PIECE_MODEL, QUALITY_CUT
-from annalist.llm.shared import ascii_lower, stored, table
+from annalist.llm.shared import ascii_lower, fresh, stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject: a score of QUALITY_CUT or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, to="__quality").filter(F.col("__quality") >= QUALITY_CUT).select(*docs.columns)
+    to = fresh(docs, "__quality")
+    return quality.score(docs, model, to=to).filter(F.col(to) >= QUALITY_CUT).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
