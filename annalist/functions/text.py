@@ -98,9 +98,8 @@ def _scaled(text: Column, pattern: str, number: int, scale: int) -> Column:
     low = F.lower(text)
     value = F.regexp_replace(F.regexp_extract(low, pattern, number), ",", "").try_cast("decimal(38,6)")
     power = F.regexp_extract(low, pattern, scale)
-    factor = F.lit(1).cast("decimal(20,0)")
-    for word, k in MAGNITUDES.items():
-        factor = F.when(power == word, F.lit(10**k).cast("decimal(20,0)")).otherwise(factor)
+    table = F.create_map(*[x for word, k in MAGNITUDES.items() for x in (F.lit(word), F.lit(10**k).cast("decimal(20,0)"))])
+    factor = F.coalesce(F.try_element_at(table, power), F.lit(1).cast("decimal(20,0)"))
     return (value * factor).cast("decimal(38,6)")
 
 
@@ -118,9 +117,7 @@ def parse_money(text: Column) -> Column:
     """struct<amount decimal(38,6), currency string>; null without a currency."""
     pattern = r"(us\$|\$|€|£|\busd\b|\beur\b|\bgbp\b|\bzmw\b|\bzar\b|\bk(?=[0-9])|\br(?=[0-9]))\s*" + _NUMBER + _SCALE
     sign = F.regexp_extract(F.lower(text), pattern, 1)
-    currency = F.lit(None).cast("string")
-    for s, code in CURRENCIES.items():
-        currency = F.when(sign == s, F.lit(code)).otherwise(currency)
+    currency = F.try_element_at(F.create_map(*[F.lit(x) for pair in CURRENCIES.items() for x in pair]), sign)
     return F.when(currency.isNotNull(), F.struct(_scaled(text, pattern, 2, 3).alias("amount"), currency.alias("currency")))
 
 
