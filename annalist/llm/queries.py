@@ -132,7 +132,7 @@ SQL: dict[str, str] = {
             SELECT doc_id, text AS doc, k, lines[k] AS line, trim(regexp_replace(regexp_replace(lines[k], '[0-9]+', '0', 'g'), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), ' ') AS form
             FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
         ), t AS (SELECT *, CASE WHEN form = '' THEN [] ELSE string_split(form, ' ') END AS tokens FROM l),
-        seen AS (SELECT DISTINCT len(tokens) AS n, tokens[1:3] AS lead, form, tokens, doc FROM t WHERE len(tokens) >= 4),
+        seen AS (SELECT DISTINCT len(tokens) AS n, tokens[1:3] AS lead, form, tokens, doc FROM t WHERE len(tokens) >= 4 OR length(form) >= 40),
         forms AS (SELECT n, lead, form, tokens, count(*) AS docs FROM seen GROUP BY ALL),
         leaves AS (SELECT n, lead, sum(docs) AS total FROM forms GROUP BY ALL HAVING count(*) > 1 AND sum(docs) >= 5),
         met AS (SELECT forms.* , total FROM forms JOIN leaves USING (n, lead)),
@@ -148,8 +148,17 @@ SQL: dict[str, str] = {
             GROUP BY m.n, m.lead, m.form HAVING count(modal.token) / any_value(m.n) >= 0.7
         ), spread AS (
             SELECT n, lead FROM seen JOIN instances USING (n, lead, form) GROUP BY n, lead HAVING count(DISTINCT doc) >= 5
-        ), gone AS (
-            SELECT form FROM forms WHERE docs >= 5 UNION SELECT form FROM instances JOIN spread USING (n, lead)
+        ), levels AS (SELECT n, lead, p, token, length(bin(CAST(docs // 5 AS BIGINT))) - 1 AS level FROM places WHERE docs >= 5),
+        marked AS (
+            SELECT m.n, m.lead, m.form, l.p, l.token, l.level FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM met) m
+            JOIN levels l ON m.n = l.n AND m.lead = l.lead AND m.p = l.p AND m.tokens[m.p] = l.token
+        ), tried AS (
+            SELECT k.n, k.lead, k.form, j, list((p, token) ORDER BY p) AS constants
+            FROM marked k JOIN (SELECT DISTINCT n, lead, form, level AS j FROM marked) j ON k.n = j.n AND k.lead = j.lead AND k.form = j.form AND k.level >= j.j
+            GROUP BY k.n, k.lead, k.form, j HAVING count(*) / k.n >= 0.7
+        ), many AS (SELECT n, lead, constants FROM seen JOIN tried USING (n, lead, form) GROUP BY n, lead, constants HAVING count(DISTINCT doc) >= 5),
+        gone AS (
+            SELECT form FROM forms WHERE docs >= 5 UNION SELECT form FROM instances JOIN spread USING (n, lead) UNION SELECT form FROM tried JOIN many USING (n, lead, constants)
         )
         SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE gone.form IS NULL), '') AS text,
             count(*) AS n_lines, count(gone.form) AS n_dropped

@@ -1,10 +1,16 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line is its tokens (between white space) with every run of digits masked as 0. The tree has a fixed depth: token count, then
-the first ``LEADING`` tokens; its leaves hold the distinct masked lines, called forms. In a leaf, the token that most documents
-have at a place is constant there if half of them have it, and every other place is a variable field: that is the leaf's
-template. A form that agrees with the constants on ``alike`` of its places or more is an instance of the template; any other is
-a template of its own. Templates that occur in ``min_docs`` documents or more are dropped from all of them.
+the first ``LEADING`` tokens; its leaves hold the distinct masked lines, called forms. A leaf has two kinds of templates:
+
+* its modal one: the token that most documents have at a place is constant there if half of them have it, and every other place
+  is a variable field. A form that agrees with the constants on ``alike`` of its places or more is an instance.
+* those of its levels, as lines of several templates may share length and lead: at level j a token is constant at its place if
+  ``min_docs`` * 2^j documents of the leaf or more have it there. Forms with the same constants at a level, on ``alike`` of the
+  places or more, have one template. What is rare at one level is a field there, however frequent it is at those below, and
+  other lines that come to the leaf take nothing from a template.
+
+Every form is also a template of its own. Templates that occur in ``min_docs`` documents or more are dropped from all of them.
 
 Copies of a document count once. Everything is counted by narrow keys; only the forms of leaves in which documents meet travel
 with their tokens. Keys are broadcast only while there are at most ``broadcast_rows`` of them.
@@ -38,12 +44,27 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def _recurring(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+def _levels(met: DataFrame, min_docs: int, alike: float) -> DataFrame:
+    """(leaf, form, key, template): the templates of the levels at which enough of a form is constant, with a 64-bit key each."""
+    places = met.select("leaf", "form", "docs", F.posexplode("tokens").alias("place", "token"))
+    common = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
+    level = F.length(F.bin(F.floor(F.col("docs") / min_docs))) - 1
+    common = common.select("leaf", "place", "token", level.alias("level"))
+    at = F.sort_array(F.collect_list(F.struct("place", "token", "level")))
+    marked = places.drop("docs").join(common, ["leaf", "place", "token"], "left").groupBy("leaf", "form").agg(at.alias("at"))
+    tried = marked.select("leaf", "form", "at", F.explode(F.array_distinct(F.filter(F.transform("at", lambda x: x["level"]), lambda x: x.isNotNull()))).alias("j"))
+    constants = F.filter("at", lambda x: x["level"] >= F.col("j"))
+    tried = tried.filter(F.size(constants) / F.size("at") >= alike)
+    key = F.xxhash64("leaf", F.transform(constants, lambda x: F.struct(x["place"], x["token"])))
+    return tried.select("leaf", "form", key.alias("key"), F.transform("at", lambda x: F.when(x["level"] >= F.col("j"), x["token"])).alias("template"))
+
+
+def _recurring(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000, min_chars: int = 40) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     # the forms are made inside the array, so that each is made once, whatever reads it later
     plain = F.array_distinct(F.transform(_lines(F.col("text")), _plain))
     lines = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc"), F.explode(plain).alias("plain"))
     size = F.length("plain") - F.length(F.replace(F.col("plain"), F.lit(" "), F.lit(""))) + 1
-    lines = lines.filter((F.col("plain") != "") & (size >= min_tokens))
+    lines = lines.filter((F.col("plain") != "") & ((size >= min_tokens) | (F.length("plain") >= min_chars)))
     lines = lines.select("doc", "plain", F.xxhash64(size, F.substring_index("plain", " ", LEADING)).alias("leaf"), F.xxhash64("plain").alias("form"))
     lines = stored(lines, "lines")  # so that the forms are made once; most readers take the keys only
     seen = stored(lines.select("leaf", "form", "doc").distinct(), "forms")
@@ -65,27 +86,35 @@ def _recurring(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_token
     instances = stored(instances, "instances")
     spread = seen.join(instances.select("leaf", "form"), ["leaf", "form"]).select("leaf", "doc").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs)
     general = instances.join(spread.select("leaf"), "leaf").select("form", "template")
-    return own.unionByName(general).groupBy("form").agg(F.max("template").alias("template")), (lines, seen, leaves, met, template, instances)
+    levels = stored(_levels(met, min_docs, alike), "levels")
+    many = seen.join(levels.select("leaf", "form", "key"), ["leaf", "form"]).select("key", "doc").distinct().groupBy("key").count().filter(F.col("count") >= min_docs)
+    several = levels.join(many.select("key"), "key").select("form", "template")
+    found = own.unionByName(general).unionByName(several).groupBy("form").agg(F.max("template").alias("template"))
+    return found, (lines, seen, leaves, met, template, instances, levels)
+
 
+def recurring_forms(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000, min_chars: int = 40) -> DataFrame:
+    """(form, template): the forms that belong to a recurring template; template is null where only the form itself recurs.
 
-def recurring_forms(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(form, template): the forms that belong to a recurring template; template is null where the form itself recurs."""
-    found, steps = _recurring(docs, min_docs, alike, min_tokens, broadcast_rows)
+    In a template the fields are null; of several templates that a form belongs to, the greatest is named.
+    """
+    found, steps = _recurring(docs, min_docs, alike, min_tokens, broadcast_rows, min_chars)
     found = stored(found, "recurring")
     forget(*steps)
     return found
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000, long_lines: int = 2_000) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000, long_lines: int = 2_000, min_chars: int = 40) -> DataFrame:
     """doc_id, text without the lines of recurring templates, n_lines and n_dropped for every row of ``docs`` (doc_id, text).
 
-    Lines of fewer than ``min_tokens`` tokens, empty ones among them, always stay. A null text is empty, one empty line. Whether
+    Lines of fewer than ``min_tokens`` tokens and fewer than ``min_chars`` characters, empty ones among them, always stay; one with
+    few tokens and many characters, as in scripts without spaces, goes if its form recurs. A null text is empty, one empty line. Whether
     a line is dropped depends on its form alone, so rows that share a doc_id and repeated rows are treated alike; a null doc_id
     is an id like any other. Ties for a constant take the larger token. Other columns are ignored; an empty table gives an
     empty result. Whole texts of any length are read; the lines of one with more than ``long_lines`` are joined with the forms
     one by one, as a look through an array of forms for each line would take the square of their number.
     """
-    forms = recurring_forms(docs, min_docs, alike, min_tokens, broadcast_rows).select("form")
+    forms = recurring_forms(docs, min_docs, alike, min_tokens, broadcast_rows, min_chars).select("form")
     lines = _lines(F.col("text"))
     is_long = F.size(lines) > long_lines
     docs = docs.select("doc_id", "text")

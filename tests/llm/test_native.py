@@ -76,6 +76,38 @@ def test_copies_of_a_document_do_not_make_a_template(spark):
     assert templates.drop_recurring_lines(docs).filter("n_dropped > 0").count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_several_templates_share_a_leaf(spark, tmp_path, limit):
+    """Templates of one length and lead: in parts of a half, three eighths and less; one with two fields of frequent values; prose."""
+    import itertools
+
+    import duckdb
+
+    from annalist.llm import queries
+    from tests.compare import same_rows
+
+    word = ["".join(x) for x in itertools.product("abcdefgh", repeat=3)]
+    lines = [f"the known user {w} logged in from our main office" for w in word[:60]]
+    lines += [f"the known user list was sent by {w} before noon" for w in word[:90]]
+    lines += [f"the known user of {a} went away to the {b}" for a, b in itertools.product(word[:9], word[9:18])]
+    prose = [f"the known user {' '.join(word[(7 * k * k + 31 * k * i + i) % 512] for i in range(7))}" for k in range(200)]
+    rare = [f"the known user {w} was never seen here by day" for w in word[:4]]
+    wide = ["登録利用者は本日事務所より接続し記録を残した後に退出したことをここに知らせるものであるから注意されたい"] * 5
+    docs = [(k, f"own {k}\n{x}") for k, x in enumerate(lines + prose + rare)] + [(1000 + k, f"line {'abcde'[k]}\n{x}\n短い行") for k, x in enumerate(wide)]
+    frame = spark.createDataFrame(docs, DOCS)
+    found = {r.doc_id: r.n_dropped for r in templates.drop_recurring_lines(frame, broadcast_rows=limit).collect()}
+    n = len(lines)
+    assert all(found[k] == 1 for k in range(n))
+    assert not any(found[k] for k in range(n, n + len(prose) + len(rare)))
+    assert all(found[1000 + k] == 1 for k in range(5))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(templates.drop_recurring_lines(frame, broadcast_rows=limit), con, queries.SQL["op6_line_dedup"])
+    forms = templates.recurring_forms(frame).select("template").distinct().collect()
+    assert ["the", "known", "user", "of", None, "went", "away", "to", "the", None] in [r.template for r in forms]
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 
