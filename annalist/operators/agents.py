@@ -106,7 +106,10 @@ def route_merges(proposals: DataFrame) -> DataFrame:
 
 
 def log_calls(agent: Agent, name: str, model_id: str, prompt_version: str, input_columns: Sequence[str], output_columns: Sequence[str]) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
-    """Wrap an agent: its output, and a row of the call log for each of its rows."""
+    """Wrap an agent: its output, and a row of the call log for each of its rows.
+
+    Tokens and latency (``tokens``, ``latency_s``) are those that the agent gives with its rows; null where it gives none.
+    """
 
     def run(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         out = agent(rows)
@@ -116,6 +119,7 @@ def log_calls(agent: Agent, name: str, model_id: str, prompt_version: str, input
             F.lit(prompt_version).alias("prompt_version"),
             F.sha2(F.to_json(F.struct(*input_columns)), 256).alias("input_hash"),
             F.to_json(F.struct(*output_columns)).alias("output"),
+            *[(F.col(c) if c in out.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (("tokens", "long"), ("latency_s", "double"))],
         )
         return out, call
 

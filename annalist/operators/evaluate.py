@@ -26,6 +26,13 @@ def macro_f1(classes: DataFrame) -> DataFrame:
     return classes.agg(F.avg("f1").alias("macro_f1"), F.count(F.lit(1)).alias("classes"))
 
 
+def evaluate(pairs: DataFrame, predicted: str, actual: str) -> DataFrame:
+    """(metric, value) of a run, as :func:`regressions` compares them: macro F1, and precision, recall and F1 of each class."""
+    classes = per_class(pairs, predicted, actual).select("class", "precision", "recall", "f1")
+    each = classes.unpivot("class", ["precision", "recall", "f1"], "measure", "value")
+    return each.select(F.concat_ws(" ", "measure", "class").alias("metric"), "value").unionByName(classes.agg(F.lit("macro f1").alias("metric"), F.avg("f1").alias("value")))
+
+
 def regressions(current: DataFrame, previous: DataFrame, by: float = 0.02) -> DataFrame:
     """Metrics (metric, value) that fell by more than ``by``."""
     joined = previous.withColumnRenamed("value", "before").join(current, "metric")

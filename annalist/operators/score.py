@@ -25,6 +25,15 @@ def tier(rules: Sequence[tuple[str, int]], otherwise: int = 2) -> Column:
     return out
 
 
+def scorer(rows: DataFrame, key: str, weights: Mapping[str, float], rules: Sequence[tuple[str, int]], judged: DataFrame | None = None, judged_column: str = "judged") -> DataFrame:
+    """(key, score, parts, tier) of features: the score by ``weights``, the tier by ``rules``; neither is asked of a model.
+
+    ``judged`` (key, ``judged_column``) is the one feature that a model may add; rows that it does not name have a null there.
+    """
+    known = rows if judged is None else rows.join(judged.select(key, judged_column), key, "left")
+    return known.select(key, score(weights).alias("x"), tier(rules).alias("tier")).select(key, "x.score", "x.parts", "tier")
+
+
 def priority(rows: DataFrame, group: Sequence[str], leading: Column, order: Sequence[Column]) -> DataFrame:
     """``rank`` within a group: rows with ``leading`` (in the window, no contact yet) first, then by ``order``."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(leading.desc(), *order)).cast("long"))

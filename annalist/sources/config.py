@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BRIEF = (
-    "id string, activated_at timestamp, sources array<struct<type:string,url:string,cron:string,licence_code:string>>, keywords array<string>, exclusions array<string>, "
+    "id string, activated_at timestamp, sources array<struct<type:string,url:string,cron:string,licence_code:string>>, "
+    "early_signal array<struct<type:string,url:string,cron:string,licence_code:string>>, keywords array<string>, exclusions array<string>, "
     "weights map<string,double>, watched array<struct<entity_id:string,watch:string>>, gaps array<string>"
 )
 
@@ -39,7 +40,10 @@ def stamp_brief(rows: DataFrame, brief: DataFrame) -> DataFrame:
 
 
 def brief_sources(briefs: DataFrame) -> DataFrame:
-    return briefs.select(F.col("id").alias("brief_version_id"), F.explode("sources").alias("s")).select("brief_version_id", "s.*")
+    """The sources of each version, those of early signals among them (``early``)."""
+    marked = lambda c, early: F.transform(c, lambda s: F.struct(s.alias("s"), F.lit(early).alias("early")))
+    both = F.flatten(F.array_compact(F.array(*[marked(c, early) for c, early in (("sources", False), ("early_signal", True)) if c in briefs.columns])))
+    return briefs.select(F.col("id").alias("brief_version_id"), F.explode(both).alias("x")).select("brief_version_id", "x.s.*", "x.early")
 
 
 def known_gaps(briefs: DataFrame) -> DataFrame:

@@ -49,8 +49,8 @@ def parse_feed(name: str, content: str) -> list[dict]:
     ]
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Items of all feeds saved under ``path``, a file each, read through Spark's own reader."""
+def feed_items(saved: DataFrame) -> DataFrame:
+    """Items of saved feeds (name, value: the whole XML); a feed that is not XML gives one row with ``error``."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -60,10 +60,19 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
             made["published_at"] = pd.to_datetime(made["published_at"])
             yield made
 
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value").mapInPandas(run, ITEM)
+    return saved.select("name", F.coalesce("value", F.lit("")).alias("value")).mapInPandas(run, ITEM)
 
 
-def read_news_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of saved news searches as sources: title and description are the text, and only links are kept for long."""
-    items = read_feed(spark, path).filter(F.col("error").isNull() & F.col("url").isNotNull())
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Items of all feeds saved under ``path``, a file each, read through Spark's own reader."""
+    return feed_items(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value"))
+
+
+def news_sources(items: DataFrame) -> DataFrame:
+    """Items of news searches as sources: title and description are the text, and only links are kept for long."""
+    items = items.filter(F.col("error").isNull() & F.col("url").isNotNull())
     return items.select("url", "title", F.concat_ws("\n", "title", "description").alias("text"), "published_at", F.lit("rss").alias("type"), F.lit("link_only").alias("retention_policy"), F.lit(False).alias("read_at_source"))
+
+
+def read_news_items(spark: SparkSession, path: str) -> DataFrame:
+    return news_sources(read_feed(spark, path))

@@ -17,12 +17,16 @@ def read_pages(spark: SparkSession, path: str, key: str = "page_id", html: str =
 
 
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each document of page texts (JSON lines: source_id, page, text, ocr_text): text, page_map, ocr.
+    """Documents of page texts saved as JSON lines (source_id, page, text, ocr_text): :func:`merge_pages`."""
+    return merge_pages(spark.read.schema(PAGE).json(path))
+
+
+def merge_pages(pages: DataFrame) -> DataFrame:
+    """One row for each document of page texts (source_id, page, text, ocr_text): text, page_map, ocr.
 
     There is no PDF library here: pages come with their text layer, or with that of an OCR engine where they have none. A
     document's pages are one value of the output.
     """
-    pages = spark.read.schema(PAGE).json(path)
     own = F.coalesce(F.nullif("text", F.lit("")), F.col("ocr_text"), F.lit(""))
     rows = pages.select("source_id", "page", X.normalise(own).alias("text"), (F.coalesce(F.length("text"), F.lit(0)) == 0).alias("ocr"))
     merged = rows.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"), F.bool_or("ocr").alias("ocr"))

@@ -133,3 +133,29 @@ def test_expiry_keeps_hashes(spark, days):
     rows = spark.createDataFrame([("verify_then_purge", dt.datetime(2024, 1, 1), "t", "h"), ("full", dt.datetime(2024, 1, 1), "t", "h")], "retention_policy string, fetched_at timestamp, text string, content_hash string")
     out = {r.retention_policy: (r.text, r.content_hash) for r in expire_texts(rows, F.lit("2024-01-15").cast("date"), days).collect()}
     assert out == {"verify_then_purge": (None if days == 0 else "t", "h"), "full": ("t", "h")}
+
+
+def test_chain_verifies_after_a_person_is_erased(spark, tmp_path):
+    from annalist.operators import govern as G
+
+    keys = spark.createDataFrame([("p", b"0123456789abcdef"), ("q", b"fedcba9876543210")], "person_id string, key binary")
+    people = spark.createDataFrame([("p", "Ann Lee"), ("q", "Bo Day")], "person_id string, name string").join(keys, "person_id")
+    rows = people.select(
+        F.concat(F.lit("e"), "person_id").alias("id"), F.lit("entity").alias("stream_type"), F.lit("s").alias("stream_id"), F.lit("ContactAdded").alias("event_type"),
+        F.to_json(F.struct("person_id", G.seal(F.col("name"), F.col("key")).alias("name"))).alias("payload"), F.lit("human").alias("actor_type"), F.lit("ann").alias("actor_id"),
+        F.lit(dt.datetime(2024, 1, 1)).alias("recorded_at"),
+    )
+    log = store.EventStore(spark, str(tmp_path / "log"))
+    assert log.append_events(rows) == 0
+    left = G.erase(keys, spark.createDataFrame([("p",)], "person_id string"))
+    kept = log.read().select(F.get_json_object("payload", "$.person_id").alias("person_id"), F.get_json_object("payload", "$.name").alias("name"))
+    assert {r.person_id: r.name for r in G.unseal(kept, left, ["name"]).collect()} == {"p": None, "q": "Bo Day"}
+    assert log.chain_breaks().count() == 0 and log.cut_ends().count() == 0
+
+
+def test_early_sources_of_a_brief(spark, tmp_path):
+    (tmp_path / "b.yaml").write_text("id: v1\nactivated_at: 2024-01-01 00:00:00\nsources:\n- {type: rss, url: http://a}\nearly_signal:\n- {type: permit, url: http://b}\n")
+    found = config.brief_sources(config.load_brief(spark, str(tmp_path / "b.yaml"))).collect()
+    assert [(r.type, r.url, r.early) for r in found] == [("rss", "http://a", False), ("permit", "http://b", True)]
+    (tmp_path / "c.yaml").write_text("id: v2\nearly_signal:\n- {type: permit, url: http://b}\n")
+    assert [r.early for r in config.brief_sources(config.load_brief(spark, str(tmp_path / "c.yaml"))).collect()] == [True]
