@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from annalist.llm import text as T
 from annalist.llm.shared import few_at_once, fold, lean
 
-#: Trigrams are hashed to so many buckets: with MAX_LANGS languages the model has at most 64 MB.
-BUCKETS, MAX_LANGS = 1 << 16, 256
+#: Trigrams are hashed to so many buckets for up to MAX_LANGS languages; beyond, buckets are halved as languages double, down
+#: to LEAST_BUCKETS, so the model keeps its bound of 64 MB.
+BUCKETS, MAX_LANGS, LEAST_BUCKETS = 1 << 16, 256, 1 << 8
+#: Numbers looked up at once while the words of a text get their likelihoods, at most (but for a single word's).
+CELLS = 1 << 24
 EXTRA, ROUNDS, SMOOTH = 6.0, 12, 0.05
 UNKNOWN = "und"
 
@@ -43,13 +46,36 @@ def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64), np.concatenate([[0], np.cumsum(ends - starts)])[:-1], np.searchsorted(starts, bounds)
 
 
+def bucket_bits(n_lang: int) -> int:
+    """Bits of a bucket for so many languages."""
+    bits = BUCKETS.bit_length() - 1
+    while n_lang << bits > MAX_LANGS * BUCKETS:
+        bits -= 1
+    if 1 << bits < LEAST_BUCKETS:
+        raise ValueError(f"{n_lang} languages: more than a model of {LEAST_BUCKETS} buckets has room for")
+    return bits
+
+
 class LanguageModel:
     """``langs`` in order, and the log probability of every bucket in each."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
         self.langs = sorted(counts)
         table = np.stack([counts[x] for x in self.langs], axis=1) if counts else np.zeros((BUCKETS, 0))
-        self.logs = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * BUCKETS)).astype(np.float32)
+        self.logs = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * len(table))).astype(np.float32)
+        self.shift = BUCKETS.bit_length() - len(table).bit_length()
+
+    def _likelihoods(self, buckets: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Log likelihood of every word in every language: looked up for a run of words at a time, so a giant text takes room for
+        its words and not for its trigrams."""
+        out = np.empty((len(words), len(self.langs)))
+        ends = np.append(words[1:], len(buckets))
+        a = 0
+        while a < len(words):
+            b = max(a + 1, int(np.searchsorted(ends, words[a] + CELLS // len(self.langs), "right")))
+            out[a:b] = np.add.reduceat(self.logs[buckets[words[a] : ends[b - 1]] >> self.shift], words[a:b] - words[a], axis=0)
+            a = b
+        return out
 
     def infer(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Shares of the languages in each text (0 outside its set), and the posterior of each as the only language."""
@@ -60,7 +86,7 @@ class LanguageModel:
         shares, posterior = np.full((n, n_lang), 1 / max(1, n_lang)), np.full((n, n_lang), 1 / max(1, n_lang))
         if not len(full) or not n_lang:
             return shares, posterior
-        like = np.add.reduceat(self.logs[buckets], words, axis=0).astype(np.float64)
+        like = self._likelihoods(buckets, words)
         at = first[:-1][full]
         single = np.add.reduceat(like, at, axis=0)
         odds = np.exp(single - single.max(axis=1, keepdims=True))
@@ -109,8 +135,11 @@ def fit(docs: DataFrame) -> LanguageModel:
     """Learn from ``docs`` (doc_id, text, lang) with a lang, without the rows whose fold is 0.
 
     Trigrams are counted in the tasks, so a shuffle carries one row for each task, language and bucket at most, and the driver
-    receives one for each language and bucket.
+    receives one for each language and bucket: MAX_LANGS x BUCKETS at most, as more languages have fewer buckets.
     """
+    known = few_at_once(docs).filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0)).select("lang", "text")
+    bits = bucket_bits(known.select("lang").distinct().count())
+    size, shift = 1 << bits, BUCKETS.bit_length() - 1 - bits
 
     def run(parts):
         counts: dict[str, np.ndarray] = {}
@@ -128,17 +157,14 @@ def fit(docs: DataFrame) -> LanguageModel:
                     yield from rows()
                     counts = {}
                 buckets, _, _ = _trigrams([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                counts[lang] += np.bincount(buckets, minlength=BUCKETS)
+                counts.setdefault(lang, np.zeros(size, np.int64))
+                counts[lang] += np.bincount(buckets >> shift, minlength=size)
         yield from rows()
 
-    known = few_at_once(docs).filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0)).select("lang", "text")
-    if known.select("lang").distinct().count() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
     total = known.mapInArrow(lean(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, np.ndarray] = {}
     for lang, part in ((x, total.filter(pc.equal(total.column("lang"), x))) for x in pc.unique(total.column("lang")).to_pylist()):
-        counts[lang] = np.zeros(BUCKETS)
+        counts[lang] = np.zeros(size)
         counts[lang][part.column("bucket").to_numpy()] = part.column("n").to_numpy()
     return LanguageModel(counts)
 

@@ -231,3 +231,34 @@ def test_likeness_reads_trigrams():
     odds = quality.log_odds(count(0) + count(1), count(0))
     liked = quality.measures(texts, odds)[:, -1]
     assert liked[0] > 0.1 and liked[1] < -1
+
+
+def test_likelihoods_by_runs_of_words(monkeypatch):
+    """The runs in which words are looked up change nothing, down to one word at a time."""
+    rnd = np.random.default_rng(3)
+    model = langmix.LanguageModel({x: rnd.integers(0, 50, langmix.BUCKETS).astype(float) for x in ("a", "b", "c")})
+    buckets, words, _ = langmix._trigrams([b"one word and another, then some more", b"", b"x"])
+    whole = np.add.reduceat(model.logs[buckets], words, axis=0)
+    for cells in (1, 12, 40, 1 << 24):
+        monkeypatch.setattr(langmix, "CELLS", cells)
+        assert np.array_equal(model._likelihoods(buckets, words), whole.astype(np.float64))
+
+
+def test_more_languages_have_fewer_buckets(spark):
+    """300 languages, beyond those with all buckets: each text is still found by its own words."""
+    assert [langmix.bucket_bits(n) for n in (0, 1, 256, 257, 512, 513, 65536)] == [16, 16, 16, 15, 15, 14, 8]
+    with pytest.raises(ValueError, match="languages"):
+        langmix.bucket_bits(65537)
+    rnd = np.random.default_rng(4)
+    own = ["".join(chr(97 + c) for c in rnd.integers(0, 26, 24)) for _ in range(300)]
+    rows = [(k, f"{w} {w} {w}", f"l{k:03d}") for k, w in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langmix.fit(docs)
+    learned = {r.lang for r in docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).collect()}
+    few = langmix.LanguageModel({x: np.ones(1 << 10) for x in "ab"})
+    assert len(model.langs) == len(learned) and few.shift == 6
+    wide = spark.createDataFrame([(5 * k + j, f"{w} {w} {w}", f"l{k:03d}") for k, w in enumerate(own) for j in range(5)], docs.schema)
+    model = langmix.fit(wide)
+    assert model.logs.shape == (1 << 15, len(model.langs)) and len(model.langs) > 256
+    found = {r.doc_id: r.lang_pred for r in langmix.identify(docs, model).collect()}
+    assert all(found[k] == lang for k, _, lang in rows if lang in model.langs)
