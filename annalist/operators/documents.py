@@ -18,12 +18,16 @@ BLOCKS = tuple(10 * k for k in range(6))
 def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, simhash): 60 bits, each set where more than half of the words have it; null without words.
 
-    Words are counted into 60 sums in one grouping, before the shuffle. Their bits are made inside the array, once each.
+    Words are counted in one grouping, before the shuffle. Each of its 30 sums holds the counts of two bits, 30 bits apart: a
+    text of at most 2 GB has fewer than 2^30 words, so neither count reaches the other.
     """
     tokens = docs.select(key, F.explode_outer(F.transform(X.words(F.col(text)), X.token_bits)).alias("h"))
-    bit = lambda k: F.shiftright("h", k).bitwiseAND(F.lit(1).cast("long"))
-    sums = tokens.groupBy(key).agg(F.count("h").alias("n"), *[F.sum(bit(k)).alias(f"b{k}") for k in range(60)])
-    value = sum((F.when(2 * F.col(f"b{k}") > F.col("n"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(1, 60)), F.when(2 * F.col("b0") > F.col("n"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    low = (1 << 30) - 1
+    two = lambda k: F.shiftright("h", k).bitwiseAND(F.lit(1 << 30 | 1).cast("long"))
+    sums = tokens.groupBy(key).agg(F.count("h").alias("n"), *[F.sum(two(k)).alias(f"b{k}") for k in range(30)])
+    count = lambda k: F.col(f"b{k}").bitwiseAND(F.lit(low).cast("long")) if k < 30 else F.shiftright(f"b{k - 30}", 30)
+    bits = [F.when(2 * count(k) > F.col("n"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(60)]
+    value = sum(bits[1:], bits[0])
     return sums.select(key, F.when(F.col("n") > 0, value).alias("simhash"))
 
 

@@ -75,9 +75,9 @@ def passage_spans(spark, sf_dir):
     """
     passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("p")).filter(F.length("passage") > 0)
     short = passages.filter(F.size("p") < 5).select("item_id", "passage")
-    passages = passages.filter(F.size("p") >= 5).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("p", 2, 3), " ")).alias("head"))
-    words = F.split("text", r"\s+")
-    starts = _docs(spark, sf_dir).filter(F.length("text") > 0).select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(3)), " "))))).alias("head"))
+    passages = passages.filter(F.size("p") >= 5).select("item_id", "passage", F.xxhash64(*[F.get("p", F.lit(k)) for k in (1, 2, 3)]).alias("head"))
+    words = _docs(spark, sf_dir).filter(F.length("text") > 0).select("doc_id", F.split("text", r"\s+").alias("w"))
+    starts = words.select("doc_id", F.explode(F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))).alias("head"))
     meet = starts.join(passages.select("item_id", "passage", "head"), "head").select("doc_id", "item_id", "passage")
     short = F.broadcast(short) if short.count() <= SHORT_PASSAGES else short
     meet = meet.unionByName(_docs(spark, sf_dir).join(short, F.expr("instr(text, passage) > 0")).select("doc_id", "item_id", "passage")).distinct()
