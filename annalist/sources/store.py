@@ -6,14 +6,16 @@ Files of a table can be overwritten by whoever may write its folder; this librar
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist import model
 from annalist.functions import text as X
 from annalist.operators import documents as D
 from annalist.operators import events as E
+from annalist.operators import govern as G
 
 CONTENT = (
     "id", "stream_type", "stream_id", "sequence", "event_type", "payload", "evidence_text", "certainty", "actor_type", "actor_id", "model_id", "prompt_version",
@@ -120,6 +122,28 @@ def tables(spark: SparkSession, path: str) -> dict[str, AppendOnly]:
     return {name: AppendOnly(spark, f"{path}/{name}", schema) for name, schema in schemas.items()}
 
 
+def write_sources(sources: AppendOnly, urls: AppendOnly, found: DataFrame, licences: Mapping[str, str], brief_version_id: str | None = None) -> None:
+    """Append found documents (url, text, fetched_at, licence_code, ... columns of a source) as sources.
+
+    A text is one source, the first found of it: with its hash, fingerprint, language and retention policy, and an id that its
+    hash gives. A text that is there already adds none; every address that it was found at is kept once. So found documents may
+    be written again after a failure.
+    """
+    rows = found.withColumn("content_hash", X.content_hash(X.normalise(F.col("text")))).withColumn("id", X.ulid_like(F.lit("source"), F.col("content_hash")))
+    new = D.new_only(E.first_of(rows, ["content_hash"], ["fetched_at", "url"]), sources.read())
+    judged = D.with_policy(new, licences, "licence_code").withColumns({"language": X.detect_language(F.col("text")), "brief_version_id": F.lit(brief_version_id)})
+    sources.append(judged.join(D.simhash(new, "content_hash", "text"), "content_hash"))
+    seen = rows.groupBy(F.col("id").alias("source_id"), "url").agg(F.min("fetched_at").alias("seen_at"))
+    urls.append(seen.join(urls.read().select("source_id", "url"), ["source_id", "url"], "left_anti"))
+
+
+def purge_texts(texts: DataFrame, sources: DataFrame, now: Column, days: int, target: str) -> None:
+    """Write the texts (source_id, text, ...) to a new folder, those that have expired as null: their rows and hashes stay."""
+    policy = sources.select(F.col("id").alias("source_id"), F.col("retention_policy"), F.col("fetched_at"))
+    kept = G.expire_texts(texts.join(policy, "source_id", "left"), now, days)
+    kept.select(*texts.columns).write.parquet(target)
+
+
 def write_texts(texts: AppendOnly, rows: DataFrame) -> None:
     """Append normalised texts (source_id, text_uri, text) with their hashes; a source whose text is there already adds none."""
     new = rows.join(texts.read().select("source_id").distinct(), "source_id", "left_anti").dropDuplicates(["source_id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from annalist.functions import text as X
 from annalist.operators import documents as D
 from annalist.operators import events as E
+from annalist.operators import govern as G
+from annalist.sources import store as S
 
 
 def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -42,6 +44,15 @@ def ingest_stream(found: DataFrame, store: str, checkpoint: str, trigger: dict |
     return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def source_stream(found: DataFrame, sources: S.AppendOnly, urls: S.AppendOnly, licences: Mapping[str, str], checkpoint: str, brief_version_id: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Collect documents as whole source rows: :func:`annalist.sources.store.write_sources` for each batch. A repeated batch adds none."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        S.write_sources(sources, urls, batch, licences, brief_version_id)
+
+    return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def event_stream(spark: SparkSession, path: str, schema, files_at_once: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
@@ -65,10 +76,16 @@ def read_projection(spark: SparkSession, target: str, keys: list[str]) -> DataFr
     return E.latest_of(spark.read.parquet(target), keys, ["version"]).drop("version")
 
 
-def raise_alerts(signals: DataFrame, target: str, checkpoint: str, tier: str = "tier", trigger: dict | None = None) -> StreamingQuery:
-    """Tier 0 signals become unconfirmed alerts as they arrive, ahead of any approval."""
+def raise_alerts(signals: DataFrame, target: str, checkpoint: str, tier: str = "tier", trigger: dict | None = None, store: S.EventStore | None = None) -> StreamingQuery:
+    """Tier 0 signals become unconfirmed alerts as they arrive, ahead of any approval.
+
+    With a ``store``, each also becomes an AlertRaised event of its stream, once: a repeated batch finds its events there.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
+        if store is not None:
+            raised = store.read().filter("event_type = 'AlertRaised'").select("id")
+            store.append_events(G.alert_events(batch, tier).join(raised, "id", "left_anti"))
         alerts = batch.filter(F.col(tier) == 0).withColumn("status", F.lit("unconfirmed")).withColumn("raised_at", F.current_timestamp())
         alerts.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
 

@@ -159,3 +159,37 @@ def test_early_sources_of_a_brief(spark, tmp_path):
     assert [(r.type, r.url, r.early) for r in found] == [("rss", "http://a", False), ("permit", "http://b", True)]
     (tmp_path / "c.yaml").write_text("id: v2\nearly_signal:\n- {type: permit, url: http://b}\n")
     assert [r.early for r in config.brief_sources(config.load_brief(spark, str(tmp_path / "c.yaml"))).collect()] == [True]
+
+
+def test_found_documents_become_sources_once(spark, tmp_path):
+    """Hash, fingerprint, language and policy of each text; every address once; a second run adds nothing; texts expire."""
+    schema = "url string, text string, fetched_at timestamp, licence_code string"
+    at = dt.datetime(2024, 1, 1)
+    rows = [("u1", "the cat and the dog", at, "open"), ("u2", "the cat and the dog", at, "open"), ("u3", "der Hund und die Katze", at, "odd"), ("u4", None, at, None), ("u5", "the mine", at, "open")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    kept = store.tables(spark, str(tmp_path / "store"))
+    for ck in ("ck", "again"):
+        streams.source_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), kept["sources"], kept["source_urls"], {"open": "full"}, str(tmp_path / ck), "b1").awaitTermination()
+    found = {r.url: r for r in kept["sources"].read().collect()}
+    assert sorted(found) == ["u1", "u3", "u4", "u5"] and kept["sources"].read().count() == 4
+    assert (found["u1"].language, found["u3"].language, found["u1"].retention_policy, found["u3"].retention_policy) == ("en", "de", "full", "verify_then_purge")
+    assert found["u1"].simhash is not None and found["u4"].simhash is None and found["u1"].brief_version_id == "b1"
+    urls = sorted((r.source_id, r.url) for r in kept["source_urls"].read().collect())
+    assert len(urls) == 5 and [u for i, u in urls if i == found["u1"].id] == ["u1", "u2"]
+
+    store.write_texts(kept["texts"], kept["sources"].read().select(F.col("id").alias("source_id"), F.lit("text").alias("text")))
+    store.purge_texts(kept["texts"].read(), kept["sources"].read(), F.lit("2024-03-01").cast("date"), 30, str(tmp_path / "left"))
+    left = {r.source_id: r for r in spark.read.parquet(str(tmp_path / "left")).collect()}
+    assert left[found["u1"].id].text == "text" and left[found["u3"].id].text is None and left[found["u3"].id].content_hash is not None
+
+
+def test_alerts_are_events_of_the_store(spark, tmp_path):
+    schema = "id string, stream_type string, stream_id string, tier int, evidence_ids array<string>, recorded_at timestamp"
+    at = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([("a", "entity", "p1", 0, ["e"], at), ("b", "entity", "p1", 1, ["e"], at), ("c", "entity", "p2", 0, ["e"], at)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    log = store.EventStore(spark, str(tmp_path / "store"))
+    for ck in ("ck", "again"):
+        streams.raise_alerts(streams.event_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "alerts"), str(tmp_path / ck), store=log).awaitTermination()
+    assert log.quarantine.read().count() == 0
+    assert sorted((r.stream_id, r.event_type, r.sequence) for r in log.read().collect()) == [("p1", "AlertRaised", 1), ("p2", "AlertRaised", 1)]
+    assert log.chain_breaks().count() == 0
