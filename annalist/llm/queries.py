@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, ctw, decontam, exact_dedup, langmix, pagediff, pieces, quality, setsketch, templates
-from annalist.llm.shared import fold, table
+from annalist.llm import chat, codes, ctw, decontam, exact_dedup, langmix, pagediff, pieces, quality, rope, secrets, setsketch, templates
+from annalist.llm.shared import fold, stored, table
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 HARD_TURN = "\\### Assistant: </turn> ok"
 
 
@@ -81,6 +82,31 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = codes.fit(vectors)
+    coded = stored(codes.encode(vectors, books).drop("embedding"), "codes")
+    out = codes.total_by(coded, "error", ["label"], "label_error")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str, vocabulary: str = RANKS) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.KINDS[:3]))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(said(base), 256).alias("base_sha256"),
+        said(F.col("secrets")).alias("spans"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rope.undo(rope.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_decontamination": op2_decontamination,
@@ -92,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -186,4 +215,52 @@ SQL: dict[str, str] = {
                 WHEN before = 'user' THEN r = 'assistant' ELSE false END) AND bool_or(k = n AND r = 'assistant') AS valid
         FROM e GROUP BY conv_id
     """,
+    "op11_vector_codes": """
+        WITH v AS (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+        ), k AS MATERIALIZED (SELECT rid, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS x FROM (SELECT rid, x, unnest(range(16)) AS part FROM v)),
+        c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM k WHERE rid <= 64),
+        a0 AS MATERIALIZED (
+            SELECT rid, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+            FROM (SELECT k.rid, k.part, c.entry, list_sum(list_transform(list_zip(k.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM k JOIN c0 c USING (part))
+            GROUP BY rid, part
+        ), s0 AS (
+            SELECT part, entry, p, sum(x[p]) AS s, count(*) AS n
+            FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS p FROM k JOIN a0 USING (rid, part)) GROUP BY part, entry, p
+        ), m0 AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS x FROM s0 GROUP BY part, entry),
+        c1 AS MATERIALIZED (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c0 c LEFT JOIN m0 m USING (part, entry)), a1 AS MATERIALIZED (
+            SELECT rid, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+            FROM (SELECT k.rid, k.part, c.entry, list_sum(list_transform(list_zip(k.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM k JOIN c1 c USING (part))
+            GROUP BY rid, part
+        ), s1 AS (
+            SELECT part, entry, p, sum(x[p]) AS s, count(*) AS n
+            FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS p FROM k JOIN a1 USING (rid, part)) GROUP BY part, entry, p
+        ), m1 AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS x FROM s1 GROUP BY part, entry),
+        c2 AS MATERIALIZED (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c1 c LEFT JOIN m1 m USING (part, entry)), a2 AS MATERIALIZED (
+            SELECT rid, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+            FROM (SELECT k.rid, k.part, c.entry, list_sum(list_transform(list_zip(k.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM k JOIN c2 c USING (part))
+            GROUP BY rid, part
+        ),
+        e AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY rid),
+        t AS (SELECT v.vec_id, v.label, e.code, e.error FROM v JOIN e USING (rid)),
+        h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM t, h
+    """,
+    "op13_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+        ), r AS (SELECT doc_id, t, n, list_transform(range(4), lambda k: CAST('0x' || h[8 * k + 1 : 8 * k + 8] AS BIGINT)) AS h FROM d),
+        f AS (
+            SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM r
+        ), o AS (SELECT doc_id, t, n, form, a, b, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM o
+    """,
 }
