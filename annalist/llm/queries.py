@@ -94,9 +94,10 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str, vocabulary: str = RANKS)
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
     base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.KINDS[:3]))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        *[count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
         F.sha2(said(base), 256).alias("base_sha256"),
         said(F.col("secrets")).alias("spans"),
     )
