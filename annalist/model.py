@@ -99,5 +99,5 @@ APPROVAL: tuple[tuple[str, str | None, float, str], ...] = (
 #: Reason codes of rejected rows.
 REASONS = (
     "unknown_event_type", "no_evidence", "actor_not_human", "no_reason", "agent_without_proposal", "bad_payload", "bad_span", "value_not_in_quote", "quote_too_long",
-    "unknown_code", "unknown_predicate", "self_approval", "unknown_stream_type", "unknown_actor_type", "missing_value",
+    "unknown_code", "unknown_predicate", "self_approval", "unknown_stream_type", "unknown_actor_type", "missing_value", "duplicate_id",
 )

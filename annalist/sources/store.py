@@ -5,7 +5,8 @@ Files of a table can be overwritten by whoever may write its folder; this librar
 
 from __future__ import annotations
 
-import uuid
+import random
+import time
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from annalist.functions import text as X
 from annalist.operators import documents as D
 from annalist.operators import events as E
 from annalist.operators import govern as G
+from annalist.sources.commits import CommitLog, Snapshot
+from annalist.sources.runs import Runs, key_of
 
 CONTENT = (
     "id", "stream_type", "stream_id", "sequence", "event_type", "payload", "evidence_text", "certainty", "actor_type", "actor_id", "model_id", "prompt_version",
@@ -56,50 +59,116 @@ def _hashed(events: DataFrame) -> DataFrame:
     return events.withColumns({"evidence_text": F.to_json("evidence_ids"), "recorded_text": F.unix_micros("recorded_at").cast("string")})
 
 
+#: The content of an event without what the store gives it.
+SENT = tuple(c for c in CONTENT if c != "sequence")
+
+
 class EventStore(AppendOnly):
-    """The event log: validated, numbered, chained. One writer at a time, as a stream's numbers and hashes follow its head.
+    """The event log: validated, numbered, chained, and written in commits that several writers may try at once.
 
-    The heads of streams (last number and hash) are a table beside the log, so an append reads the heads of the streams that it
-    touches and never the log. A batch is staged before it is appended, so that its heads are those of the rows that were written.
-    After a writer that died between log and heads, :meth:`repair_heads` reads the log once.
+    An append stages its rows, looks up its ids and the heads of its streams in two indexes (:mod:`annalist.sources.runs`), and
+    publishes rows, ids and heads in one commit (:mod:`annalist.sources.commits`). If another writer was faster, it abandons
+    its files, reads the new heads and tries again: so numbers and hashes of a stream follow one another whoever writes, an id
+    is in the log once, and what a reader sees is whole commits. The log itself is never read by an append.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark, path + "/events", model.EVENT)
         self.quarantine = AppendOnly(spark, path + "/quarantine", model.QUARANTINE)
         self.head_log = AppendOnly(spark, path + "/heads", model.HEAD)
-        self.staging = path + "/staging"
+        self.log = CommitLog(spark, path)
+        self.ids = Runs(self.log, "ids", "content string")
+        self.ends = Runs(self.log, "stream_heads", "stream_type string, stream_id string, head bigint, hash string", newest="head")
+
+    def read(self, snapshot: Snapshot | None = None) -> DataFrame:
+        return self.log.read("events", self.schema, snapshot)
 
     def heads(self) -> DataFrame:
         """The last number and hash of each stream."""
-        return self.head_log.read().groupBy(*E.STREAM).agg(F.max("head").alias("head"), F.max_by("hash", "head").alias("hash"))
+        return self.ends.all(self.log.snapshot()).drop("key")
 
     def repair_heads(self) -> None:
-        ends = self.read().groupBy(*E.STREAM).agg(F.max("sequence").alias("head"), F.max_by("hash", "sequence").alias("hash"))
-        self.head_log.append(ends.join(self.heads().select(*E.STREAM, "head"), [*E.STREAM, "head"], "left_anti"))
-
-    def append_events(self, rows: DataFrame) -> int:
-        """Append what passes the rules; the rest goes to quarantine with its reason. Returns how many rows were refused."""
+        """Compare the heads with the log, which is read once, and add those that differ."""
+        now = self.log.snapshot()
+        ends = self.read(now).groupBy(*E.STREAM).agg(F.max("sequence").alias("head"), F.max_by("hash", "sequence").alias("hash"))
+        wrong = ends.join(self.ends.all(now).select(*E.STREAM, "head"), [*E.STREAM, "head"], "left_anti").withColumn("key", key_of(F.col("stream_type"), F.col("stream_id")))
+        if n := wrong.count():
+            self.log.commit(now, {"stream_heads": [self.ends.stage(wrong, n)]})
+
+    def append_events(self, rows: DataFrame, attempts: int = 20) -> int:
+        """Append what passes the rules; the rest goes to quarantine with its reason. Returns how many rows were refused.
+
+        An event whose id is in the log already, or is repeated in ``rows``, is skipped if it says the same, so a batch may be
+        sent again; one that says something else is refused (``duplicate_id``; within ``rows``, the first by time and content
+        stays). ``attempts``: how often other writers may be faster before this gives up.
+        """
         have = set(rows.columns)
         rows = rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in model.EVENT.fields if f.name not in ("sequence", "prev_hash", "hash")])
-        judged = self._staged(rows.withColumn("reason_code", E.reason_code(required=("id", "stream_id", "recorded_at"))))
-        bad = judged.filter(F.col("reason_code").isNotNull())
-        refused = bad.count()
-        if refused:
-            self.quarantine.append(bad.select("id", F.lit("append").alias("step"), F.to_json(F.struct("event_type", "payload")).alias("output"), "reason_code", F.col("recorded_at").alias("created_at")))
-        good = judged.filter(F.col("reason_code").isNull()).drop("reason_code")
-        heads = self.heads().join(good.select(*E.STREAM).distinct(), list(E.STREAM), "left_semi")
-        numbered = E.assign_sequence(good, heads=heads.select(*E.STREAM, "head"))
-        chained = self._staged(E.hash_chain(_hashed(numbered), event_content(), seeds=heads.select(*E.STREAM, "hash")))
-        self.append(chained)
-        self.head_log.append(chained.groupBy(*E.STREAM).agg(F.max("sequence").alias("head"), F.max_by("hash", "sequence").alias("hash")))
-        return refused
-
-    def _staged(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.staging}/{uuid.uuid4().hex}"
+        scratch = self.log.scratch()
+        try:
+            judged = self._kept(_hashed(rows.withColumn("reason_code", E.reason_code(required=("id", "stream_id", "recorded_at")))), f"{scratch}/judged")
+            good = judged.filter(F.col("reason_code").isNull()).withColumns({"content": F.sha2(E.canonical(*SENT), 256), "key": key_of(F.col("id"))}).drop("reason_code")
+            good = good.dropDuplicates(["key", "content"])
+            first = good.groupBy("key").agg(F.min(F.struct("recorded_at", "content"))["content"].alias("first"))
+            good = self._kept(good.join(first, "key"), f"{scratch}/good")
+            bad = judged.filter(F.col("reason_code").isNotNull()).select(*rows.columns, "reason_code")
+            twice = good.filter("content <> first").select(*rows.columns, F.lit("duplicate_id").alias("reason_code"))
+            good, refused = good.filter("content = first").drop("first"), bad.unionByName(twice)
+            for _ in range(attempts):
+                now = self.log.snapshot()
+                new, other = self._unseen(good, now, f"{scratch}/{now.version}")
+                if self._commit(new, now, f"{scratch}/{now.version}"):
+                    break
+                time.sleep(random.random() * 0.2)
+            else:
+                raise RuntimeError(f"other writers were faster {attempts} times")
+            refused = refused.unionByName(other.select(*rows.columns, F.lit("duplicate_id").alias("reason_code")))
+            if n := refused.count():
+                self.quarantine.append(refused.select("id", F.lit("append").alias("step"), F.to_json(F.struct("event_type", "payload")).alias("output"), "reason_code", F.col("recorded_at").alias("created_at")))
+        finally:
+            self.log.files.delete(scratch)
+        self.ids.merge()
+        self.ends.merge()
+        return n
+
+    def _kept(self, rows: DataFrame, path: str) -> DataFrame:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def _unseen(self, good: DataFrame, now: Snapshot, scratch: str) -> tuple[DataFrame, DataFrame]:
+        """Events whose id the log does not have, and those whose id it has with another content."""
+        if not now.tables.get("ids"):
+            return good, good.filter("false")
+        seen = self._kept(self.ids.find(good.select("key"), now).withColumnRenamed("content", "before"), f"{scratch}/seen")
+        other = good.join(seen, "key").filter("content <> before").drop("before")
+        return good.join(seen, "key", "left_anti"), other
+
+    def _commit(self, new: DataFrame, now: Snapshot, scratch: str) -> bool:
+        streams = new.select(*E.STREAM).distinct().withColumn("key", key_of(F.col("stream_type"), F.col("stream_id")))
+        heads = self.ends.find(streams, now).drop("key")
+        if now.tables.get("stream_heads"):
+            heads = self._kept(heads, f"{scratch}/heads")
+        numbered = E.assign_sequence(new.drop("key"), heads=heads.select(*E.STREAM, "head"))
+        chained = E.hash_chain(numbered, event_content(), seeds=heads.select(*E.STREAM, "hash"))
+        chained = self._kept(chained.withColumn("key", key_of(F.col("id"))), f"{scratch}/chained")
+        ends = chained.groupBy(*E.STREAM).agg(F.max("sequence").alias("head"), F.max_by("hash", "sequence").alias("hash"), F.count(F.lit(1)).alias("n"))
+        n, n_streams = ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        if not n:
+            return True
+        ends = ends.withColumn("key", key_of(F.col("stream_type"), F.col("stream_id")))
+        staged: dict[str, list[dict]] = {"events": [], "ids": [], "stream_heads": []}
+        try:
+            staged["events"].append(self.log.stage_rows("events", chained.select(*[f.name for f in model.EVENT.fields]), rows=n))
+            staged["ids"].append(self.ids.stage(chained, n))
+            staged["stream_heads"].append(self.ends.stage(ends, n_streams))
+        except BaseException:
+            self.log.abandon(staged)
+            raise
+        if self.log.commit(now, staged):  # if this fails, it may be published all the same: then its files must stay
+            return True
+        self.log.abandon(staged)
+        return False
+
     def cut_ends(self) -> DataFrame:
         """Streams whose last event is gone from the log."""
         return E.cut_ends(self.read(), self.heads())

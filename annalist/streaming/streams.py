@@ -54,7 +54,8 @@ def source_stream(found: DataFrame, sources: S.AppendOnly, urls: S.AppendOnly, l
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_at_once: int = 64) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+    """The files of a folder as they come, those of its subfolders too: of an event store, what has been committed."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", "true").parquet(path)
 
 
 def project_stream(events: DataFrame, log: Callable[[], DataFrame], target: str, checkpoint: str, keys: list[str], values: list[str], trigger: dict | None = None) -> StreamingQuery:
@@ -79,13 +80,12 @@ def read_projection(spark: SparkSession, target: str, keys: list[str]) -> DataFr
 def raise_alerts(signals: DataFrame, target: str, checkpoint: str, tier: str = "tier", trigger: dict | None = None, store: S.EventStore | None = None) -> StreamingQuery:
     """Tier 0 signals become unconfirmed alerts as they arrive, ahead of any approval.
 
-    With a ``store``, each also becomes an AlertRaised event of its stream, once: a repeated batch finds its events there.
+    With a ``store``, each also becomes an AlertRaised event of its stream, once: the store skips what it has, by its index of ids.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         if store is not None:
-            raised = store.read().filter("event_type = 'AlertRaised'").select("id")
-            store.append_events(G.alert_events(batch, tier).join(raised, "id", "left_anti"))
+            store.append_events(G.alert_events(batch, tier))
         alerts = batch.filter(F.col(tier) == 0).withColumn("status", F.lit("unconfirmed")).withColumn("raised_at", F.current_timestamp())
         alerts.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
 
