@@ -74,8 +74,9 @@ def approve(proposals: DataFrame, approvals: DataFrame) -> DataFrame:
     """Events of approved proposals: ``approvals`` has proposal_id, actor_id, recorded_at, and payload if it was edited.
 
     Nobody approves their own proposal; one whose maker or approver is unknown is not approved. Evidence is that of the proposal;
-    an edited one is an event of its editor. The id of an event depends on the proposal and its approver alone, so an approval
-    that is sent twice is one event. Streams are those of the proposals (null where these name none, which the store refuses).
+    an edited one is an event of its editor. The id of an event depends on the proposal and its approver, so an approval that is
+    sent twice is one event, once the store has it; what several people decide of one proposal is for :func:`settle`. Streams are
+    those of the proposals (null where these name none, which the store refuses).
     """
     joined = proposals.join(approvals.withColumnsRenamed({"proposal_id": "id", "payload": "edited"}), "id").filter(F.col("actor_id") != F.col("created_by"))
     return joined.select(
@@ -92,6 +93,45 @@ def approve(proposals: DataFrame, approvals: DataFrame) -> DataFrame:
     )
 
 
+def decisions(proposals: DataFrame, approvals: DataFrame, rejections: DataFrame, roles: DataFrame) -> DataFrame:
+    """The first valid decision on each proposal: proposal_id, approved, actor_id, recorded_at, edited and reason.
+
+    ``approvals``: proposal_id, actor_id, recorded_at, payload (null if it was not edited); ``rejections``: proposal_id, actor_id,
+    recorded_at, reason; ``roles``: user_id, role. A decision counts if its actor has the rights of an approver in some role, did
+    not make the proposal (whose maker must be known), and, for a rejection, gives a reason that is not blank. The earliest
+    counts; at one time a rejection comes before an approval, then the lesser actor_id and text. Later decisions change nothing.
+    """
+    none = F.lit(None).cast("string")
+    said = approvals.select("proposal_id", "actor_id", "recorded_at", F.lit(True).alias("approved"), F.col("payload").alias("edited"), none.alias("reason"))
+    said = said.unionByName(rejections.filter(F.length(F.trim("reason")) > 0).select("proposal_id", "actor_id", "recorded_at", F.lit(False).alias("approved"), none.alias("edited"), "reason"))
+    allowed = roles.filter(can(F.col("role"), F.lit("approver"))).select(F.col("user_id").alias("actor_id"))
+    made = proposals.select(F.col("id").alias("proposal_id"), "created_by")
+    valid = said.filter(F.col("recorded_at").isNotNull()).join(allowed, "actor_id", "left_semi").join(made, "proposal_id").filter(F.col("actor_id") != F.col("created_by"))
+    first = valid.groupBy("proposal_id").agg(F.min(F.struct("recorded_at", "approved", "actor_id", "edited", "reason")).alias("d"))
+    return first.select("proposal_id", "d.approved", "d.actor_id", "d.recorded_at", "d.edited", "d.reason")
+
+
+def settle(proposals: DataFrame, approvals: DataFrame, rejections: DataFrame, roles: DataFrame) -> DataFrame:
+    """Events of the proposals whose first valid decision (:func:`decisions`) approves them.
+
+    The id of an event depends on its proposal alone, so the store takes one of them whatever is decided later, in this batch or
+    another: the same again is skipped, anything else is refused. Evidence is that of the proposal, the actor is the approver.
+    """
+    found = decisions(proposals, approvals, rejections, roles).filter("approved").withColumnRenamed("proposal_id", "id")
+    return proposals.join(found, "id").select(
+        X.ulid_like(F.lit("decided"), F.col("id")).alias("id"),
+        *_stream(proposals),
+        F.col("id").alias("proposal_id"),
+        "event_type",
+        F.coalesce("edited", "payload").alias("payload"),
+        "evidence_ids",
+        "certainty",
+        F.lit("human").alias("actor_type"),
+        "actor_id",
+        "recorded_at",
+    )
+
+
 def _stream(proposals: DataFrame) -> list[Column]:
     return [(F.col(c) if c in proposals.columns else F.lit(None).cast("string")).alias(c) for c in ("stream_type", "stream_id")]
 

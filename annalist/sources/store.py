@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annalist import model
 from annalist.functions import text as X
@@ -18,7 +19,7 @@ from annalist.operators import documents as D
 from annalist.operators import events as E
 from annalist.operators import govern as G
 from annalist.sources.commits import CommitLog, Snapshot
-from annalist.sources.runs import Runs, key_of
+from annalist.sources.runs import PREFIX_KEYS, Runs, key_of
 
 CONTENT = (
     "id", "stream_type", "stream_id", "sequence", "event_type", "payload", "evidence_text", "certainty", "actor_type", "actor_id", "model_id", "prompt_version",
@@ -51,6 +52,68 @@ class AppendOnly:
     update = delete = truncate = overwrite
 
 
+class KeyedTable(AppendOnly):
+    """An append-only table whose rows are told apart by ``keys``: a row whose key is there adds nothing.
+
+    Keys are looked up in an index that is published with the rows in one commit, so several writers may add at once, a batch may
+    be sent again, and adding reads of the table what may hold the keys of the batch alone.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema, keys: Sequence[str], prefix_keys: int = PREFIX_KEYS):
+        super().__init__(spark, path, schema)
+        self.keys = list(keys)
+        self.log = CommitLog(spark, path)
+        self.index = Runs(self.log, "keys", prefix_keys=prefix_keys)
+
+    def read(self, snapshot: Snapshot | None = None) -> DataFrame:
+        return self.log.read("rows", self.schema, snapshot)
+
+    def _key(self) -> Column:
+        return key_of(*[F.col(c) for c in self.keys])
+
+    def unseen(self, rows: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
+        """The rows whose key is not in the table (yet)."""
+        now = snapshot or self.log.snapshot()
+        keyed = rows.withColumn("__key", self._key())
+        seen = self.index.find(keyed.select(F.col("__key").alias("key")).distinct(), now)
+        return keyed.join(seen.select(F.col("key").alias("__key")), "__key", "left_anti").drop("__key")
+
+    def append(self, rows: DataFrame) -> None:
+        self.add(rows)
+
+    def add(self, rows: DataFrame, attempts: int = 20) -> int:
+        """Append the rows with new keys, one row for each key (callers choose which by giving one); returns how many."""
+        have = set(rows.columns)
+        rows = rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+        scratch = self.log.scratch()
+        try:
+            rows.withColumn("key", self._key()).dropDuplicates(["key"]).write.parquet(f"{scratch}/rows")
+            given = self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType())])).parquet(f"{scratch}/rows")
+            for k in range(attempts):
+                now = self.log.snapshot()
+                new = given
+                if now.tables.get("keys"):
+                    given.join(self.index.find(given.select("key"), now).select("key"), "key", "left_anti").write.parquet(f"{scratch}/new{k}")
+                    new = self.spark.read.schema(given.schema).parquet(f"{scratch}/new{k}")
+                if not (n := new.count()):
+                    return 0
+                staged: dict[str, list[dict]] = {"rows": [], "keys": []}
+                try:
+                    staged["rows"].append(self.log.stage_rows("rows", new.select(*rows.columns), rows=n))
+                    staged["keys"].append(self.index.stage(new, n))
+                except BaseException:
+                    self.log.abandon(staged)
+                    raise
+                if self.log.commit(now, staged):
+                    self.index.merge()
+                    return n
+                self.log.abandon(staged)
+                time.sleep(random.random() * 0.2)
+            raise RuntimeError(f"other writers were faster {attempts} times")
+        finally:
+            self.log.files.delete(scratch)
+
+
 def event_content():
     return E.canonical(*CONTENT)
 
@@ -185,25 +248,29 @@ class EventStore(AppendOnly):
 def tables(spark: SparkSession, path: str) -> dict[str, AppendOnly]:
     """The other append-only tables of a store, by name."""
     schemas = {
-        "sources": model.SOURCE, "source_urls": model.SOURCE_URL, "texts": model.TEXT, "evidence": model.EVIDENCE, "entities": model.ENTITY, "proposals": model.PROPOSAL,
-        "model_calls": model.MODEL_CALL, "security_log": model.SECURITY_LOG, "collector_runs": model.COLLECTOR_RUN,
+        "texts": model.TEXT, "evidence": model.EVIDENCE, "entities": model.ENTITY, "proposals": model.PROPOSAL, "model_calls": model.MODEL_CALL, "security_log": model.SECURITY_LOG,
+        "collector_runs": model.COLLECTOR_RUN,
     }
-    return {name: AppendOnly(spark, f"{path}/{name}", schema) for name, schema in schemas.items()}
+    keyed = {
+        "sources": KeyedTable(spark, f"{path}/sources", model.SOURCE, ["content_hash"]),
+        "source_urls": KeyedTable(spark, f"{path}/source_urls", model.SOURCE_URL, ["source_id", "url"]),
+    }
+    return {name: AppendOnly(spark, f"{path}/{name}", schema) for name, schema in schemas.items()} | keyed
 
 
-def write_sources(sources: AppendOnly, urls: AppendOnly, found: DataFrame, licences: Mapping[str, str], brief_version_id: str | None = None) -> None:
+def write_sources(sources: KeyedTable, urls: KeyedTable, found: DataFrame, licences: Mapping[str, str], brief_version_id: str | None = None) -> None:
     """Append found documents (url, text, fetched_at, licence_code, ... columns of a source) as sources.
 
     A text is one source, the first found of it: with its hash, fingerprint, language and retention policy, and an id that its
     hash gives. A text that is there already adds none; every address that it was found at is kept once. So found documents may
-    be written again after a failure.
+    be written again after a failure. The tables are not read for that, only their indexes of keys.
     """
     rows = found.withColumn("content_hash", X.content_hash(X.normalise(F.col("text")))).withColumn("id", X.ulid_like(F.lit("source"), F.col("content_hash")))
-    new = D.new_only(E.first_of(rows, ["content_hash"], ["fetched_at", "url"]), sources.read())
+    new = sources.unseen(E.first_of(rows, ["content_hash"], ["fetched_at", "url"]))
     judged = D.with_policy(new, licences, "licence_code").withColumns({"language": X.detect_language(F.col("text")), "brief_version_id": F.lit(brief_version_id)})
     sources.append(judged.join(D.simhash(new, "content_hash", "text"), "content_hash"))
     seen = rows.groupBy(F.col("id").alias("source_id"), "url").agg(F.min("fetched_at").alias("seen_at"))
-    urls.append(seen.join(urls.read().select("source_id", "url"), ["source_id", "url"], "left_anti"))
+    urls.append(seen)
 
 
 def purge_texts(texts: DataFrame, sources: DataFrame, now: Column, days: int, target: str) -> None:

@@ -2,49 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from annalist.functions import text as X
-from annalist.operators import documents as D
 from annalist.operators import events as E
 from annalist.operators import govern as G
 from annalist.sources import store as S
-
-
-def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
-
-
-SOURCES = "content_hash string, url string, text string, fetched_at timestamp"
+from annalist.sources.commits import CommitLog
+from annalist.sources.runs import Runs, key_of
 
 
 def ingest_stream(found: DataFrame, store: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Collect documents (url, text, fetched_at) as sources: a text that the store has, or had earlier in the batch, adds none.
 
-    Every batch is written under its number, so a batch that is repeated after a failure replaces its own files.
+    Every batch is written under its number, so a batch that is repeated after a failure replaces its own files. Which texts the
+    store has is looked up in an index beside it that knows the batch of each; the store itself is not read.
     """
+    log = CommitLog(found.sparkSession, f"{store}/_index")
+    index = Runs(log, "texts", "batch bigint")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
         rows = batch.select(X.content_hash(F.col("text")).alias("content_hash"), "url", "text", "fetched_at")
-        first = E.first_of(rows, ["content_hash"], ["fetched_at", "url"])
-        before = _existing(spark, store, SOURCES + ", batch long").filter(F.col("batch") != epoch)
-        fresh = D.new_only(first, before)
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={epoch}")
+        first = E.first_of(rows, ["content_hash"], ["fetched_at", "url"]).withColumn("key", key_of(F.col("content_hash")))
+        while True:
+            now = log.snapshot()
+            known = index.find(first.select("key"), now)
+            fresh = first.join(known.filter(F.col("batch") != epoch).select("key"), "key", "left_anti")
+            fresh.drop("key").write.mode("overwrite").parquet(f"{store}/batch={epoch}")
+            new = fresh.select("key", F.lit(epoch).cast("long").alias("batch")).join(known.select("key"), "key", "left_anti")
+            if not (n := new.count()):
+                return
+            run = index.stage(new, n)
+            if log.commit(now, {"texts": [run]}):
+                index.merge()
+                return
+            log.abandon({"texts": [run]})
 
     return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def source_stream(found: DataFrame, sources: S.AppendOnly, urls: S.AppendOnly, licences: Mapping[str, str], checkpoint: str, brief_version_id: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+def source_stream(found: DataFrame, sources: S.KeyedTable, urls: S.KeyedTable, licences: Mapping[str, str], checkpoint: str, brief_version_id: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Collect documents as whole source rows: :func:`annalist.sources.store.write_sources` for each batch. A repeated batch adds none."""
 
     def write(batch: DataFrame, _: int) -> None:
@@ -73,6 +75,109 @@ def project_stream(events: DataFrame, log: Callable[[], DataFrame], target: str,
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class _Live(StatefulProcessor):
+    """What holds of one stream: its live events, the ids that were superseded before they came, the last event of each part."""
+
+    def __init__(self, stream: Sequence[str], order: StructType):
+        self.said = Row(*stream, "part", "value", "deleted")
+        self.event = StructType([StructField("part", StringType()), StructField("value", StringType()), *order.fields])
+        self.order = order.names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        one = lambda name: StructType([StructField(name, StringType())])
+        self.live = handle.getMapState("live", one("id"), self.event)
+        self.gone = handle.getMapState("gone", one("id"), StructType([StructField("n", LongType())]))
+        self.last = handle.getMapState("last", one("part"), one("id"))
+
+    @staticmethod
+    def _rank(event: Sequence) -> tuple:
+        """Order as Spark's: a null comes before every value."""
+        return tuple((v is not None, v) for v in event[2:])
+
+    def _of(self, part: str) -> Sequence | None:
+        return self.live.getValue((self.last.getValue((part,))[0],)) if self.last.containsKey((part,)) else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        changed, shrunk = set(), set()
+        for r in rows:
+            part, named = r["part"], r["supersedes"]
+            changed.add(part)
+            if named is not None:
+                if self.live.containsKey((named,)):
+                    shrunk.add(self.live.getValue((named,))[0])
+                    self.live.removeKey((named,))
+                else:
+                    self.gone.updateValue((named,), (1,))
+            if self.gone.containsKey((r["id"],)):
+                continue
+            event = (part, r["value"], *[r[c] for c in self.order])
+            self.live.updateValue((r["id"],), event)
+            if part not in shrunk and ((before := self._of(part)) is None or self._rank(event) >= self._rank(before)):
+                self.last.updateValue((part,), (r["id"],))
+        best: dict[str, tuple] = {}
+        if shrunk:  # the last event of a part may be one that went
+            for k, event in self.live.iterator():
+                if event[0] in shrunk and (event[0] not in best or self._rank(event) > best[event[0]][0]):
+                    best[event[0]] = (self._rank(event), k[0])
+        for part in shrunk:
+            if part in best:
+                self.last.updateValue((part,), (best[part][1],))
+            elif self.last.containsKey((part,)):
+                self.last.removeKey((part,))
+        for part in changed | shrunk:
+            event = self._of(part)
+            yield self.said(*key, part, None if event is None else event[1], event is None)
+
+
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def project_live(events: DataFrame, target: str, checkpoint: str, stream: list[str], part: list[str], values: list[str], order: Sequence[str] = ("recorded_at", "sequence", "id"), trigger: dict | None = None) -> StreamingQuery:
+    """Keep a projection up to date from its state alone: the log is never read again.
+
+    ``stream``: columns by which events are grouped; an event and what supersedes it must have the same. ``part``: further key
+    columns (an attribute, for example). For each stream the state holds the events that nothing supersedes and the ids that
+    were superseded before they came, so any order of arrival gives the state that folding the whole log gives
+    (:func:`annalist.operators.events.current_events`, then ``project_state``). When the last event of a part is superseded or
+    retracted, the one before holds again; a part without any is deleted. What changed is written as a version for each batch:
+    :func:`read_live`. The state is in the checkpoint, and a query that is started again goes on from there.
+    """
+    spark, schema = events.sparkSession, events.schema
+    told = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if schema[c].dataType.typeName().startswith("timestamp") else F.col(c)
+    rows = events.select(
+        *stream,
+        "id",
+        F.col("supersedes_event_id").alias("supersedes"),
+        F.to_json(F.array(*[F.col(c).cast("string") for c in part]) if part else F.array().cast("array<string>")).alias("part"),
+        F.to_json(F.struct(*values), _EXACT).alias("value"),
+        *[told(c).alias(f"order{i}") for i, c in enumerate(order)],
+    )
+    ranks = StructType([f for f in rows.schema.fields if f.name.startswith("order")])
+    out = StructType([*[schema[c] for c in stream], StructField("part", StringType()), StructField("value", StringType()), StructField("deleted", BooleanType())])
+    state = rows.groupBy(*stream).transformWithState(_Live(stream, ranks), out, "Update", "None")
+    kept = StructType([StructField(c, schema[c].dataType) for c in values])
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        typed = batch.select(*stream, F.from_json("part", "array<string>").alias("__part"), F.from_json("value", kept, _EXACT).alias("__value"), F.col("deleted").alias("__deleted"))
+        typed.write.mode("overwrite").parquet(f"{target}/version={epoch}")
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the query keeps the settings that it starts with
+    try:
+        return state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+
+
+def read_live(spark: SparkSession, target: str, stream: list[str], part: list[str], part_types: Sequence[str] = ()) -> DataFrame:
+    """The newest version of each key of :func:`project_live`, without those that nothing holds of; ``part_types`` are the SQL types of
+    the columns of ``part`` (strings by default)."""
+    rows = E.latest_of(spark.read.parquet(target), [*stream, "__part"], ["version"]).filter(~F.col("__deleted"))
+    named = [F.col("__part")[i].cast(part_types[i] if part_types else "string").alias(c) for i, c in enumerate(part)]
+    return rows.select(*stream, *named, "__value.*")
+
+
 def read_projection(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     return E.latest_of(spark.read.parquet(target), keys, ["version"]).drop("version")
 
