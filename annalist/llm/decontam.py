@@ -70,9 +70,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     Returns a row for each pair: doc_id, item_id, similarity, start_word (where the best window starts, from 1; of
     equal ones, the earliest of those laid at a shingle), n_words (of the item). An item of fewer than five words is one shingle. A document shorter than an item is one
     window. Null and empty texts, and items without a word, match nothing. Repeated documents or items give one row for each
-    pair of ids (the best one). A null doc_id is an id like any other. Other columns are ignored; empty tables give an empty
-    result. Whole texts of any length are searched.
+    pair of ids (the best one). Rows that share a doc_id are searched each for itself, by a hash of id and text; a null doc_id is
+    an id like any other. Other columns are ignored; empty tables give an empty result. Whole texts of any length are searched.
     """
+    own = F.xxhash64("doc_id", "text").alias("doc")
     items = benchmark.select("item_id", _words(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
     items = items.withColumn("len", F.size("words")).withColumn("width", F.least("len", F.lit(WIDTH))).withColumn("item", F.xxhash64("words"))
     items = items.withColumn("shingles", _shingles(F.col("words"), F.col("width"))).withColumn("item_print", simhash(F.col("words"))).drop("words")
@@ -81,42 +82,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     widths = sorted(r[0] for r in items.select("width").distinct().collect()) or [WIDTH]  # five numbers at most
     if seeds.count() <= broadcast_seeds:
         seeds = F.broadcast(seeds)
-    texts = docs.select("doc_id", _words(F.col("text")).alias("words"))
+    texts = docs.select(own, _words(F.col("text")).alias("words"))
     shingles = {w: _shingles(F.col("words"), w) for w in widths}
     if len(widths) == 1:
-        keys = texts.select("doc_id", F.size("words").alias("size"), F.lit(widths[0]).alias("width"), F.posexplode(shingles[widths[0]]).alias("at", "shingle"))
+        keys = texts.select("doc", F.size("words").alias("size"), F.lit(widths[0]).alias("width"), F.posexplode(shingles[widths[0]]).alias("at", "shingle"))
     else:  # all widths in one pass over the texts
         place = lambda width, found: F.transform(found, lambda x, i: F.struct(F.lit(width).alias("width"), i.alias("at"), x.alias("shingle")))
         placed = [place(w, k) for w, k in shingles.items()]
-        keys = texts.select("doc_id", F.size("words").alias("size"), F.explode(F.concat(*placed)).alias("k")).select("doc_id", "size", "k.*")
+        keys = texts.select("doc", F.size("words").alias("size"), F.explode(F.concat(*placed)).alias("k")).select("doc", "size", "k.*")
     hits = keys.join(seeds, ["width", "shingle"])
     place = F.greatest(F.lit(1), F.least(F.col("at") - F.col("offset") + 1, F.col("size") - F.col("len") + 1))
-    found = hits.select("doc_id", "item", "len", "width", "at", place.alias("start"))
-    runs = found.groupBy("doc_id", "item", "len", "width").agg(F.sort_array(F.collect_set("start")).alias("starts"), F.size(F.collect_set("at")).alias("hits"))
+    found = hits.select("doc", "item", "len", "width", "at", place.alias("start"))
+    runs = found.groupBy("doc", "item", "len", "width").agg(F.sort_array(F.collect_set("start")).alias("starts"), F.size(F.collect_set("at")).alias("hits"))
     size = F.col("len") - F.col("width") + 1
     inside = lambda x, y: F.when((y - x > 1) & (y - x <= 2 * size / (1 + threshold) + 1e-6), F.sequence(x + 1, y - 1)).otherwise(F.array().cast("array<int>"))
     between = F.flatten(F.zip_with(F.slice("starts", F.lit(1), F.size("starts") - 1), F.slice("starts", F.lit(2), F.size("starts") - 1), inside))
     between = F.when(F.col("hits") + 1e-6 >= 2 * threshold * size / (1 + threshold), between).otherwise(F.array().cast("array<int>"))
     laid = lambda starts, seeded: F.transform(starts, lambda x: F.struct(x.alias("start"), F.lit(seeded).alias("seeded")))
-    runs = runs.select("doc_id", "item", "len", "width", F.explode(F.concat(laid(F.col("starts"), 1), laid(between, 0))).alias("s"))
-    runs = runs.groupBy("doc_id", "len", "width", "s.start").agg(F.max("s.seeded").alias("seeded"), F.collect_set("item").alias("items"))
+    runs = runs.select("doc", "item", "len", "width", F.explode(F.concat(laid(F.col("starts"), 1), laid(between, 0))).alias("s"))
+    runs = runs.groupBy("doc", "len", "width", "s.start").agg(F.max("s.seeded").alias("seeded"), F.collect_set("item").alias("items"))
     # all windows of a document in one row: it has no more of them than words times item sizes
-    windows = runs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("len", "width", "start", "seeded", "items")).alias("windows"))
+    windows = runs.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("len", "width", "start", "seeded", "items")).alias("windows"))
     # texts travel, not their words: these are made again after the join, for the documents that have windows
-    cut = docs.select("doc_id", "text").join(windows, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", _words(F.col("text")).alias("words"), "windows")
-    cut = cut.select("doc_id", "words", F.explode("windows").alias("w"))
-    cut = cut.select("doc_id", "w.len", "w.width", "w.start", "w.seeded", "w.items", F.slice("words", F.col("w.start"), F.col("w.len")).alias("words"))
+    cut = docs.select(own, "doc_id", "text").join(windows, F.col("doc") == F.col("id")).select("doc", "doc_id", _words(F.col("text")).alias("words"), "windows")
+    cut = cut.select("doc", "doc_id", "words", F.explode("windows").alias("w"))
+    cut = cut.select("doc", "doc_id", "w.len", "w.width", "w.start", "w.seeded", "w.items", F.slice("words", F.col("w.start"), F.col("w.len")).alias("words"))
     cut = cut.withColumn("shingles", _numbered(_shingles(F.col("words"), F.col("width")))).withColumn("print", simhash(F.col("words"))).drop("words")
     cut = stored(cut, "windows")
 
-    probe = cut.select("doc_id", "len", "start", "print", F.explode("items").alias("item"), _blocks(F.col("print"), radius).alias("b"))
-    probe = probe.select("doc_id", "len", "start", "print", "item", F.explode("b").alias("b")).select("doc_id", "len", "start", "print", "item", "b.*")
+    probe = cut.select("doc", "len", "start", "print", F.explode("items").alias("item"), _blocks(F.col("print"), radius).alias("b"))
+    probe = probe.select("doc", "len", "start", "print", "item", F.explode("b").alias("b")).select("doc", "len", "start", "print", "item", "b.*")
     index = items.select("item_id", "item", "item_print", F.explode(_blocks(F.col("item_print"), radius)).alias("b")).select("item_id", "item", "item_print", "b.*")
     near = probe.join(index, ["item", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    near = near.select("doc_id", "len", "start", "print", "item_id", "item_print").distinct()
-    near = near.select(F.col("doc_id").alias("id"), F.col("len").alias("len_"), F.col("start").alias("start_"), F.col("print").alias("print_"), "item_id", "item_print")
+    near = near.select("doc", "len", "start", "print", "item_id", "item_print").distinct()
+    near = near.select(F.col("doc").alias("id"), F.col("len").alias("len_"), F.col("start").alias("start_"), F.col("print").alias("print_"), "item_id", "item_print")
     sets = items.select("item_id", "item_print", _numbered(F.col("shingles")).alias("item_shingles"), F.col("len").alias("n_words"))
-    on = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("len") == F.col("len_")) & (F.col("start") == F.col("start_")) & (F.col("print") == F.col("print_"))
+    on = (F.col("doc") == F.col("id")) & (F.col("len") == F.col("len_")) & (F.col("start") == F.col("start_")) & (F.col("print") == F.col("print_"))
     pairs = cut.join(near, on).select("doc_id", "item_id", "item_print", "start", "seeded", "shingles").join(sets, ["item_id", "item_print"])
     common = F.size(F.array_intersect("shingles", "item_shingles"))
     pairs = pairs.withColumn("similarity", common / (F.size("shingles") + F.size("item_shingles") - common)).filter(F.col("similarity") >= threshold)

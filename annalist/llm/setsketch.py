@@ -318,7 +318,7 @@ def near_components(docs: DataFrame, percent: int = 80, text_key: bool = False)
     one shingle; a null or empty text has no shingle, no link and itself as component. Equal texts and repeated rows are one
     class. Rows that share a doc_id are rows of their own; a null doc_id never names a component that has another id, and of a
     component of null ids only, the rows of one class are kept. With ``text_key``, the column text_key (xxhash64 of the text)
-    tells rows that share a doc_id apart. Other columns are ignored; an empty table gives an empty result. Whole texts are used, of any length.
+    tells rows that share a doc_id apart, and family is one number for each component (null without words). Other columns are ignored; an empty table gives an empty result. Whole texts are used, of any length.
     """
     m = ROWS * bands_for(percent)
     source = few_at_once(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
@@ -347,13 +347,13 @@ def near_components(docs: DataFrame, percent: int = 80, text_key: bool = False)
     parts = stored(connected_components(verified.unionByName(residual)).select(F.col("node").alias("cid"), F.col("root").alias("comp")), "parts")
     least = parts.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("component_id"), F.min("cid").alias("first"))
     named = parts.join(least, "comp").select("cid", "component_id", "first")
-    by_class = classes.join(named, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"), (F.col("cid") == F.coalesce("first", "cid")).alias("leads"))
+    by_class = classes.join(named, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"), (F.col("cid") == F.coalesce("first", "cid")).alias("leads"), F.coalesce("first", "cid").alias("family"))
     by_class = stored(by_class, "named")
     forget(classes, members, stars, sets, verified, hopeful, parts)
     found = (
         rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"), "text_key")
         .join(by_class, "cid", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "leads", "text_key")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "leads", "text_key", "family")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | F.coalesce("leads", F.lit(True))))
     )
-    return found.select("doc_id", "n_shingles", "component_id", "kept", *(["text_key"] if text_key else []))
+    return found.select("doc_id", "n_shingles", "component_id", "kept", *(["text_key", "family"] if text_key else []))
