@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions import text as X
+from annalist.operators.mentions import find_names
 
 Agent = Callable[[DataFrame], DataFrame]
 CLAIM = "struct<source_id:string,subject:string,predicate:string,object:string,value:string,certainty:string,char_start:int,char_end:int,quote:string>"
@@ -124,3 +125,37 @@ def log_calls(agent: Agent, name: str, model_id: str, prompt_version: str, input
         return out, call
 
     return run
+
+
+def relations(docs: DataFrame, key: str, text: str, names: DataFrame, name: str, predicates: Mapping[str, str]) -> DataFrame:
+    """Claims with subject and object: sentences in which a name stands before a predicate's first place, and maybe one behind it.
+
+    ``names``: column ``name``, found as whole words whatever their case; ``predicates``: regular expressions over the lower-case
+    sentence. The subject is the last name that ends before the predicate, the object the first that begins behind it (null if
+    none does); of names at one place the longest counts. Returns source_id, subject, predicate, object, certainty, quote,
+    quote_hash, char_start and char_end (of the sentence) and subject_start, object_start, code points of the document from 0. ``key``
+    is distinct. Names come in folded case (a-z). A sentence without a name says nothing here; a null text has no sentences.
+    """
+    rows = sentences(docs, key, text).withColumn("__sentence", F.concat_ws(":", F.col(key).cast("string"), F.col("place").cast("string")))
+    found = find_names(rows.select("__sentence", "quote"), names, "__sentence", "quote", name, longest=True)
+    told = found.groupBy("__sentence").agg(F.sort_array(F.collect_list(F.struct("start", "end", "name"))).alias("names"))
+    at = lambda pattern: F.regexp_instr(F.lower("quote"), F.lit(f"(?s){pattern}")) - 1
+    size = lambda pattern: F.length(F.regexp_extract(F.lower("quote"), f"(?s){pattern}", 0))
+    held = F.array(*[F.struct(F.lit(n).alias("predicate"), at(p).alias("at"), (at(p) + size(p)).alias("to")) for n, p in predicates.items()])
+    said = rows.join(told, "__sentence").withColumn("p", F.explode(F.filter(held, lambda p: p["at"] >= 0)))
+    subject = F.try_element_at(F.filter("names", lambda n: n["end"] <= F.col("p.at")), F.lit(-1))
+    thing = F.try_element_at(F.filter("names", lambda n: n["start"] >= F.col("p.to")), F.lit(1))
+    said = said.withColumns({"s": subject, "o": thing}).filter(F.col("s").isNotNull())
+    return said.select(
+        F.col(key).alias("source_id"),
+        F.col("s.name").alias("subject"),
+        "p.predicate",
+        F.col("o.name").alias("object"),
+        X.certainty(F.col("quote")).alias("certainty"),
+        "quote",
+        F.sha2("quote", 256).alias("quote_hash"),
+        "char_start",
+        "char_end",
+        (F.col("char_start") + F.col("s.start")).alias("subject_start"),
+        (F.col("char_start") + F.col("o.start")).alias("object_start"),
+    )

@@ -145,3 +145,28 @@ def allowed(requests: DataFrame, rules: DataFrame, host: str = "host", path: str
     joined = requests.join(by_host, host, "left")
     best = F.array_max(F.filter("__rules", lambda r: F.startswith(F.col(path), r["prefix"])))
     return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("__rules")
+
+
+def robots_match(path: Column, pattern: Column) -> Column:
+    """Whether a path begins as a robots pattern says: ``*`` stands for any characters, a last ``$`` for the end of the path."""
+    ends = F.endswith(pattern, F.lit("$"))
+    body = F.regexp_replace(pattern, r"\$$", "")
+    quoted = F.replace(F.replace(body, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("*"), F.lit("\\E.*\\Q"))
+    return F.rlike(path, F.concat(F.lit("(?s)^\\Q"), quoted, F.when(ends, F.lit("\\E$")).otherwise(F.lit("\\E"))))
+
+
+def allowed_by_patterns(requests: DataFrame, rules: DataFrame, host: str = "host", path: str = "path", agent: str | None = None) -> DataFrame:
+    """``allowed`` by robots rules (host, pattern, allow) with ``*`` and ``$``: the longest pattern that fits decides, allow wins a tie,
+    no rule allows. Null and empty patterns are no rules.
+
+    With ``agent``, rules have a column agent: of a host those of this agent alone count (whatever its case), if it has any, else
+    those of ``*``. Joined by host; a host's rules are one array, so requests are not multiplied.
+    """
+    known = rules.filter(F.length("pattern") > 0)
+    if agent is not None:
+        own = known.filter(F.lower("agent") == agent.lower())
+        known = own.unionByName(known.filter(F.col("agent") == "*").join(own.select(host).distinct(), host, "left_anti"))
+    by_host = known.groupBy(host).agg(F.collect_set(F.struct(F.length("pattern").alias("n"), "allow", "pattern")).alias("__rules"))
+    joined = requests.join(by_host, host, "left")
+    best = F.array_max(F.filter("__rules", lambda r: robots_match(F.col(path), r["pattern"])))
+    return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("__rules")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions import text as X
+from annalist.operators.lineage import cut
 
 
 def match_external(mentions: DataFrame, entities: DataFrame, mention: str = "mention_id", entity: str = "entity_id") -> DataFrame:
@@ -89,20 +90,38 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k
     return best(best(scored, "query", "block").drop("rank", "block"), "query")
 
 
-def canonical_ids(merges: DataFrame, rounds: int = 32) -> DataFrame:
+def canonical_ids(merges: DataFrame, rounds: int = 64) -> DataFrame:
     """(entity_id, canonical_id) for chains of merges (entity_id into merged_into), by pointer doubling.
 
-    Of several merges of an entity the smallest target counts; a cycle keeps the ids that it reaches after ``rounds``.
+    Of several merges of an entity the smallest target counts. An entity's id is the end of its chain; where the chain runs into
+    a cycle, it is the least id of that cycle. Each round doubles the steps and the least id seen on them. While a chain is longer
+    than the steps, some entities reach its end in every round; once none does, all that are left lead into cycles, and the
+    steps that outnumber them have been all around. So 64 rounds are more than any table needs.
     """
-    links = merges.groupBy("entity_id").agg(F.min("merged_into").alias("canonical_id"))
-    for _ in range(rounds):
-        hop = links.select(F.col("entity_id").alias("canonical_id"), F.col("canonical_id").alias("next"))
-        moved = links.join(hop, "canonical_id", "left").select("entity_id", F.coalesce("next", "canonical_id").alias("canonical_id"), F.col("next").isNotNull().alias("moved"))
-        moved = moved.checkpoint() if merges.sparkSession.sparkContext.getCheckpointDir() else moved
-        links = moved.select("entity_id", "canonical_id")
-        if not moved.filter("moved").limit(1).count():
+    first = merges.filter(F.col("entity_id").isNotNull() & F.col("merged_into").isNotNull()).groupBy("entity_id").agg(F.min("merged_into").alias("goal"))
+    links = cut(first.select("entity_id", "goal", F.col("entity_id").alias("least"), F.lit(False).alias("ended")))
+    before = None
+    for k in range(rounds):
+        hop = links.select(F.col("entity_id").alias("goal"), F.col("goal").alias("next"), F.col("least").alias("next_least"), F.col("ended").alias("next_ended"), F.lit(True).alias("met"))
+        open_ = links.filter("NOT ended").join(hop, "goal", "left")
+        moved = open_.select("entity_id", F.coalesce("next", "goal").alias("goal"), F.least("least", "next_least").alias("least"), (F.col("met").isNull() | F.col("next_ended")).alias("ended"))
+        links = cut(links.filter("ended").unionByName(moved))
+        left = links.filter("NOT ended").count()
+        if not left or (left == before and left <= 2 ** (k + 1)):
             break
-    return links
+        before = left
+    circle = links.filter("NOT ended").select(F.col("entity_id").alias("goal"), F.col("least").alias("of_cycle"))
+    found = links.join(circle, "goal", "left")
+    return found.select("entity_id", F.when(F.col("ended"), F.col("goal")).otherwise(F.col("of_cycle")).alias("canonical_id"))
+
+
+def identity_at(merges: DataFrame, splits: DataFrame, at: Column) -> DataFrame:
+    """(entity_id, canonical_id) as of a time: of the merges up to it those that no split up to it undid, followed to their ends.
+
+    ``merges``: entity_id, merged_into, at; ``splits``: entity_id, split_from, at. A merge after a split holds again.
+    """
+    known = lambda df: df.filter(F.col("at") <= at)
+    return canonical_ids(active_merges(known(merges), known(splits)))
 
 
 def decide(mentions: DataFrame, *steps: DataFrame, mention: str = "mention_id", entity: str = "entity_id", certain: float = 0.9) -> DataFrame:

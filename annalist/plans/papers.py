@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text as X
 from annalist.operators import documents as D
+from annalist.operators import mentions as M
 from annalist.operators import timing as Tm
 from annalist.plans.common import table
 
@@ -62,27 +63,17 @@ def span_verification(spark, sf_dir):
     return D.verify_spans(_evidence(spark, sf_dir), sources).select("source_id", "char_start", "char_end", "verified")
 
 
-#: Short passages that are broadcast, at most.
-SHORT_PASSAGES = 10_000
+def passage_places(spark, sf_dir):
+    """All places of benchmark passages in documents, code points from 0."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("name"))
+    found = M.find_names(_docs(spark, sf_dir), items, "doc_id", "text", "name", whole_words=False, fold_case=False)
+    return found.join(items, "name").select("doc_id", "item_id", F.col("start").cast("long").alias("char_start"), F.col("end").cast("long").alias("char_end"))
 
 
 def passage_spans(spark, sf_dir):
-    """Where benchmark passages stand in documents, code points from 0.
-
-    Words 2 to 4 of a passage, which its own white space bounds, and those of every place in a document meet by an equi-join;
-    the whole passage is compared then. Passages of fewer than five words are compared with every document, broadcast only
-    while there are at most ``SHORT_PASSAGES`` of them.
-    """
-    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("p")).filter(F.length("passage") > 0)
-    short = passages.filter(F.size("p") < 5).select("item_id", "passage")
-    passages = passages.filter(F.size("p") >= 5).select("item_id", "passage", F.xxhash64(*[F.get("p", F.lit(k)) for k in (1, 2, 3)]).alias("head"))
-    words = _docs(spark, sf_dir).filter(F.length("text") > 0).select("doc_id", F.split("text", r"\s+").alias("w"))
-    starts = words.select("doc_id", F.explode(F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))).alias("head"))
-    meet = starts.join(passages.select("item_id", "passage", "head"), "head").select("doc_id", "item_id", "passage")
-    short = F.broadcast(short) if short.count() <= SHORT_PASSAGES else short
-    meet = meet.unionByName(_docs(spark, sf_dir).join(short, F.expr("instr(text, passage) > 0")).select("doc_id", "item_id", "passage")).distinct()
-    found = meet.join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id").withColumn("at", F.expr("instr(text, passage)"))
-    return found.filter("at > 0").select("doc_id", "item_id", (F.col("at") - 1).cast("long").alias("char_start"), (F.col("at") - 1 + F.length("passage")).cast("long").alias("char_end"))
+    """Where benchmark passages stand in documents first."""
+    first = passage_places(spark, sf_dir).groupBy("doc_id", "item_id").agg(F.min(F.struct("char_start", "char_end")).alias("at"))
+    return first.select("doc_id", "item_id", "at.char_start", "at.char_end")
 
 
 def licence_display(spark, sf_dir):
@@ -140,7 +131,7 @@ def language(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_duplicates, duplicate_canonical, source_urls, pending_jobs, new_only, simhash_pairs, span_verification, passage_spans, licence_display, excerpt,
+    exact_duplicates, duplicate_canonical, source_urls, pending_jobs, new_only, simhash_pairs, span_verification, passage_places, passage_spans, licence_display, excerpt,
     code_checks, keyword_hits, fetch_plan, fetch_slots, page_domain, page_map, page_of, page_text, language,
 )}
 
@@ -164,6 +155,11 @@ SQL = {
         WITH e AS (SELECT doc_id AS source_id, text, substr(text, 11, 60) AS quote, CASE WHEN doc_id % 3 = 0 THEN 11 ELSE 10 END AS char_start FROM documents)
         SELECT source_id, char_start, char_start + length(quote) AS char_end, substr(text, char_start + 1, length(quote)) = quote AND source_id % 5 <> 0 AS verified FROM e
     """,
+    "passage_places": """
+        WITH m AS (SELECT doc_id, item_id, d.text AS t, b.text AS p FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''),
+        a AS (SELECT *, unnest(range(1, length(t) - length(p) + 2)) AS pos FROM m)
+        SELECT doc_id, item_id, pos - 1 AS char_start, pos - 1 + length(p) AS char_end FROM a WHERE substr(t, pos, length(p)) = p
+    """,
     "passage_spans": "SELECT doc_id, item_id, instr(d.text, b.text) - 1 AS char_start, instr(d.text, b.text) - 1 + length(b.text) AS char_end FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "licence_display": """
         WITH p AS (SELECT *, CASE WHEN lang = 'es' THEN 'link_only' WHEN source IN ('src0', 'src1') THEN 'full' WHEN source IN ('src2', 'src3') THEN 'link_only' ELSE 'verify_then_purge' END AS retention_policy FROM documents),

@@ -68,6 +68,13 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return feed_items(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value"))
 
 
+def stream_feed(spark: SparkSession, path: str, files_at_once: int = 64) -> DataFrame:
+    """The same as feeds are saved, as a stream: a file is read once, also over restarts from a checkpoint, and a broken one gives its
+    row with ``error`` and stops nothing. A feed that is fetched again is saved as a new file (named by its time or ETag)."""
+    saved = spark.readStream.option("maxFilesPerTrigger", files_at_once).text(path, wholetext=True)
+    return feed_items(saved.select(F.col("_metadata.file_name").alias("name"), "value"))
+
+
 def news_sources(items: DataFrame) -> DataFrame:
     """Items of news searches as sources: title and description are the text, and only links are kept for long."""
     items = items.filter(F.col("error").isNull() & F.col("url").isNotNull())

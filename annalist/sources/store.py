@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from annalist import model
 from annalist.functions import text as X
+from annalist.functions.geo import shape
+from annalist.functions.schema import violation_by
 from annalist.operators import documents as D
 from annalist.operators import events as E
 from annalist.operators import govern as G
@@ -135,8 +137,10 @@ class EventStore(AppendOnly):
     is in the log once, and what a reader sees is whole commits. The log itself is never read by an append.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, schemas: Mapping[str, Mapping] | None = None):
+        """``schemas``: JSON Schemas of payloads by event type; a payload that breaks its own is refused, and the reason names the path."""
         super().__init__(spark, path + "/events", model.EVENT)
+        self.schemas = dict(schemas or {})
         self.quarantine = AppendOnly(spark, path + "/quarantine", model.QUARANTINE)
         self.head_log = AppendOnly(spark, path + "/heads", model.HEAD)
         self.log = CommitLog(spark, path)
@@ -167,9 +171,10 @@ class EventStore(AppendOnly):
         """
         have = set(rows.columns)
         rows = rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in model.EVENT.fields if f.name not in ("sequence", "prev_hash", "hash")])
+        reason = F.coalesce(E.reason_code(required=("id", "stream_id", "recorded_at")), F.concat(F.lit("schema "), violation_by(F.col("event_type"), F.col("payload"), self.schemas)))
         scratch = self.log.scratch()
         try:
-            judged = self._kept(_hashed(rows.withColumn("reason_code", E.reason_code(required=("id", "stream_id", "recorded_at")))), f"{scratch}/judged")
+            judged = self._kept(_hashed(rows.withColumn("reason_code", reason)), f"{scratch}/judged")
             good = judged.filter(F.col("reason_code").isNull()).withColumns({"content": F.sha2(E.canonical(*SENT), 256), "key": key_of(F.col("id"))}).drop("reason_code")
             good = good.dropDuplicates(["key", "content"])
             first = good.groupBy("key").agg(F.min(F.struct("recorded_at", "content"))["content"].alias("first"))
@@ -318,6 +323,13 @@ def load_geometry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("site_id string, kind string, lon double, lat double, wkt string, approximate boolean, evidence_id string").json(path)
 
 
+def shaped(points: DataFrame) -> DataFrame:
+    """Site coordinates of which lon and lat are those of their well-known text (the centre of an area) where they have one that can be
+    read; the others stay as they are. ``approximate`` stays: an area's centre is as good as the area."""
+    found = shape(F.col("wkt"))
+    return points.withColumn("__shape", found).withColumns({c: F.coalesce(F.col(f"__shape.{c}"), F.col(c)) for c in ("kind", "lon", "lat")}).drop("__shape")
+
+
 def site_point(sites: DataFrame, points: DataFrame, districts: DataFrame) -> DataFrame:
     """A point for each site: its own, else its district's centroid marked approximate, else none. Nothing is invented."""
     own = points.select("site_id", F.col("lon").alias("__lon"), F.col("lat").alias("__lat"))

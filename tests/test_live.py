@@ -92,3 +92,24 @@ def test_one_decision_for_a_proposal(spark, tmp_path):
     late = G.settle(proposals, approvals.filter("actor_id = 'bob'"), rejections.filter("false"), roles)  # of another batch
     assert store.append_events(late) == 1 and store.read().count() == 3
     assert {r.reason_code for r in store.quarantine.read().collect()} == {"duplicate_id"}
+
+
+def test_feeds_as_a_stream_resume_without_repeats(spark, tmp_path):
+    from annalist.sources import feeds
+    from tests.test_sources import ATOM, RSS
+
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+
+    def run():
+        query = feeds.stream_feed(spark, str(inbox)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+        assert query.exception() is None
+        return sorted((r.feed, r.title or "", r.error is not None) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    (inbox / "a.xml").write_text(RSS)
+    first = [("a.xml", "One", False), ("a.xml", "Two", False)]
+    assert run() == first and run() == first
+    (inbox / "b.xml").write_text("<rss>")
+    (inbox / "c.xml").write_text(ATOM)
+    assert run() == sorted([*first, ("b.xml", "", True), ("c.xml", "Three", False)])
