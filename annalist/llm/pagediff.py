@@ -11,7 +11,8 @@
 4. Markup then decides what a pair cannot tell. A line that no neighbour shares goes if HTML itself marks it as no article
    (nav, header, footer, aside, form, ...) or a whole token of its class, id or role does (``HINTS``): comments and adverts of one
    page alone, and hosts with one page. Where a page has an article or main element with text, the lines outside of it go too.
-   A shared line within article or main stays: passages recur from article to article, and they are text.
+   A shared line within article or main stays: passages recur from article to article, and they are text. Only under the few
+   names that frames and articles have in common (``UNSURE``) does differencing decide there as well.
 """
 
 from __future__ import annotations
@@ -49,37 +50,42 @@ HINTS = set(
     "share-buttons share-bar social social-links social-share related related-posts related-articles recommended recommendations widget search search-form "
     "pagination pager skip skip-link contentinfo complementary form dialog".split()
 )
+#: Those of them that an article may as well use for its own parts (the discussion of a paper, related work, a dialog).
+#: Within article or main they are no verdict: there the lines go only if the nearest page has them too.
+UNSURE = set("discussion related search share rail overlay dialog".split())
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 _MARK = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
-#: Where a line lies: within an article element, in no element that says, or in one that is no article.
-IN_ARTICLE, PLAIN, OUT = 2, 1, 0
+#: Where a line lies: within an article element but under a name of ``UNSURE``, within one, in no element that says, or in one that
+#: is no article.
+HINTED, IN_ARTICLE, PLAIN, OUT = 3, 2, 1, 0
 
 
-def _marked(name: str, attributes: str) -> bool:
+def _marks(name: str, attributes: str) -> set[str]:
+    found: set[str] = set()
     for m in _MARK.finditer(attributes):
-        if (m[1].lower() != "id" or name in BOXES) and not HINTS.isdisjoint((m[2] or m[3] or m[4] or "").lower().split()):
-            return True
-    return False
+        if m[1].lower() != "id" or name in BOXES:
+            found |= HINTS.intersection((m[2] or m[3] or m[4] or "").lower().split())
+    return found
 
 
 def blocks_of(page: str) -> list[tuple[str, int]]:
     """All blocks of text of a page in order, each with where it lies. Hidden elements and the head have none."""
     out: list[tuple[str, int]] = []
     held: dict[bool, list[str]] = {False: [], True: []}  # text of the block, and what lies outside of the article within it
-    stack: list[tuple[str, str, int]] = []  # open elements that say something (unseen, outside, article), and their depth
+    stack: list[tuple[str, str, int]] = []  # open elements that say something (unseen, outside, article, hinted), and their depth
     depth: dict[str, int] = defaultdict(int)  # open elements of the names on the stack
-    now = {"unseen": 0, "outside": 0, "article": 0}
+    now = {"unseen": 0, "outside": 0, "article": 0, "hinted": 0}
 
     def flush() -> None:
         for outside, parts in held.items():
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, OUT if outside else IN_ARTICLE if now["article"] else PLAIN))
+                out.append((text, OUT if outside else (HINTED if now["hinted"] else IN_ARTICLE) if now["article"] else PLAIN))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -104,10 +110,12 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         kind = None
         if name == "head" or (m[4] and _HIDDEN.search(m[4])):
             kind = "unseen"
-        elif name in OUTSIDE or (m[4] and name not in ("html", "body", "article", "main") and _marked(name, m[4])):
+        elif name in OUTSIDE:
             kind = "outside"
         elif name in ARTICLE:
             kind = "article"
+        elif m[4] and name not in ("html", "body") and (marks := _marks(name, m[4])):
+            kind = "hinted" if now["article"] and name in BLOCKS and marks <= UNSURE else "outside"
         if kind:
             stack.append((name, kind, depth[name]))
             now[kind] += 1
@@ -121,7 +129,7 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
 
 def lines_of(page: str) -> list[tuple[str, bool]]:
     """The blocks of text that markup does not put outside of the article, each with whether an article element holds it."""
-    return [(text, where == IN_ARTICLE) for text, where in blocks_of(page) if where != OUT]
+    return [(text, where >= IN_ARTICLE) for text, where in blocks_of(page) if where != OUT]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -165,7 +173,7 @@ def _alike(a: str, b: str) -> int:
 
 def _may_stay(blocks: list[tuple[str, int]]) -> list[bool]:
     """What markup leaves of the blocks of a page: its article elements, or all that lies in no element that is no article."""
-    floor = IN_ARTICLE if any(where == IN_ARTICLE for _, where in blocks) else PLAIN
+    floor = IN_ARTICLE if any(where >= IN_ARTICLE for _, where in blocks) else PLAIN
     return [where >= floor for _, where in blocks]
 
 

@@ -262,3 +262,96 @@ def test_more_languages_have_fewer_buckets(spark):
     assert model.logs.shape == (1 << 15, len(model.langs)) and len(model.langs) > 256
     found = {r.doc_id: r.lang_pred for r in langmix.identify(docs, model).collect()}
     assert all(found[k] == lang for k, _, lang in rows if lang in model.langs)
+
+
+# --- the quality query against plain loops
+
+
+def _plain_trigrams(text):
+    b = bytes(c + 32 if 65 <= c <= 90 else c for c in text) + b"  "
+    return [((((b[i] << 16) | (b[i + 1] << 8) | b[i + 2]) * 0x9E3779B1) & 0xFFFFFFFF) >> 20 for i in range(len(text))]
+
+
+def _plain_measures(text, odds):
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in text)
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", lower) if w]
+    if not words:
+        return [0.0] * 13
+    n, size = len(words), len(text) + 1
+    marks, symbols = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b"#$%&*+/<=>@[\\]^_`{}~"
+    letters = sum(65 <= c <= 90 or 97 <= c <= 122 for c in text)
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    shingles = {tuple(words[i : i + 5]) for i in range(max(n - 4, 1))}
+    return [
+        sum(c in symbols for c in text) / size,
+        sum(c in marks for c in text) / size,
+        sum(a == b and b in marks for a, b in zip(text, text[1:], strict=False)) / size,
+        sum(65 <= c <= 90 for c in text) / max(letters, 1),
+        sum(48 <= c <= 57 for c in text) / size,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        len(set(words)) / n,
+        len(shingles) / max(n - 4, 1),
+        math.log10(n),
+        sum(map(len, words)) / n,
+        sum(len(w) <= 3 for w in words) / n,
+        1 - len(set(lines)) / max(len(lines), 1),
+        sum(odds[g] for g in _plain_trigrams(text)) / max(len(text), 1),
+    ]
+
+
+def _plain_row(text, odds):
+    """Places of the ones of a text, the constant last."""
+    out, before = [], 0
+    for value, edges in zip(_plain_measures(text, odds), quality.EDGES.values(), strict=True):
+        out.append(before + sum(value >= e for e in edges))
+        before += len(edges) + 1
+    return [*out, before]
+
+
+def test_quality_query_equals_plain_loops(spark, sf):
+    """Trigram odds, measures, cells, prior and scores of every row from plain loops; the weights by the gradient of the plain risk."""
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality == 1 and part(r.doc_id) != 0}
+    source, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(source, labels)
+    learn = [d for d in docs if part(d) != 0]
+    u, p = [0] * quality.BUCKETS, [0] * quality.BUCKETS
+    for d in learn:
+        for g in _plain_trigrams(docs[d]):
+            u[g] += 1
+            p[g] += d in good
+    total_u, total_p = sum(u), sum(p)
+    base = [(x + 0.5) / (total_u + 0.5 * quality.BUCKETS) for x in u]
+    odds = [math.log((y + quality.STRENGTH * b) / (total_p + quality.STRENGTH) / b) for y, b in zip(p, base, strict=True)]
+    assert max(abs(a - b) for a, b in zip(odds, model.odds, strict=True)) < 1e-9
+
+    rows = {d: _plain_row(t, odds) for d, t in docs.items()}
+    plain = {d: 1 / (1 + math.exp(-sum(model.weights[k] for k in row))) for d, row in rows.items()}
+    found = {r.doc_id: r for r in queries.op3_quality_classifier(spark, sf).collect()}
+    assert found.keys() == docs.keys()
+    off = [d for d, r in found.items() if abs(r.score - plain[d]) > 1e-6]  # a measure on an edge may fall to either side
+    assert len(off) <= len(docs) // 200
+    assert all(r.held_out == (part(d) == 0) and r.predicted == int(r.score >= 0.3) for d, r in found.items())
+
+    n_u, n_p, ridge = len(learn), len(good), 0.04 / math.sqrt(len(good))
+    gradient = [ridge * w for w in model.weights]
+    for d in learn:
+        for k in rows[d]:
+            gradient[k] += plain[d] / n_u - (model.prior / n_p if d in good else 0.0)
+    assert max(map(abs, gradient)) < 2e-3
+
+    first = quality.fit(source, labels, prior=0.5)
+    bins = {}
+    for d in learn:
+        at = max(-400, min(400, math.floor(20 * sum(first.weights[k] for k in rows[d]))))
+        x = bins.setdefault(at, [0, 0])
+        x[0] += 1
+        x[1] += d in good
+    slack = math.sqrt(math.log(4 / 0.1) / 2 / n_u) + math.sqrt(math.log(4 / 0.1) / 2 / n_p)
+    q_u = q_p = 0.0
+    best = None
+    for at in sorted(bins, reverse=True):
+        q_u, q_p = q_u + bins[at][0] / n_u, q_p + bins[at][1] / n_p
+        if q_p > 0 and (best is None or q_u / q_p + 1.01 * slack / q_p < best[0]):
+            best = (q_u / q_p + 1.01 * slack / q_p, min(1.0, q_u / q_p))
+    assert abs(min(best[1], 0.99) - model.prior) < 1e-6

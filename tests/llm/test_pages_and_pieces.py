@@ -248,3 +248,15 @@ def test_differencing_deletes_lines_of_the_table(spark, sf):
     n, by_pair, by_markup = queries.op4_html_extraction(spark, sf).agg(F.count(F.lit(1)), F.count_if(F.col("n_shared") > 0), F.count_if(F.col("n_marked") > 0)).first()
     print(f"of {n} pages, {by_pair} lose lines by differencing, {by_markup} by markup")
     assert 0 < by_pair <= n
+
+
+@pytest.mark.parametrize("name", sorted(pagediff.UNSURE))
+def test_unsure_names_in_an_article_are_decided_by_the_nearest_page(spark, name):
+    """Text of its own stays, whatever the class; what the nearest page has too goes; outside of articles the name is a mark."""
+    page = lambda k, inside: f"<body><div class='{name}'>Outer {k}</div><article><p>Intro {k} of some length</p><div class='{name}'><p>{inside}</p></div><p>End {k} of the article</p></article></body>"
+    own = lambda k: f"Intro {k} of some length\nThe body paragraph {k}.\nEnd {k} of the article"
+    rows = [(1, "http://h.example/a/1", page(1, "The body paragraph 1.")), (2, "http://h.example/a/2", page(2, "The body paragraph 2."))]
+    rows += [(k, f"http://s.example/a/{k}", page(k, "Tell your friends")) for k in (3, 4, 5)] + [(6, "http://one.example/a", page(6, "The body paragraph 6."))]
+    out = {r.page_id: r.text for r in pagediff.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert out == {k: own(k) for k in (1, 2, 6)} | {k: f"Intro {k} of some length\nEnd {k} of the article" for k in (3, 4, 5)}
+    assert [t for t, _ in pagediff.lines_of(f"<article><p>a</p><div class='{name} comments'>b</div><p>c <span class='{name}'>d</span></p></article>")] == ["a", "c"]
