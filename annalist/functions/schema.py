@@ -59,13 +59,16 @@ def _broken(value: Column, schema: Mapping | bool, path: str, depth: int = 0) ->
         out.append(said(~_is(value, kinds), f"type is not {' or '.join(kinds)}"))
     if "const" in schema:
         out.append(said(~_equals(value, schema["const"]), "not the constant"))
+    number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    is_number, is_text = _is(value, ["number"]), _is(value, ["string"])
     if "enum" in schema:
-        one = F.lit(False)
+        numbers = [float(w) for w in schema["enum"] if isinstance(w, int | float) and not isinstance(w, bool)]
+        texts = [w for w in schema["enum"] if isinstance(w, str)]
+        one = (is_number & F.coalesce(number.isin(numbers), F.lit(False))) | (is_text & F.coalesce(text.isin(texts), F.lit(False)))
         for wanted in schema["enum"]:
-            one = one | F.coalesce(_equals(value, wanted), F.lit(False))
+            if isinstance(wanted, bool) or not isinstance(wanted, int | float | str):
+                one = one | F.coalesce(_equals(value, wanted), F.lit(False))
         out.append(said(~one, "not one of the values"))
-    number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
-    is_number, is_text = _is(value, ["number"]), _is(value, ["string"])
     for keyword, bad, what in (
         ("minimum", lambda x: number < x, "below the minimum"), ("maximum", lambda x: number > x, "above the maximum"), ("exclusiveMinimum", lambda x: number <= x, "below the minimum"), ("exclusiveMaximum", lambda x: number >= x, "above the maximum"),
     ):
