@@ -80,6 +80,11 @@ ROLES = ("viewer", "analyst", "approver", "admin")
 STREAM_TYPES = ("entity", "deal", "market", "proposal")
 ACTOR_TYPES = ("agent", "human", "system")
 
+#: Kinds of entities, classes of sites, how closely an entity is watched.
+ENTITY_TYPES = ("organisation", "person", "site", "project", "opportunity", "location")
+SITE_CLASSES = ("mine", "exploration", "farm", "power", "industrial", "transport", "border", "fuel_supply")
+WATCH = ("daily", "weekly", "none")
+
 #: Default approval policy: (event type, certainty or None for any, least confidence, decision). Where nothing fits: review.
 APPROVAL: tuple[tuple[str, str | None, float, str], ...] = (
     ("SignalScored", None, 0.0, "auto"),
@@ -100,4 +105,5 @@ APPROVAL: tuple[tuple[str, str | None, float, str], ...] = (
 REASONS = (
     "unknown_event_type", "no_evidence", "actor_not_human", "no_reason", "agent_without_proposal", "bad_payload", "bad_span", "value_not_in_quote", "quote_too_long",
     "unknown_code", "unknown_predicate", "self_approval", "unknown_stream_type", "unknown_actor_type", "missing_value", "duplicate_id",
+    "unknown_type", "unknown_site_class", "class_without_site", "unknown_watch", "bad_point", "bad_shape", "place_without_evidence",
 )

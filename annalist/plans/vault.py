@@ -115,10 +115,42 @@ def live_states(spark, sf_dir):
     return streams.read_live(spark, f"{folder}/out", ["user_id"], ["event_type"])
 
 
-QUERIES = {f.__name__: f for f in (approved_once, duplicate_ids_refused, appended_chain, indexed_hashes, collected_addresses, ingested_texts, live_states)}
+def registered_entities(spark, sf_dir):
+    """Customers as entities, of which every rule is broken by some, written twice: those in the registry, and why the others are not."""
+    k = F.col("c_custkey")
+    on = lambda r, value, other: F.when(k % 23 == r, value).otherwise(other)
+    site = k % 2 == 0
+    geometry = F.struct(
+        F.lit("point").alias("kind"), on(5, F.lit(181.0), F.col("c_nationkey").cast("double")).alias("lon"), F.when(k % 23 == 6, F.lit(None).cast("double")).otherwise(F.lit(1.0)).alias("lat"),
+        on(7, F.lit("POLYGON ((0 0))"), F.lit(None)).cast("string").alias("wkt"), F.lit(False).alias("approximate"), on(8, F.lit(None), F.lit("e")).cast("string").alias("evidence_id"),
+    )
+    rows = table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("id"), on(1, F.lit("thing"), F.when(site, "site").otherwise("organisation")).alias("type"),
+        on(2, F.lit("castle"), F.when(site | (k % 23 == 3), "mine")).alias("site_class"), on(4, F.lit("hourly"), F.lit("daily")).alias("watch"),
+        F.when(k % 3 == 0, geometry).alias("geometry"), F.create_map(F.lit("registry"), F.col("c_name")).alias("external_ids"),
+    )
+    folder = scratch(spark, "registry")
+    tables, quarantine = St.tables(spark, folder), St.AppendOnly(spark, f"{folder}/quarantine", model.QUARANTINE)
+    at = F.lit("2024-01-01").cast("timestamp")
+    St.write_entities(tables["entities"], quarantine, rows, at)
+    St.write_entities(tables["entities"], quarantine, rows.filter("id % 5 = 0"), at)
+    kept = tables["entities"].read().select("id", "type", F.lit(None).cast("string").alias("reason_code"))
+    return kept.unionByName(quarantine.read().select("id", F.lit(None).cast("string").alias("type"), "reason_code").distinct())
+
+
+QUERIES = {f.__name__: f for f in (registered_entities, approved_once, duplicate_ids_refused, appended_chain, indexed_hashes, collected_addresses, ingested_texts, live_states)}
 
 _HASH = "sha256(coalesce(text, ''))"
 SQL = {
+    "registered_entities": """
+        WITH r AS (
+            SELECT c_custkey AS k, c_custkey % 23 AS m, c_custkey % 2 = 0 AS site, c_custkey % 3 = 0 AS placed, CASE WHEN c_custkey % 2 = 0 THEN 'site' ELSE 'organisation' END AS type FROM customer
+        ), j AS (
+            SELECT *, CASE WHEN m = 1 THEN 'unknown_type' WHEN m = 2 THEN 'unknown_site_class' WHEN m = 3 AND NOT site THEN 'class_without_site' WHEN m = 4 THEN 'unknown_watch'
+                WHEN placed AND m IN (5, 6) THEN 'bad_point' WHEN placed AND m = 7 THEN 'bad_shape' WHEN placed AND m = 8 THEN 'place_without_evidence' END AS reason_code FROM r
+        )
+        SELECT CAST(k AS VARCHAR) AS id, CASE WHEN reason_code IS NULL THEN type END AS type, reason_code FROM j
+    """,
     "approved_once": """
         WITH s AS (
             SELECT event_id, 'u' || event_id % 10 AS actor, ts + to_seconds(event_id % 7) AS tm, true AS approved, NULL AS edited FROM events WHERE event_id % 2 = 0

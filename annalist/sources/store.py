@@ -253,12 +253,13 @@ class EventStore(AppendOnly):
 def tables(spark: SparkSession, path: str) -> dict[str, AppendOnly]:
     """The other append-only tables of a store, by name."""
     schemas = {
-        "texts": model.TEXT, "evidence": model.EVIDENCE, "entities": model.ENTITY, "proposals": model.PROPOSAL, "model_calls": model.MODEL_CALL, "security_log": model.SECURITY_LOG,
+        "texts": model.TEXT, "evidence": model.EVIDENCE, "proposals": model.PROPOSAL, "model_calls": model.MODEL_CALL, "security_log": model.SECURITY_LOG,
         "collector_runs": model.COLLECTOR_RUN,
     }
     keyed = {
         "sources": KeyedTable(spark, f"{path}/sources", model.SOURCE, ["content_hash"]),
         "source_urls": KeyedTable(spark, f"{path}/source_urls", model.SOURCE_URL, ["source_id", "url"]),
+        "entities": KeyedTable(spark, f"{path}/entities", model.ENTITY, ["id"]),
     }
     return {name: AppendOnly(spark, f"{path}/{name}", schema) for name, schema in schemas.items()} | keyed
 
@@ -299,6 +300,36 @@ def write_evidence(evidence: AppendOnly, rows: DataFrame, texts: DataFrame) -> D
     return judged
 
 
+def entity_reason() -> Column:
+    """Why an entity may not be written, null if it may: the first rule that it breaks.
+
+    Its type is known; a site class is known and belongs to a site; watch is known or null; a place has both lon and lat within
+    their ranges, or neither and a well-known text that can be read, and names its evidence, as no place is invented.
+    """
+    known = lambda c, values: F.coalesce(F.col(c).isin(*values), F.lit(False))
+    lon, lat, wkt = F.col("geometry.lon"), F.col("geometry.lat"), F.col("geometry.wkt")
+    inside = F.coalesce(lon.between(-180, 180) & lat.between(-90, 90), F.lit(False))
+    return (
+        F.when(F.col("id").isNull(), "missing_value")
+        .when(~known("type", model.ENTITY_TYPES), "unknown_type")
+        .when(F.col("site_class").isNotNull() & ~known("site_class", model.SITE_CLASSES), "unknown_site_class")
+        .when(F.col("site_class").isNotNull() & (F.col("type") != "site"), "class_without_site")
+        .when(F.col("watch").isNotNull() & ~known("watch", model.WATCH), "unknown_watch")
+        .when(F.col("geometry").isNotNull() & (lon.isNotNull() | lat.isNotNull() | wkt.isNull()) & ~inside, "bad_point")
+        .when(wkt.isNotNull() & shape(wkt).isNull(), "bad_shape")
+        .when(F.col("geometry").isNotNull() & F.col("geometry.evidence_id").isNull(), "place_without_evidence")
+    )
+
+
+def write_entities(entities: KeyedTable, quarantine: AppendOnly, rows: DataFrame, at: Column) -> int:
+    """Add the entities that keep the rules (:func:`entity_reason`) and whose id is new; the others go to quarantine with their
+    reason and the time ``at``. Of rows with one id, one is added. Returns how many were added."""
+    judged = rows.withColumn("reason_code", entity_reason())
+    bad = judged.filter(F.col("reason_code").isNotNull())
+    quarantine.append(bad.select("id", F.lit("entity").alias("step"), F.to_json(F.struct("type", "site_class", "watch", "geometry")).alias("output"), "reason_code", at.alias("created_at")))
+    return entities.add(judged.filter(F.col("reason_code").isNull()))
+
+
 def log_security(log: AppendOnly, actions: DataFrame) -> None:
     """Append sign-ins, role changes, erasures, ... (ts, user_id, action, detail): apart from the event log."""
     log.append(actions)
