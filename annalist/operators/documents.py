@@ -35,7 +35,8 @@ def near_fingerprints(prints: DataFrame, column: str = "simhash", within: int =
     """(a, b): distinct fingerprints, a < b, that differ in at most ``within`` (3 at most) bits.
 
     They meet by an equi-join on the values of three blocks of ten bits, for each of the 20 choices of three; of the choices that
-    a pair shares, the first counts.
+    a pair shares, the first counts. The join is by shuffle, whatever Spark takes the sides' size for: it knows that of the
+    fingerprints, which become 20 rows each afterwards.
     """
     if within > 3:
         raise ValueError("three of six blocks find pairs within three bits")
@@ -43,7 +44,7 @@ def near_fingerprints(prints: DataFrame, column: str = "simhash", within: int =
     masks = [sum(0x3FF << s for s in chosen) for chosen in combinations(BLOCKS, 3)]
     cuts = F.array(*[F.struct(F.lit(k).alias("block"), F.col("p").bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(masks)])
     blocks = distinct.select("p", F.explode(cuts).alias("x")).select("p", "x.block", "x.value")
-    left, right = blocks.withColumnRenamed("p", "a"), blocks.withColumnRenamed("p", "b")
+    left, right = blocks.withColumnRenamed("p", "a"), blocks.withColumnRenamed("p", "b").hint("merge")
     return left.join(right, ["block", "value"]).filter((F.col("a") < F.col("b")) & (X.hamming(F.col("a"), F.col("b")) <= within)).select("a", "b").distinct()
 
 
