@@ -55,10 +55,13 @@ def window_entry(events: DataFrame, project: str, order: Sequence[str], stage: s
 
 
 def forecast_shift(forecasts: DataFrame, key: str, order: Sequence[str], date: str, months: int = 6) -> DataFrame:
-    """Forecasts whose date is ``months`` or more nearer than that of the forecast before."""
+    """Forecasts whose date is ``months`` or more nearer than that of the forecast before.
+
+    Months are added by the calendar: a day that the month reached lacks is that month's last (30 August and six months are 28 February).
+    """
     before = F.lag(date).over(W.partitionBy(key).orderBy(*order))
     rows = forecasts.withColumn("before", before)
-    return rows.filter(F.months_between("before", date) >= months)
+    return rows.filter(F.col("before") >= F.col(date) + F.make_ym_interval(F.lit(0), F.lit(months)))
 
 
 def first_signal(procurements: DataFrame, signals: DataFrame, project: str, time: str) -> DataFrame:
