@@ -10,10 +10,41 @@ from annalist.functions import text as X
 from annalist.operators.lineage import cut
 
 
-def match_external(mentions: DataFrame, entities: DataFrame, mention: str = "mention_id", entity: str = "entity_id") -> DataFrame:
-    """(mention, entity) that have an external id of the same kind in common (column external_ids: map)."""
-    spread = lambda df, key: df.select(key, F.explode("external_ids").alias("kind", "value")).filter(F.col("value").isNotNull())
-    return spread(mentions, mention).join(spread(entities, entity), ["kind", "value"]).select(mention, entity).distinct()
+#: Rows of one external id that meet in one place; an id of more is dealt out in pairs of blocks.
+BLOCK_ROWS = 2_048
+#: Pairs of one partition, about, and partitions, at most.
+PAIRS, MOST_PARTITIONS = 4_000_000, 20_000
+
+
+def match_external(mentions: DataFrame, entities: DataFrame, mention: str = "mention_id", entity: str = "entity_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(mention, entity) that have an external id of the same kind in common (column external_ids: map).
+
+    Each pair comes once, at the first id that both have, so pairs are not shuffled. Mentions and entities of an id meet in pairs of
+    blocks of some ``block_rows`` rows, so that a frequent id is no single task; the number of pairs, which goes to the driver, says how many
+    partitions they are dealt to.
+    """
+
+    def side(df: DataFrame, key: str) -> DataFrame:
+        """The rows of ``key`` once, by each of their ids, with all of these."""
+        spread = df.select(key, F.explode("external_ids").alias("kind", "value")).filter(F.col("value").isNotNull())
+        return spread.groupBy(key).agg(F.collect_set(F.struct("kind", "value")).alias("ids")).select(key, "ids", F.explode("ids").alias("id"))
+
+    left, right = side(mentions, mention), side(entities, entity).withColumnRenamed("ids", "other_ids")
+    count = lambda df, name: df.groupBy("id").agg(F.count(F.lit(1)).alias(name))
+    sizes = cut(count(left, "n").join(count(right, "m"), "id"))
+    partitions = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("m")), F.lit(0.0))).first()[0]
+    partitions = max(partitions, min(MOST_PARTITIONS, int(pairs // PAIRS) + 1))
+    blocks = sizes.select("id", F.ceil(F.col("n") / block_rows).alias("n"), F.ceil(F.col("m") / block_rows).alias("m"))
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Each row in its own block, once for each block of the other side."""
+        placed = df.join(blocks, "id").withColumn(f"{own}_block", F.pmod(F.xxhash64(key), own)).withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return placed.drop("n", "m").repartition(partitions, "id", "n_block", "m_block")
+
+    met = dealt(left, mention, "n", "m").join(dealt(right, entity, "m", "n"), ["id", "n_block", "m_block"])
+    first = (F.size("ids") == 1) | (F.size("other_ids") == 1) | (F.array_min(F.array_intersect("ids", "other_ids")) == F.col("id"))
+    return met.filter(first).select(mention, entity)
 
 
 def match_name(mentions: DataFrame, entities: DataFrame, name: str = "name", country: str = "country") -> DataFrame:

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from annalist.operators import documents as D
+from annalist.operators import resolve as R
 from annalist.operators import timing as Tm
 
 
@@ -24,3 +25,18 @@ def test_forecast_shift_counts_months_by_the_calendar(spark):
     rows = [(k, n, dt.datetime.fromisoformat(d)) for k, pair in enumerate(days) for n, d in enumerate(pair)]
     found = Tm.forecast_shift(spark.createDataFrame(rows, "k int, n int, day timestamp_ntz"), "k", ["n"], "day")
     assert sorted(r.k for r in found.collect()) == [0, 2, 3, 5]
+
+
+def test_external_pairs_are_not_shuffled_and_frequent_ids_are_dealt_out(spark):
+    ids = lambda *pairs: F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
+    none = F.lit(None).cast("string")
+    left = spark.range(60).select(F.col("id").alias("mention_id"), ids(("a", F.lit("hot")), ("b", (F.col("id") % 5).cast("string")), ("c", none)).alias("external_ids"))
+    right = spark.range(50).select(F.col("id").alias("entity_id"), ids(("a", F.when(F.col("id") % 2 == 0, "hot")), ("b", (F.col("id") % 5).cast("string"))).alias("external_ids"))
+    left = left.unionAll(left.filter("mention_id < 3"))
+    df = R.match_external(left, right, block_rows=7)
+    rows = df.collect()
+    assert len(rows) == len(set(rows)) and {tuple(r) for r in rows} == {(m, e) for m in range(60) for e in range(50) if e % 2 == 0 or m % 5 == e % 5}
+    plan = final_plan(df)
+    assert "[mention_id#" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line and "entity_id" in line.split("hashpartitioning")[1].split("]")[0])
+    spread = df.select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    assert spread.count() > 1 and R.match_external(left.filter("false"), right).count() == 0
