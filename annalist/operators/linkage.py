@@ -103,8 +103,20 @@ def best(scored: DataFrame, mention: str = "mention_id", entity: str = "entity_i
     take the least entity. Repeated pairs count once, with their greatest probability.
     """
     once = scored.groupBy(mention, entity).agg(F.max(F.least(F.col("confidence"), F.lit(1 - 1e-12))).alias("c"))
+    return _settled(once.withColumn("n", F.lit(1)), mention, entity, certain, lead)
+
+
+def best_by_pattern(pairs: DataFrame, weights: Weights | None, fields: Sequence[str], mention: str = "mention_id", entity: str = "entity_id", certain: float = 0.9, lead: float = 0.5) -> DataFrame:
+    """:func:`best` of :func:`probability`, for pairs that are distinct. Pairs of one pattern have one probability, so those of a mention
+    and a pattern are counted before the shuffle, with the least of their entities: pairs are not shuffled."""
+    counted = pairs.groupBy(mention, *fields).agg(F.count(F.lit(1)).alias("n"), F.min(entity).alias(entity))
+    return _settled(probability(counted, weights).withColumn("c", F.least(F.col("confidence"), F.lit(1 - 1e-12))), mention, entity, certain, lead)
+
+
+def _settled(once: DataFrame, mention: str, entity: str, certain: float, lead: float) -> DataFrame:
+    """``once``: mention, entity, c and n, how many candidates have this probability, of which the entity is the least."""
     odds = once.withColumn("odds", F.col("c") / (1 - F.col("c")))
-    per = odds.groupBy(mention).agg(F.sum("odds").alias("all"), F.min(F.struct((-F.col("odds")).alias("odds"), F.col(entity).alias("e"))).alias("top"))
+    per = odds.groupBy(mention).agg(F.sum(F.col("n") * F.col("odds")).alias("all"), F.min(F.struct((-F.col("odds")).alias("odds"), F.col(entity).alias("e"))).alias("top"))
     confidence = -F.col("top.odds") / (1 + F.col("all"))
     out = per.select(mention, F.col("top.e").alias(entity), confidence.alias("confidence"))
     return out.withColumn("decision", F.when(F.col("confidence") >= certain, "match").when(F.col("confidence") >= lead, "review").otherwise("none"))

@@ -5,8 +5,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from annalist.operators import documents as D
+from annalist.operators import linkage as Lk
 from annalist.operators import resolve as R
 from annalist.operators import timing as Tm
+from annalist.plans import matching
 
 
 def final_plan(df):
@@ -40,3 +42,17 @@ def test_external_pairs_are_not_shuffled_and_frequent_ids_are_dealt_out(spark):
     assert "[mention_id#" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line and "entity_id" in line.split("hashpartitioning")[1].split("]")[0])
     spread = df.select(F.spark_partition_id().alias("p")).groupBy("p").count()
     assert spread.count() > 1 and R.match_external(left.filter("false"), right).count() == 0
+
+
+def test_pairs_of_customers_are_not_shuffled(spark, sf):
+    for df in (matching.linkage_patterns(spark, sf), matching.linked_customers(spark, sf)):
+        dealt = [line.split("hashpartitioning(")[1] for line in final_plan(df).splitlines() if "hashpartitioning(" in line]
+        assert dealt and not any("entity_id" in line for line in dealt)
+
+
+def test_best_by_pattern_equals_best(spark):
+    pairs = spark.range(3000).select((F.col("id") % 40).alias("mention_id"), F.col("id").alias("entity_id"), (F.col("id") % 3).cast("int").alias("x"), F.when(F.col("id") % 7 > 0, (F.col("id") % 2).cast("int")).alias("y"))
+    weights = Lk.estimate(Lk.patterns(pairs, ("x", "y")), ("x", "y"))
+    for w in (weights, None):
+        show = lambda df: sorted((r.mention_id, r.entity_id, round(r.confidence, 9), r.decision) for r in df.collect())
+        assert show(Lk.best_by_pattern(pairs, w, ("x", "y"))) == show(Lk.best(Lk.probability(pairs, w)))
