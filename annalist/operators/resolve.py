@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions import text as X
+from annalist.operators import vectors as Vx
 from annalist.operators.lineage import cut
 
 
@@ -109,16 +110,32 @@ def active_merges(merges: DataFrame, splits: DataFrame) -> DataFrame:
 def vector_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 10, blocks: int | None = None) -> DataFrame:
     """The ``k`` most similar vectors (cosine) of all for each query, itself left out: (query, key, similarity, rank).
 
-    A stated set of queries against all rows: queries go to every block of vectors, the best k of each block are kept (rank
-    limits are applied before the shuffle), then the best k of all. There are two blocks (``blocks``) for each core at least.
+    A stated set of queries against all rows: queries go to every block of vectors in parts, both of ``Vx.CELL_ROWS`` rows or so at most, each
+    block and part is a matrix product (:func:`annalist.operators.vectors.block_best`), and the best k of each block are ranked.
+    There are two blocks (``blocks``) for each core at least. Vectors without a direction have no similarity, and come last.
     """
-    blocks = blocks or max(16, 2 * queries.sparkSession.sparkContext.defaultParallelism)
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(X.dot(c, c)))
-    left = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = vectors.select(key, unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    scored = left.join(right, "block").filter(F.col("query") != F.col(key)).select("query", key, "block", F.round(X.dot(F.col("q"), F.col("v")), 9).alias("similarity"))
-    best = lambda df, *by: df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.col("similarity").desc(), key))).filter(F.col("rank") <= k)
-    return best(best(scored, "query", "block").drop("rank", "block"), "query")
+    blocks = blocks or max(16, 2 * queries.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // Vx.CELL_ROWS))
+    parts = Vx.query_parts(queries, Vx.CELL_ROWS)
+    sides = lambda name: (F.col(vector).cast("array<double>").alias(name), F.sqrt(X.dot(F.col(vector), F.col(vector))).alias(f"{name}_length"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = Vx.usable(queries, vector).select(F.col(key).alias("query"), *sides("q"), part(key, parts).alias("part")).withColumn("block", every(blocks))
+    right = Vx.usable(vectors, vector).select(key, *sides("v"), part(key, blocks).alias("block")).withColumn("part", every(parts))
+    scored = Vx.block_best(left, right, key, k, ["block", "part"])
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.col("similarity").desc(), key))).filter(F.col("rank") <= k)
+    return ranked(scored.unionByName(_without_direction(queries, vectors, key, vector, k)))
+
+
+def _without_direction(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """Of queries and vectors of which one has no direction, the ``k`` least keys for each query, with a null similarity.
+
+    They are alike for all queries but for a query's own row, so ``k + 1`` rows are looked at for each.
+    """
+    odd = lambda df: df.join(Vx.usable(df, vector).select(key).distinct(), key, "left_anti")
+    least = lambda df: F.broadcast(df.select(key).orderBy(key).limit(k + 1))
+    names = lambda df: df.select(F.col(key).alias("query"))
+    pairs = names(Vx.usable(queries, vector)).crossJoin(least(odd(vectors))).unionAll(names(odd(queries)).crossJoin(least(vectors)))
+    return pairs.filter(F.col("query") != F.col(key)).withColumn("similarity", F.lit(None).cast("double"))
 
 
 def canonical_ids(merges: DataFrame, rounds: int = 64) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalist.functions import text as X
+from annalist.operators.lineage import cut
 
 #: Rows that centres are fitted on, at most; every row is assigned and searched.
 SAMPLE = 65_536
@@ -106,6 +107,63 @@ def assign(rows: DataFrame, centres: np.ndarray, vector: str) -> DataFrame:
     return _scores(rows, vector, centres, how, "cell int, cosine double")
 
 
+#: Products of one matrix multiplication, and how far its cosines may be from those that are rounded to nine places, with room.
+PRODUCTS, ROOM = 1 << 22, 4e-9
+
+
+def best_of_block(asked: pa.Table, stored: pa.Table, k: int) -> pa.Table:
+    """(query, key, similarity) of what may be among the ``k`` best of a block for each query: at the ``k``-th best cosine or above, but
+    for rounding to nine places; of equal cosines, the ``k`` least keys.
+
+    ``asked``: query, q, q_length; ``stored``: key, v, v_length (vectors, in the order of the file). Cosines are screened by matrix
+    products, and those that are left are summed component by component, as Spark's fold does.
+    """
+    matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+    plain = lambda c: c.combine_chunks().to_numpy(zero_copy_only=False)
+    empty = pa.table({"query": asked["query"].slice(0, 0), "key": stored["key"].slice(0, 0), "similarity": pa.array([], pa.float64())})
+    if not len(asked) or not len(stored):
+        return empty
+    stored = stored.take(pa.array(np.argsort(plain(stored["key"]), kind="stable")))
+    q, v, names, keys = matrix(asked["q"]), matrix(stored["v"]), plain(asked["query"]), plain(stored["key"])
+    q_length, v_length = plain(asked["q_length"]), plain(stored["v_length"])
+    units, step = (v / v_length[:, None]).T, max(1, PRODUCTS // len(v))
+    at_query, at_row, found = [], [], []
+    for start in range(0, len(q), step):
+        s = (q[start : start + step] / q_length[start : start + step, None]) @ units
+        s[names[start : start + step, None] == keys[None, :]] = -4.0
+        least = np.partition(s, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(s), -2.0)
+        for i, (row, low) in enumerate(zip(s, np.maximum(least - ROOM, -2.0), strict=True), start):
+            near = np.flatnonzero(row >= low)
+            exact = np.concatenate([np.empty(0), *[np.add.accumulate(q[i] * v[part], axis=1)[:, -1] for part in np.array_split(near, len(near) // 65_536 + 1)]]) / (q_length[i] * v_length[near])
+            order = np.argsort(-exact, kind="stable")
+            ranked = exact[order]
+            starts = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
+            place = np.arange(len(ranked)) - np.maximum.accumulate(np.where(starts, np.arange(len(ranked)), 0))
+            order = order[place < k]
+            at_query.append(np.full(len(order), i))
+            at_row.append(near[order])
+            found.append(exact[order])
+    return pa.table({"query": asked["query"].take(pa.array(np.concatenate(at_query))), "key": stored["key"].take(pa.array(np.concatenate(at_row))), "similarity": pa.array(np.concatenate(found), pa.float64())})
+
+
+def block_best(asked: DataFrame, stored: DataFrame, key: str, k: int, by: list[str]) -> DataFrame:
+    """(query, key, similarity rounded to nine places): what may be among the ``k`` best, of each block (``by``) on its own."""
+    kind = stored.schema[key].dataType.simpleString()
+    left = asked.select(*by, "query", "q", "q_length").groupBy(*by)
+    right = stored.select(*by, F.col(key).alias("key"), "v", "v_length").groupBy(*by)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return best_of_block(a, b, k)
+
+    met = left.cogroup(right).applyInArrow(run, f"query {asked.schema['query'].dataType.simpleString()}, key {kind}, similarity double")
+    return met.select("query", F.col("key").alias(key), F.round("similarity", 9).alias("similarity"))
+
+
+def query_parts(queries: DataFrame, part_rows: int) -> int:
+    """In how many parts queries are dealt, so that a block and a part are of bounded size."""
+    return max(1, -(-queries.count() // part_rows))
+
+
 def _ranked(df: DataFrame, k: int, key: str, *by: str) -> DataFrame:
     place = F.row_number().over(W.partitionBy(*by).orderBy(F.col("similarity").desc(), key))
     return df.withColumn("rank", place).filter(F.col("rank") <= k)
@@ -136,6 +194,7 @@ def search(queries: DataFrame, vectors: DataFrame, index: Cells | None, key: str
         bound = np.where(index.rows > 0, np.cos(gap), -2.0) + 1e-9
         return {"near": pa.array(first.astype(np.int32).tolist(), pa.list_(pa.int32())), "bound": pa.array(bound.tolist(), pa.list_(pa.float64()))}
 
+    parts = query_parts(queries, cell_rows)
     length = lambda c: F.sqrt(X.dot(F.col(c), F.col(c)))
     asked = _scores(asked, "q", index.centres, near, "near array<int>, bound array<double>").withColumn("q_length", length("q"))
     spread = F.array(*[F.lit(int(b)) for b in blocks])
@@ -144,12 +203,11 @@ def search(queries: DataFrame, vectors: DataFrame, index: Cells | None, key: str
 
     def found(cells: DataFrame) -> DataFrame:
         """The best of each block, then of each query; ``cells``: query, q, q_length, cell."""
-        wanted = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(spread, F.col("cell") + 1) - 1)))
-        scored = wanted.join(stored, ["cell", "block"]).filter(F.col("query") != F.col(key))
-        scored = scored.select("query", key, "cell", "block", F.round(X.dot(F.col("q"), F.col("v")) / (F.col("q_length") * F.col("v_length")), 9).alias("similarity"))
-        return _ranked(_ranked(scored, k, key, "query", "cell", "block").select("query", key, "similarity"), k, key, "query")
+        wanted = cells.withColumns({"block": F.explode(F.sequence(F.lit(0), F.element_at(spread, F.col("cell") + 1) - 1)), "part": F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")})
+        dealt = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return _ranked(block_best(wanted, dealt, key, k, ["cell", "block", "part"]), k, key, "query")
 
-    first = found(asked.select("query", "q", "q_length", F.explode("near").alias("cell")))
+    first = cut(found(asked.select("query", "q", "q_length", F.explode("near").alias("cell"))))
     last = first.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("similarity")).otherwise(-2.0).alias("least"))
     judged = asked.join(last, "query", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
     left = F.filter(F.sequence(F.lit(0), F.lit(len(index.centres) - 1)), lambda c: (F.element_at("bound", c + 1) >= F.col("least")) & ~F.array_contains("near", c))

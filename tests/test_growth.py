@@ -1,6 +1,7 @@
 """What larger tables bring to light: joins that must not be broadcast, shuffles of pairs, calendars."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from annalist.operators import documents as D
 from annalist.operators import linkage as Lk
 from annalist.operators import resolve as R
 from annalist.operators import timing as Tm
+from annalist.operators import vectors as Vx
 from annalist.plans import matching
 
 
@@ -56,3 +58,30 @@ def test_best_by_pattern_equals_best(spark):
     for w in (weights, None):
         show = lambda df: sorted((r.mention_id, r.entity_id, round(r.confidence, 9), r.decision) for r in df.collect())
         assert show(Lk.best_by_pattern(pairs, w, ("x", "y"))) == show(Lk.best(Lk.probability(pairs, w)))
+
+
+def test_vectors_meet_as_matrix_products_and_ties_and_odd_rows_stay(spark):
+    rnd = random.Random(3)
+    rows = [(k, [rnd.gauss(0, 1) for _ in range(8)]) for k in range(300)]
+    rows += [(k, rows[5][1]) for k in range(300, 340)] + [(340, None), (341, [0.0] * 8), (342, [None] * 8)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = R.vector_topk(df.filter("id % 20 = 0"), df, "id", "v", 10, blocks=3)
+    assert "FlatMapCoGroupsInArrow" in final_plan(found)
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5), 9)
+
+    whole = {}
+    for key, v in rows[:341:20]:
+        best = sorted((-cosine(v, w), k) for k, w in rows[:340] if k != key) if v else [(None, k) for k in range(10)]
+        whole |= {(key, n): k for n, (_, k) in enumerate(best[:10], 1)}
+    assert {(r["query"], r["rank"]): r["id"] for r in found.collect()} == whole
+    index = Vx.fit_cells(df, "id", "v", cells=6)
+    near = Vx.search(df.filter("id % 20 = 0"), df, index, "id", "v", k=10, exact=True, cell_rows=7)
+    assert "FlatMapCoGroupsInArrow" in index_plan(df, index)
+    assert {(r["query"], r["rank"]): r["id"] for r in near.collect()} == {a: k for a, k in whole.items() if a[0] != 340}
+
+
+def index_plan(df, index):
+    """The plan of the blocks of one search without its first pass, which is kept."""
+    return Vx.search(df.filter("id % 20 = 0"), df, index, "id", "v", exact=True, probes=1)._jdf.queryExecution().executedPlan().toString()
