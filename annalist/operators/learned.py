@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import text as X
+from annalist.operators.lineage import cut
 
 #: Rows of words that are sent to all tasks, at most; more are joined by shuffle.
 BROADCAST_WORDS = 1_000_000
@@ -23,29 +26,38 @@ def words_of(text: Column) -> Column:
 
 def grams_of(text: Column) -> Column:
     """Three-character runs of the words, each with a space before and after: for short and unseen words."""
-    whole = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
-    return F.flatten(F.transform(words_of(text), lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substr(whole(w), i, F.lit(3)))))
+    return F.flatten(F.transform(words_of(text), grams_in))
+
+
+def grams_in(word: Column) -> Column:
+    """The three-character runs of one word."""
+    whole = F.concat(F.lit(" "), word, F.lit(" "))
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substr(whole, i, F.lit(3)))
 
 
-def learn(docs: DataFrame, tokens: Column, label: str) -> tuple[DataFrame, DataFrame]:
+def learn(docs: DataFrame, tokens: Column, label: str, parts: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """The model of ``docs``: (label, docs, total) and (token, counts: array of label and n).
 
-    Rows without a label teach nothing. Labels are those that occur; the counts are combined before each shuffle.
+    Rows without a label teach nothing. Labels are those that occur; the counts are combined before each shuffle. With ``parts``
+    (of a token: an array that is not empty) it is the parts of tokens that are counted, which are found once for each distinct token.
     """
     known = docs.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), tokens.alias("tokens"))
     spread = known.select("label", F.explode("tokens").alias("token")).groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
+    if parts:
+        spread = spread.select("label", "n", F.explode(parts(F.col("token"))).alias("token")).groupBy("label", "token").agg(F.sum("n").alias("n"))
     sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
     totals = spread.groupBy("label").agg(F.sum("n").alias("total"))
     labels = sizes.join(totals, "label", "left").select("label", "docs", F.coalesce("total", F.lit(0)).alias("total"))
     return labels, spread.groupBy("token").agg(F.collect_list(F.struct("label", "n")).alias("counts"))
 
 
-def predict(docs: DataFrame, tokens: Column, key: str, labels: DataFrame, words: DataFrame, most_labels: int = 1_000, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def predict(docs: DataFrame, tokens: Column, key: str, labels: DataFrame, words: DataFrame, most_labels: int = 1_000, broadcast_words: int = BROADCAST_WORDS, parts: Callable[[Column], Column] | None = None) -> DataFrame:
     """(key, label, score): the likeliest label of each row (ties: the least) and its log probability of label and tokens.
 
     log((docs of the label) / docs) + sum over tokens of log((n + 1) / (total + V + 1)), V: distinct tokens learned. A text without
     tokens has the most frequent label. ``key`` is distinct; no label is given where nothing was learned. Labels (``most_labels``
-    at most) go to the driver; words are broadcast if they are few.
+    at most) go to the driver; words are broadcast if they are few, and then no token is shuffled. With ``parts``, as in :func:`learn`,
+    what a token adds is summed over its parts once for each distinct token of ``docs``.
     """
     known = labels.limit(most_labels + 1).collect()
     if len(known) > most_labels:
@@ -54,14 +66,24 @@ def predict(docs: DataFrame, tokens: Column, key: str, labels: DataFrame, words:
     if not known:
         return docs.select(key, F.lit(None).cast(kind).alias("label"), F.lit(None).cast("double").alias("score"))
     n_words, n_docs = words.count(), sum(r.docs for r in known)
-    words = F.broadcast(words) if n_words <= broadcast_words else words
+    few = lambda df, n: F.broadcast(df) if n <= broadcast_words else df
     rows = docs.select(key, tokens.alias("tokens"))
-    counted = rows.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-    told = counted.join(words, "token").select(key, "tf", F.explode("counts").alias("c"))
-    sums = told.groupBy(key, F.col("c.label").alias("label")).agg(F.sum(F.col("tf") * F.log(F.col("c.n") + 1)).alias("gain"))
+    spread = rows.select(key, F.explode("tokens").alias("token"))
+    adds = words.select("token", F.transform("counts", lambda c: F.struct(c["label"].alias("label"), F.log(c["n"] + 1).alias("gain"))).alias("gains"), F.lit(1).alias("n"))
+    if parts:
+        own = spread.select("token").distinct().withColumn("of", parts(F.col("token")))
+        found = own.select(F.col("token").alias("whole"), F.explode("of").alias("token")).join(few(adds, n_words), "token").select("whole", F.explode("gains").alias("g"))
+        found = found.groupBy("whole", F.col("g.label").alias("label")).agg(F.sum("g.gain").alias("gain")).groupBy("whole").agg(F.collect_list(F.struct("label", "gain")).alias("gains"))
+        adds = cut(own.select("token", F.size("of").alias("n")).join(found, F.col("token") == F.col("whole"), "left").select("token", "gains", "n"))
+    met = spread.join(few(adds, adds.count() if parts else n_words), "token")
+    sums = met.select(key, F.explode("gains").alias("g")).groupBy(key, F.col("g.label").alias("label")).agg(F.sum("g.gain").alias("gain"))
     gains = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "gain"))).alias("gains"))
     table = F.array(*[F.struct(F.lit(r.label).cast(kind).alias("label"), F.log(F.lit(r.docs / n_docs)).alias("prior"), F.log(F.lit(float(r.total + n_words + 1))).alias("size")) for r in sorted(known, key=lambda r: r.label)])
-    scored = rows.select(key, F.size("tokens").alias("n")).join(gains, key, "left")
+    if parts:
+        scored = docs.select(key).join(met.groupBy(key).agg(F.sum("n").alias("n")), key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    else:
+        scored = rows.select(key, F.size("tokens").alias("n"))
+    scored = scored.join(gains, key, "left")
     score = lambda t: t["prior"] - F.col("n") * t["size"] + F.coalesce(F.try_element_at("gains", t["label"]), F.lit(0.0))
     best = F.array_max(F.transform(table, lambda t, i: F.struct(F.round(score(t), 9).alias("score"), (-i).alias("place"), t["label"].alias("label"))))
     return scored.select(key, best.alias("b")).select(key, "b.label", "b.score")

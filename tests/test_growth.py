@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from annalist.operators import documents as D
+from annalist.operators import learned as Ln
 from annalist.operators import linkage as Lk
 from annalist.operators import resolve as R
 from annalist.operators import timing as Tm
@@ -85,3 +86,17 @@ def test_vectors_meet_as_matrix_products_and_ties_and_odd_rows_stay(spark):
 def index_plan(df, index):
     """The plan of the blocks of one search without its first pass, which is kept."""
     return Vx.search(df.filter("id % 20 = 0"), df, index, "id", "v", exact=True, probes=1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_not_shuffled_and_parts_count_as_their_tokens(spark):
+    docs = spark.createDataFrame([(k, " ".join(random.Random(k).choices(["ab", "bcd", "ca", "dda", "élan"], k=k % 9)), "xyz"[k % 3]) for k in range(60)], "id long, text string, label string")
+    labels, words = Ln.learn(docs, Ln.words_of(F.col("text")), "label")
+    plan = final_plan(Ln.predict(docs, Ln.words_of(F.col("text")), "id", labels, words))
+    dealt = [line.split("hashpartitioning(")[1].split("]")[0] for line in plan.splitlines() if "hashpartitioning(id#" in line]
+    assert dealt and not any("token#" in line for line in dealt)
+    labels, grams = Ln.learn(docs, Ln.grams_of(F.col("text")), "label")
+    whole = Ln.predict(docs, Ln.grams_of(F.col("text")), "id", labels, grams)
+    labels, grams = Ln.learn(docs, Ln.words_of(F.col("text")), "label", parts=Ln.grams_in)
+    show = lambda df: sorted((r.id, r.label, round(r.score, 7)) for r in df.collect())
+    for most in (0, 1000):
+        assert show(Ln.predict(docs, Ln.words_of(F.col("text")), "id", labels, grams, broadcast_words=most, parts=Ln.grams_in)) == show(whole)
