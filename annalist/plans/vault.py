@@ -14,6 +14,8 @@ from annalist.sources import store as St
 from annalist.sources.commits import CommitLog
 from annalist.streaming import streams
 
+#: Documents of one file of the inbox, about.
+FILE_ROWS = 10_000
 
 
 def _n():
@@ -87,11 +89,12 @@ def collected_addresses(spark, sf_dir):
 
 
 def ingested_texts(spark, sf_dir):
-    """Documents that arrive in two files, as a stream that keeps each text once."""
+    """Documents that arrive in two halves, as a stream that keeps each text once. A half has as many files as its rows need."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("url"), F.coalesce("text", F.lit("")).alias("text"), F.timestamp_seconds("doc_id").alias("fetched_at"))
     folder = scratch(spark, "inbox")
-    docs.repartition(2, "url").write.parquet(f"{folder}/in")
-    found = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    half = max(1, -(-docs.count() // (2 * FILE_ROWS)))
+    docs.repartition(2 * half).write.parquet(f"{folder}/in")
+    found = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", half).parquet(f"{folder}/in")
     query = streams.ingest_stream(found, f"{folder}/out", f"{folder}/check")
     query.awaitTermination()
     if query.exception():

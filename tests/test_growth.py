@@ -11,7 +11,7 @@ from annalist.operators import linkage as Lk
 from annalist.operators import resolve as R
 from annalist.operators import timing as Tm
 from annalist.operators import vectors as Vx
-from annalist.plans import matching
+from annalist.plans import matching, vault
 
 
 def final_plan(df):
@@ -100,3 +100,12 @@ def test_tokens_are_not_shuffled_and_parts_count_as_their_tokens(spark):
     show = lambda df: sorted((r.id, r.label, round(r.score, 7)) for r in df.collect())
     for most in (0, 1000):
         assert show(Ln.predict(docs, Ln.words_of(F.col("text")), "id", labels, grams, broadcast_words=most, parts=Ln.grams_in)) == show(whole)
+
+
+def test_documents_arrive_in_as_many_files_as_they_need(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(vault, "FILE_ROWS", 20, raising=False)
+    monkeypatch.setattr(vault, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    found = vault.ingested_texts(spark, sf).count()
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    assert found == rows.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert len(list((tmp_path / "inbox" / "in").glob("part-*"))) >= rows.count() // 20 and len(list((tmp_path / "inbox" / "out").glob("batch=*"))) == 2
