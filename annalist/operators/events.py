@@ -44,9 +44,9 @@ def assign_sequence(events: DataFrame, stream: Sequence[str] = STREAM, order: Se
     return joined.withColumn("sequence", F.col("sequence") + F.coalesce("head", F.lit(0))).drop("head")
 
 
-def canonical(*columns: str) -> Column:
+def canonical(*columns: str | Column) -> Column:
     """The canonical content of an event for hashing: its columns as text, JSON-quoted, null as null, joined by |."""
-    escaped = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    escaped = lambda c: F.replace(F.replace((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     quoted = [F.coalesce(F.concat(F.lit('"'), escaped(c), F.lit('"')), F.lit("null")) for c in columns]
     return F.concat_ws("|", *quoted)
 
@@ -60,8 +60,29 @@ def hash_chain(events: DataFrame, content: Column, stream: Sequence[str] = STREA
     rows = events.withColumn("__content", F.concat(F.lit("|"), content))
     rows = rows.join(seeds.select(*stream, F.col("hash").alias("__seed")), list(stream), "left") if seeds is not None else rows.withColumn("__seed", F.lit(None).cast("string"))
     rows = rows.repartition(*stream).sortWithinPartitions(*stream, *order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", prev_hash string, hash string"
-    kept = [c for c in events.columns if c not in ("prev_hash", "hash")]
+    return _linked(rows, stream, [c for c in events.columns if c not in ("prev_hash", "hash")])
+
+
+def extend_chain(events: DataFrame, content: Column, heads: DataFrame | None = None, stream: Sequence[str] = STREAM, order: Sequence[str] = ("recorded_at", "id")) -> DataFrame:
+    """:func:`assign_sequence` and :func:`hash_chain` in one shuffle; ``heads``: the stream's columns, ``head`` and ``hash``.
+
+    Heads are shuffled with the events, as first rows of their streams, so nothing is joined; one without events gives no row.
+    """
+    rows = events.withColumns({"__head": F.lit(None).cast("long"), "__end": F.lit(None).cast("string")})
+    if heads is not None:
+        rows = rows.unionByName(heads.select(*stream, F.col("head").alias("__head"), F.col("hash").alias("__end")), allowMissingColumns=True)
+    w = W.partitionBy(*stream).orderBy(F.col("__head").desc_nulls_last(), *order)
+    before = F.first("__head").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    sequence = F.row_number().over(w).cast("long") + F.coalesce(before - 1, F.lit(0))
+    rows = rows.repartition(*stream).withColumns({"sequence": sequence, "__seed": F.lag("__end").over(w)})  # the window sorts each task's streams
+    rows = rows.filter(F.col("__head").isNull()).withColumn("__content", F.concat(F.lit("|"), content)).drop("__head", "__end")
+    return _linked(rows, stream, [*[c for c in events.columns if c != "sequence"], "sequence"])
+
+
+def _linked(rows: DataFrame, stream: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """Rows whose streams are whole and in order in their tasks, with prev_hash and hash; the first of a stream has its ``__seed``."""
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", prev_hash string, hash string"
+    rows = rows.select(*kept, "__content", "__seed")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last = None, ""
@@ -74,9 +95,9 @@ def hash_chain(events: DataFrame, content: Column, stream: Sequence[str] = STREA
                 before.append(last)
                 last = hashlib.sha256((last + text).encode()).hexdigest()
                 after.append(last)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*part.schema.names, "prev_hash", "hash"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*kept, "prev_hash", "hash"])
 
-    return rows.mapInArrow(run, schema).select(*kept, "prev_hash", "hash")
+    return rows.mapInArrow(run, schema)
 
 
 def chain_breaks(events: DataFrame, content: Column, stream: Sequence[str] = STREAM, order: Sequence[str] = ("sequence",)) -> DataFrame:

@@ -1,8 +1,12 @@
 """An index of keys that only grows: sorted runs, split by key prefix, each prefix with a Bloom filter.
 
 A lookup reads of each run the filters of the prefixes that its keys have, and then the keys of those prefixes alone whose filter
-does not rule all of them out. A prefix holds at most a fixed number of keys, as larger runs have longer prefixes, and runs of a
-size are merged into one of the next, so there are few: what a lookup reads depends on its own keys and not on the index.
+does not rule all of them out. A prefix of which it has many keys is read without its filter, which would hardly rule out all.
+A prefix holds at most a fixed number of keys, as larger runs have longer prefixes, and runs of a size are merged into one of the
+next, so there are few: what a lookup reads depends on its own keys and not on the index.
+
+A filter is made of blocks of eight words. A key has one block and one bit in each of its words, so it is one row when filters
+are written and when they are asked.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ from annalist.sources.commits import CommitLog, Snapshot
 
 #: Keys of one prefix, about; a run of fewer keys is not split and has no filter.
 PREFIX_KEYS = 1 << 18
-#: Bits and probes for each key: one absent key in ten thousand passes a filter.
-BITS, PROBES = 20, 13
+#: Bits for each key, and words of a block: one or two absent keys in ten thousand pass a filter.
+BITS, WORDS = 20, 8
+#: Keys of one prefix in a lookup beyond which its filter is not asked.
+MANY = 1_000
 #: Runs of one level that become one of the next.
 FANOUT = 8
 HEX = 16
@@ -55,19 +61,22 @@ class Runs:
         return F.concat(F.lit("p"), F.substring(F.hex("key"), 1, depth))
 
     @staticmethod
-    def _probes(bits: int) -> Column:
-        """Words and bits of a key's places in a filter of ``bits``."""
-        a = F.shiftrightunsigned(F.xxhash64("key"), 2)
-        b = F.shiftrightunsigned(F.xxhash64("key", F.lit(1)), 32)
-        place = lambda i: F.pmod(a + i * b, F.lit(bits))
-        return F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: F.struct(F.shiftright(place(i), 6).alias("word"), F.expr("1L").alias("one"), place(i).bitwiseAND(F.lit(63)).cast("int").alias("bit")))
+    def _block(blocks: int) -> Column:
+        """The block of a key in a filter of ``blocks``."""
+        return F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")
+
+    @staticmethod
+    def _marks() -> list[Column]:
+        """A key's bit in each word of its block."""
+        places = F.xxhash64("key", F.lit(1))
+        return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(places, 6 * i).bitwiseAND(F.lit(63)).cast("int")).alias(f"m{i}") for i in range(WORDS)]
 
     def stage(self, rows: DataFrame, count: int) -> dict:
         """Write a run of ``count`` rows (distinct keys) to a waiting folder."""
         depth = 0
         while count > self.prefix_keys * HEX**depth:
             depth += 1
-        bits = 64 * (2 + BITS * (count // HEX**depth + 1) * 5 // 4 // 64)
+        blocks = 1 + BITS * (count // HEX**depth + 1) * 5 // 4 // (64 * WORDS)
 
         def write(path: str) -> None:
             kept = rows.select("key", *self.columns)
@@ -77,32 +86,37 @@ class Runs:
             kept = kept.withColumn("prefix", self._prefix(depth))
             kept.repartition("prefix").sortWithinPartitions("prefix", "key").write.partitionBy("prefix").parquet(f"{path}/keys")
             again = self.log.spark.read.schema("key binary, prefix string").parquet(f"{path}/keys")
-            set_bits = again.select("prefix", F.explode(self._probes(bits)).alias("p")).select("prefix", "p.word", F.expr("shiftleft(p.one, p.bit)").alias("bit"))
-            filters = set_bits.groupBy("prefix", "word").agg(F.bit_or("bit").alias("bits"))
-            filters.repartition("prefix").sortWithinPartitions("prefix", "word").write.partitionBy("prefix").parquet(f"{path}/filters")
+            marks = again.select("prefix", self._block(blocks), *self._marks())
+            filters = marks.groupBy("prefix", "block").agg(*[F.bit_or(f"m{i}").alias(f"w{i}") for i in range(WORDS)])
+            filters.repartition("prefix").sortWithinPartitions("prefix", "block").write.partitionBy("prefix").parquet(f"{path}/blocks")
 
         level, least = 0, self.fanout
         while count >= least:
             level, least = level + 1, least * self.fanout
-        return self.log.stage(self.table, write, rows=count, depth=depth, bits=bits, level=level)
+        return self.log.stage(self.table, write, rows=count, depth=depth, blocks=blocks, level=level)
 
     def find(self, keys: DataFrame, snapshot: Snapshot) -> DataFrame:
-        """The rows (key and values) of the keys in ``keys`` (distinct) that the index has."""
+        """The rows (key and values) of the keys in ``keys`` (distinct) that the index has. ``keys`` is read several times."""
         self.reads = Reads()
         found = []
         runs = snapshot.tables.get(self.table, [])
         whole = [f"{self.log.folder(self.table, r['id'])}/keys" for r in runs if not r["depth"]]
         if whole:
             self.reads.whole_runs = len(whole)
-            found.append(self.log.spark.read.schema(self.schema).parquet(*whole).join(keys.select("key"), "key", "left_semi"))
+            found.append(self.log.spark.read.schema(self.schema).parquet(*whole))
+        deepest = max((r["depth"] for r in runs), default=0)
+        asked = {}
+        if deepest:  # as many as the largest run has prefixes, at most
+            asked = {r.prefix: r["count"] for r in keys.groupBy(self._prefix(deepest).alias("prefix")).count().collect()}
         for r in runs:
-            if r["depth"] and (rows := self._in_run(r, keys)) is not None:
+            if r["depth"] and (rows := self._in_run(r, keys, asked)) is not None:
                 found.append(rows)
         if not found:
             return self.log.spark.createDataFrame([], self.schema)
         out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)
+        out = out.join(keys.select("key"), "key", "left_semi")
         return self._latest(out) if len(found) > 1 or len(whole) > 1 else out
 
     def _latest(self, rows: DataFrame) -> DataFrame:
@@ -112,23 +126,28 @@ class Runs:
         best = F.max_by(value, self.newest) if self.newest else F.first(value)
         return rows.groupBy("key").agg(best.alias("v")).select("key", *[F.col(f"v.{c}").alias(c) for c in self.columns])
 
-    def _in_run(self, run: dict, keys: DataFrame) -> DataFrame | None:
+    def _in_run(self, run: dict, keys: DataFrame, asked: dict[str, int]) -> DataFrame | None:
+        """The keys of the prefixes that may hold some of ``keys``; ``asked``: how many these have of each (longer) prefix."""
         folder = self.log.folder(self.table, run["id"])
-        asked = keys.select("key", self._prefix(run["depth"]).alias("prefix"))
-        wanted = [r.prefix for r in asked.select("prefix").distinct().collect()]  # as many as the run has prefixes, at most
-        filters = self.log.spark.read.schema("word bigint, bits bigint, prefix string").parquet(f"{folder}/filters").filter(F.col("prefix").isin(wanted))
-        probes = asked.select("prefix", "key", F.explode(self._probes(run["bits"])).alias("p"))
-        probes = probes.select("prefix", "key", "p.word", F.expr("shiftleft(p.one, p.bit)").alias("bit"))
-        hits = probes.join(filters, ["prefix", "word"]).filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
-        maybe = hits.groupBy("prefix", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == PROBES)
-        open_ = [r.prefix for r in maybe.select("prefix").distinct().collect()]
-        self.reads.filters += len(wanted)
+        counts: dict[str, int] = {}
+        for prefix, n in asked.items():
+            counts[prefix[: 1 + run["depth"]]] = counts.get(prefix[: 1 + run["depth"]], 0) + n
+        open_ = [p for p, n in counts.items() if n > MANY or "blocks" not in run]  # runs of before have filters of another form
+        few = [p for p in counts if p not in set(open_)]
+        if few:
+            names = [f"w{i}" for i in range(WORDS)]
+            filters = self.log.spark.read.schema(f"block bigint, {', '.join(f'{w} bigint' for w in names)}, prefix string").parquet(f"{folder}/blocks").filter(F.col("prefix").isin(few))
+            probes = keys.select(self._prefix(run["depth"]).alias("prefix"), self._block(run["blocks"]), *self._marks()).filter(F.col("prefix").isin(few))
+            maybe = probes.join(filters, ["prefix", "block"])
+            for i in range(WORDS):
+                maybe = maybe.filter(F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) != 0)
+            open_ += [r.prefix for r in maybe.select("prefix").distinct().collect()]
+        self.reads.filters += len(few)
         self.reads.keys += len(open_)
         self.reads.prefixes += HEX ** run["depth"]
         if not open_:
             return None
-        rows = self.log.spark.read.schema(f"{self.schema}, prefix string").parquet(f"{folder}/keys").filter(F.col("prefix").isin(open_))
-        return rows.join(keys.select("key"), "key", "left_semi").drop("prefix")
+        return self.log.spark.read.schema(f"{self.schema}, prefix string").parquet(f"{folder}/keys").filter(F.col("prefix").isin(open_)).drop("prefix")
 
     def all(self, snapshot: Snapshot) -> DataFrame:
         """Every key with its newest values."""

@@ -120,8 +120,12 @@ def event_content():
     return E.canonical(*CONTENT)
 
 
+def _texts() -> dict[str, Column]:
+    return {"evidence_text": F.to_json("evidence_ids"), "recorded_text": F.unix_micros("recorded_at").cast("string")}
+
+
 def _hashed(events: DataFrame) -> DataFrame:
-    return events.withColumns({"evidence_text": F.to_json("evidence_ids"), "recorded_text": F.unix_micros("recorded_at").cast("string")})
+    return events.withColumns(_texts())
 
 
 #: The content of an event without what the store gives it.
@@ -174,14 +178,10 @@ class EventStore(AppendOnly):
         reason = F.coalesce(E.reason_code(required=("id", "stream_id", "recorded_at")), F.concat(F.lit("schema "), violation_by(F.col("event_type"), F.col("payload"), self.schemas)))
         scratch = self.log.scratch()
         try:
-            judged = self._kept(_hashed(rows.withColumn("reason_code", reason)), f"{scratch}/judged")
-            good = judged.filter(F.col("reason_code").isNull()).withColumns({"content": F.sha2(E.canonical(*SENT), 256), "key": key_of(F.col("id"))}).drop("reason_code")
-            good = good.dropDuplicates(["key", "content"])
-            first = good.groupBy("key").agg(F.min(F.struct("recorded_at", "content"))["content"].alias("first"))
-            good = self._kept(good.join(first, "key"), f"{scratch}/good")
-            bad = judged.filter(F.col("reason_code").isNotNull()).select(*rows.columns, "reason_code")
-            twice = good.filter("content <> first").select(*rows.columns, F.lit("duplicate_id").alias("reason_code"))
-            good, refused = good.filter("content = first").drop("first"), bad.unionByName(twice)
+            judged = self._kept(_hashed(rows.withColumn("reason_code", reason)).withColumns({"content": F.sha2(E.canonical(*SENT), 256), "key": key_of(F.col("id"))}).select(*rows.columns, "reason_code", "content", "key"), f"{scratch}/judged")
+            good, twice = self._once(judged.filter(F.col("reason_code").isNull()).drop("reason_code"), scratch)
+            refused = judged.filter(F.col("reason_code").isNotNull()).select(*rows.columns, "reason_code")
+            refused = refused.unionByName(twice.select(*rows.columns, F.lit("duplicate_id").alias("reason_code")))
             for _ in range(attempts):
                 now = self.log.snapshot()
                 new, other = self._unseen(good, now, f"{scratch}/{now.version}")
@@ -203,31 +203,46 @@ class EventStore(AppendOnly):
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def _once(self, good: DataFrame, scratch: str) -> tuple[DataFrame, DataFrame]:
+        """One event of each id, and those that say something else under the id of another. Only rows whose id may come again (by 64
+        bits of its key) are compared; the others are not shuffled."""
+        twin = F.xxhash64("key")
+        again = self._kept(good.groupBy(twin.alias("twin")).count().filter("count > 1").select("twin"), f"{scratch}/again")
+        if again.isEmpty():
+            return good, good.filter("false")
+        several = good.join(again, twin == F.col("twin"), "left_semi").dropDuplicates(["key", "content"])
+        first = several.groupBy("key").agg(F.min(F.struct("recorded_at", "content"))["content"].alias("first"))
+        several = self._kept(several.join(first, "key"), f"{scratch}/several")
+        once = good.join(again, twin == F.col("twin"), "left_anti").unionByName(several.filter("content = first").drop("first"))
+        return self._kept(once, f"{scratch}/once"), several.filter("content <> first").drop("first")
+
     def _unseen(self, good: DataFrame, now: Snapshot, scratch: str) -> tuple[DataFrame, DataFrame]:
         """Events whose id the log does not have, and those whose id it has with another content."""
         if not now.tables.get("ids"):
             return good, good.filter("false")
         seen = self._kept(self.ids.find(good.select("key"), now).withColumnRenamed("content", "before"), f"{scratch}/seen")
-        other = good.join(seen, "key").filter("content <> before").drop("before")
-        return good.join(seen, "key", "left_anti"), other
+        if seen.isEmpty():
+            return good, good.filter("false")
+        told = self._kept(good.join(seen, "key", "left").filter("before IS NULL OR content <> before"), f"{scratch}/told")
+        return told.filter("before IS NULL").drop("before"), told.filter("before IS NOT NULL").drop("before")
 
     def _commit(self, new: DataFrame, now: Snapshot, scratch: str) -> bool:
-        streams = new.select(*E.STREAM).distinct().withColumn("key", key_of(F.col("stream_type"), F.col("stream_id")))
-        heads = self.ends.find(streams, now).drop("key")
+        heads = None
         if now.tables.get("stream_heads"):
-            heads = self._kept(heads, f"{scratch}/heads")
-        numbered = E.assign_sequence(new.drop("key"), heads=heads.select(*E.STREAM, "head"))
-        chained = E.hash_chain(numbered, event_content(), seeds=heads.select(*E.STREAM, "hash"))
-        chained = self._kept(chained.withColumn("key", key_of(F.col("id"))), f"{scratch}/chained")
-        ends = chained.groupBy(*E.STREAM).agg(F.max("sequence").alias("head"), F.max_by("hash", "sequence").alias("hash"), F.count(F.lit(1)).alias("n"))
-        n, n_streams = ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-        if not n:
-            return True
-        ends = ends.withColumn("key", key_of(F.col("stream_type"), F.col("stream_id")))
+            streams = self._kept(new.select(*E.STREAM).distinct().withColumn("key", key_of(F.col("stream_type"), F.col("stream_id"))), f"{scratch}/streams")
+            heads = self.ends.find(streams, now)
         staged: dict[str, list[dict]] = {"events": [], "ids": [], "stream_heads": []}
         try:
-            staged["events"].append(self.log.stage_rows("events", chained.select(*[f.name for f in model.EVENT.fields]), rows=n))
-            staged["ids"].append(self.ids.stage(chained, n))
+            chained = E.extend_chain(new.drop("key", "content"), E.canonical(*[_texts().get(c, c) for c in CONTENT]), heads)
+            events = self.log.stage_rows("events", chained.select(*[f.name for f in model.EVENT.fields]))
+            staged["events"].append(events)
+            ends = self.log.read_staged("events", self.schema, events).groupBy(*E.STREAM).agg(F.max("sequence").alias("head"), F.max_by("hash", "sequence").alias("hash"), F.count(F.lit(1)).alias("n"))
+            ends = self._kept(ends.withColumn("key", key_of(F.col("stream_type"), F.col("stream_id"))), f"{scratch}/ends")
+            events["rows"], n_streams = ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+            if not events["rows"]:
+                self.log.abandon(staged)
+                return True
+            staged["ids"].append(self.ids.stage(new, events["rows"]))
             staged["stream_heads"].append(self.ends.stage(ends, n_streams))
         except BaseException:
             self.log.abandon(staged)

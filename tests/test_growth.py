@@ -6,12 +6,16 @@ import random
 from pyspark.sql import functions as F
 
 from annalist.operators import documents as D
+from annalist.operators import events as E
 from annalist.operators import learned as Ln
 from annalist.operators import linkage as Lk
 from annalist.operators import resolve as R
 from annalist.operators import timing as Tm
 from annalist.operators import vectors as Vx
 from annalist.plans import matching, vault
+from annalist.sources import runs
+from annalist.sources import store as St
+from annalist.sources.commits import CommitLog
 
 
 def final_plan(df):
@@ -109,3 +113,38 @@ def test_documents_arrive_in_as_many_files_as_they_need(spark, sf, tmp_path, mon
     rows = spark.read.parquet(f"{sf}/documents.parquet")
     assert found == rows.select(F.coalesce("text", F.lit(""))).distinct().count()
     assert len(list((tmp_path / "inbox" / "in").glob("part-*"))) >= rows.count() // 20 and len(list((tmp_path / "inbox" / "out").glob("batch=*"))) == 2
+
+
+def test_an_append_numbers_and_chains_in_one_shuffle(spark):
+    rows = spark.range(200).select((F.col("id") % 7).cast("string").alias("stream_id"), (F.col("id") * 13 % 50).alias("at"), F.col("id").alias("id"))
+    heads = spark.createDataFrame([("0", 4, "aa"), ("3", 1, "bb"), ("none", 9, "cc")], "stream_id string, head long, hash string")
+    content = E.canonical("sequence", "id")
+    df = E.extend_chain(rows, content, heads, ["stream_id"], ("at", "id"))
+    plan = final_plan(df).split("Initial Plan")[0]
+    assert plan.count("hashpartitioning(stream_id") == 1 and "Join" not in plan
+    numbered = E.assign_sequence(rows, ["stream_id"], ("at", "id"), heads.select("stream_id", "head"))
+    wanted = E.hash_chain(numbered, content, ["stream_id"], seeds=heads.select("stream_id", "hash"))
+    assert sorted(df.collect()) == sorted(wanted.select(*df.columns).collect())
+    alone = E.hash_chain(E.assign_sequence(rows, ["stream_id"], ("at", "id")), content, ["stream_id"])
+    assert sorted(E.extend_chain(rows, content, None, ["stream_id"], ("at", "id")).collect()) == sorted(alone.select(*df.columns).collect())
+
+
+def test_a_lookup_of_many_keys_asks_no_filters(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path))
+    index = runs.Runs(log, "t", prefix_keys=5_000)
+    keys = lambda a, b: spark.range(a, b).select(runs.key_of(F.col("id")).alias("key"))
+    assert log.commit(log.snapshot(), {"t": [index.stage(keys(0, 40_000), 40_000)]})
+    now = log.snapshot()
+    assert index.find(keys(20_000, 60_000), now).count() == 20_000 and (index.reads.filters, index.reads.keys) == (0, 16)
+    assert index.find(keys(39_000, 45_000), now).count() == 1_000 and index.reads.filters == 16
+    # absent keys that a filter would let pass
+    run = now.tables["t"][0]
+    blocks = spark.read.parquet(f"{log.folder('t', run['id'])}/blocks")
+    asked = keys(40_000, 140_000).select(index._prefix(1).alias("prefix"), index._block(run["blocks"]), *index._marks())
+    passed = asked.join(blocks, ["prefix", "block"])
+    for i in range(runs.WORDS):
+        passed = passed.filter(F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) != 0)
+    assert passed.count() <= 40
+    # a run of before, whose filters have another form, is read without them
+    del run["blocks"]
+    assert index.find(keys(39_990, 40_010), now).count() == 10 and index.reads.filters == 0
