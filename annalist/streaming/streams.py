@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from annalist.functions import text as X
 from annalist.operators import events as E
@@ -76,57 +77,100 @@ def project_stream(events: DataFrame, log: Callable[[], DataFrame], target: str,
 
 
 class _Live(StatefulProcessor):
-    """What holds of one stream: its live events, the ids that were superseded before they came, the last event of each part."""
+    """What holds of one stream: its live events, the ids that were superseded before they came, the last event of each part.
+
+    Each call of the state store is a message between two processes. So events and ids are kept in chunks, rows are taken in
+    slices, and a stream costs some calls for each slice, not for each row. No more than a slice's rows and chunks are in memory.
+    """
+
+    SLICE, CHUNK = 4_096, 64
 
     def __init__(self, stream: Sequence[str], order: StructType):
         self.said = Row(*stream, "part", "value", "deleted")
-        self.event = StructType([StructField("part", StringType()), StructField("value", StringType()), *order.fields])
+        self.event = StructType([StructField("id", StringType()), StructField("part", StringType()), StructField("value", StringType()), *order.fields])
         self.order = order.names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        one = lambda name: StructType([StructField(name, StringType())])
-        self.live = handle.getMapState("live", one("id"), self.event)
-        self.gone = handle.getMapState("gone", one("id"), StructType([StructField("n", LongType())]))
-        self.last = handle.getMapState("last", one("part"), one("id"))
+        chunk = StructType([StructField("chunk", LongType())])
+        self.live = handle.getMapState("live", chunk, StructType([StructField("events", ArrayType(self.event))]))
+        self.gone = handle.getMapState("gone", chunk, StructType([StructField("ids", ArrayType(StringType()))]))
+        self.last = handle.getMapState("last", StructType([StructField("part", StringType())]), self.event)
+        self.ends = handle.getValueState("ends", StructType([StructField("live", LongType()), StructField("gone", LongType())]))
 
     @staticmethod
     def _rank(event: Sequence) -> tuple:
         """Order as Spark's: a null comes before every value."""
-        return tuple((v is not None, v) for v in event[2:])
-
-    def _of(self, part: str) -> Sequence | None:
-        return self.live.getValue((self.last.getValue((part,))[0],)) if self.last.containsKey((part,)) else None
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        changed, shrunk = set(), set()
+        return tuple((v is not None, v) for v in event[3:])
+
+    def _add(self, state, end: int, more: list) -> int:
+        """Fill the last chunk, which is number ``end``, and add others; the number of the last one then."""
+        if more and state.containsKey((end,)):
+            more = [*(tuple(x) if isinstance(x, Row) else x for x in state.getValue((end,))[0]), *more]
+        for i in range(0, len(more), self.CHUNK):
+            state.updateValue((end + i // self.CHUNK,), (more[i : i + self.CHUNK],))
+        return end + max(0, len(more) - 1) // self.CHUNK
+
+    def _take(self, rows: list, now: dict, known: bool, ends: list[int]) -> None:
+        """Take a slice of rows; ``now``: the last events of the parts that were touched, ``known``: whether there is a state."""
+
+        def touch(part: str) -> None:
+            if part not in now:
+                now[part] = tuple(self.last.getValue((part,))) if known and self.last.containsKey((part,)) else None
+
+        ids = {r["id"] for r in rows}
+        late = {i for chunk in self.gone.values() for i in chunk[0] if i in ids} if known else set()
+        fresh, named, met = {}, set(), set()
         for r in rows:
-            part, named = r["part"], r["supersedes"]
-            changed.add(part)
-            if named is not None:
-                if self.live.containsKey((named,)):
-                    shrunk.add(self.live.getValue((named,))[0])
-                    self.live.removeKey((named,))
+            touch(r["part"])
+            if (before := r["supersedes"]) is not None:
+                (named if fresh.pop(before, None) is None else met).add(before)
+            if r["id"] not in late and r["id"] not in named:
+                fresh[r["id"]] = (r["id"], r["part"], r["value"], *[r[c] for c in self.order])
+        lost = set()
+        if known and (named or met):
+            hit = []
+            for number, chunk in self.live.iterator():
+                left = [tuple(e) for e in chunk[0] if e[0] not in named and e[0] not in met]
+                if len(left) < len(chunk[0]):
+                    hit.append((number, left))
+                    for e in chunk[0]:
+                        if e[0] in named or e[0] in met:
+                            named.discard(e[0])
+                            met.add(e[0])
+                            touch(e[1])
+                            if now[e[1]] is not None and now[e[1]][0] == e[0]:
+                                lost.add(e[1])
+            for number, left in hit:
+                if left:
+                    self.live.updateValue(number, (left,))
                 else:
-                    self.gone.updateValue((named,), (1,))
-            if self.gone.containsKey((r["id"],)):
-                continue
-            event = (part, r["value"], *[r[c] for c in self.order])
-            self.live.updateValue((r["id"],), event)
-            if part not in shrunk and ((before := self._of(part)) is None or self._rank(event) >= self._rank(before)):
-                self.last.updateValue((part,), (r["id"],))
-        best: dict[str, tuple] = {}
-        if shrunk:  # the last event of a part may be one that went
-            for k, event in self.live.iterator():
-                if event[0] in shrunk and (event[0] not in best or self._rank(event) > best[event[0]][0]):
-                    best[event[0]] = (self._rank(event), k[0])
-        for part in shrunk:
-            if part in best:
-                self.last.updateValue((part,), (best[part][1],))
-            elif self.last.containsKey((part,)):
-                self.last.removeKey((part,))
-        for part in changed | shrunk:
-            event = self._of(part)
-            yield self.said(*key, part, None if event is None else event[1], event is None)
+                    self.live.removeKey(number)
+        if lost:  # the one before holds again
+            now.update(dict.fromkeys(lost))
+            for chunk in self.live.values():
+                for e in chunk[0]:
+                    if e[1] in lost and (now[e[1]] is None or self._rank(e) > self._rank(now[e[1]])):
+                        now[e[1]] = tuple(e)
+        for e in fresh.values():
+            if now[e[1]] is None or self._rank(e) >= self._rank(now[e[1]]):
+                now[e[1]] = e
+        ends[:] = [self._add(self.live, ends[0], list(fresh.values())), self._add(self.gone, ends[1], sorted(named))]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.ends.exists()
+        before = list(self.ends.get()) if known else [0, 0]
+        ends, now, some, state = [*before], {}, iter(rows), known
+        while taken := list(islice(some, self.SLICE)):
+            self._take(taken, now, state, ends)
+            state = True  # what the slice has written; its parts are in ``now``
+        if not known or ends != before:
+            self.ends.update(tuple(ends))
+        for p, event in now.items():
+            if event is not None:
+                self.last.updateValue((p,), event)
+            elif known and self.last.containsKey((p,)):
+                self.last.removeKey((p,))
+            yield self.said(*key, p, None if event is None else event[2], event is None)
 
 
 _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}

@@ -113,3 +113,46 @@ def test_feeds_as_a_stream_resume_without_repeats(spark, tmp_path):
     (inbox / "b.xml").write_text("<rss>")
     (inbox / "c.xml").write_text(ATOM)
     assert run() == sorted([*first, ("b.xml", "", True), ("c.xml", "Three", False)])
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_slices_and_chunks_give_the_folded_log_with_few_calls(seed):
+    """The processor alone, over plain dictionaries: small slices and chunks, and no call for each row."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.d = {}
+
+        def __getattr__(self, name):
+            act = {
+                "containsKey": self.d.__contains__, "getValue": self.d.get, "updateValue": self.d.__setitem__, "removeKey": self.d.__delitem__, "iterator": lambda: iter(list(self.d.items())),
+                "values": lambda: iter(list(self.d.values())), "exists": lambda: bool(self.d), "get": lambda: self.d[()], "update": lambda v: self.d.__setitem__((), v),
+            }[name]
+            return lambda *args: (calls.append(name), act(*args))[1]
+
+    class Handle:
+        def getMapState(self, *_):
+            return State()
+
+        getValueState = getMapState
+
+    rnd = random.Random(seed)
+    rows = [r for r in _log(rnd, 400) if r[1] == "s1"]
+    rnd.shuffle(rows)
+    for size, chunk, most in ((7, 3, None), (4_096, 64, 40)):
+        live = streams._Live(["stream_id"], StructType([StructField("order0", LongType())]))
+        live.SLICE, live.CHUNK = size, chunk
+        live.init(Handle())
+        said, calls[:] = {}, []
+        for batch in (rows[:30], rows[30:90], rows[90:]):
+            given = [{"id": r[0], "part": r[2], "supersedes": r[5], "value": r[4], "order0": r[3]} for r in batch]
+            said |= {r["part"]: None if r["deleted"] else r["value"] for r in live.handleInputRows(("s1",), iter(given), None)}
+        gone = {r[5] for r in rows}
+        wanted = {}
+        for r in sorted(rows, key=lambda r: r[3]):
+            if r[0] not in gone:
+                wanted[r[2]] = r[4]
+        assert {p: v for p, v in said.items() if p in wanted or v is not None} == wanted and (most is None or len(calls) < most * 3)
