@@ -31,8 +31,12 @@ def _lines(text: Column) -> Column:
 
 
 def _plain(line: Column) -> Column:
-    """A line's form: digits masked, tokens with one space between. Single spaces are not matched, as they stay."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0"), r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "))
+    """A line's form: digits masked, tokens with one space between. Most lines have single spaces only, which stay."""
+    masked = F.regexp_replace(line, "[0-9]+", "0")
+    wide = line.contains("  ")
+    for c in "\t\r\f\x0B":
+        wide = wide | line.contains(c)
+    return F.trim(F.when(wide, F.regexp_replace(masked, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")).otherwise(masked))
 
 
 def _form(line: Column) -> Column:
@@ -40,6 +44,11 @@ def _form(line: Column) -> Column:
     return F.xxhash64(_plain(line))
 
 
+def _doc() -> Column:
+    """The 64-bit key of a document. Two texts that share one only look among more recurring forms for those of their lines."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
@@ -62,7 +71,7 @@ def _levels(met: DataFrame, min_docs: int, alike: float) -> DataFrame:
 def _recurring(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000, min_chars: int = 40) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     # the forms are made inside the array, so that each is made once, whatever reads it later
     plain = F.array_distinct(F.transform(_lines(F.col("text")), _plain))
-    lines = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc"), F.explode(plain).alias("plain"))
+    lines = docs.select(_doc().alias("doc"), F.explode(plain).alias("plain"))
     size = F.length("plain") - F.length(F.replace(F.col("plain"), F.lit(" "), F.lit(""))) + 1
     lines = lines.filter((F.col("plain") != "") & ((size >= min_tokens) | (F.length("plain") >= min_chars)))
     lines = lines.select("doc", "plain", F.xxhash64(size, F.substring_index("plain", " ", LEADING)).alias("leaf"), F.xxhash64("plain").alias("form"))
@@ -104,6 +113,16 @@ def recurring_forms(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_
     return found
 
 
+def _found(docs: DataFrame, min_docs: int, alike: float, min_tokens: int, broadcast_rows: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """The recurring forms, and (doc, drop): those of each document that has some."""
+    found, steps = _recurring(docs, min_docs, alike, min_tokens, broadcast_rows, min_chars)
+    found = stored(found, "recurring")
+    seen = steps[1]
+    hits = stored(seen.join(_small(found.select("form"), broadcast_rows), "form").groupBy("doc").agg(F.collect_set("form").alias("drop")), "hits")
+    forget(*steps)
+    return found, hits
+
+
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, alike: float = 0.7, min_tokens: int = 4, broadcast_rows: int = 1_000_000, long_lines: int = 2_000, min_chars: int = 40) -> DataFrame:
     """doc_id, text without the lines of recurring templates, n_lines and n_dropped for every row of ``docs`` (doc_id, text).
 
@@ -114,15 +133,15 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, alike: float = 0.7,
     empty result. Whole texts of any length are read; the lines of one with more than ``long_lines`` are joined with the forms
     one by one, as a look through an array of forms for each line would take the square of their number.
     """
-    forms = recurring_forms(docs, min_docs, alike, min_tokens, broadcast_rows, min_chars).select("form")
+    forms, hits = _found(docs, min_docs, alike, min_tokens, broadcast_rows, min_chars)
+    forms = forms.select("form")
     lines = _lines(F.col("text"))
     is_long = F.size(lines) > long_lines
     docs = docs.select("doc_id", "text")
     short, long = docs.filter(~is_long), docs.filter(is_long).withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
 
-    said = short.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.transform(lines, _form))).alias("form"))
-    hits = said.join(_small(forms, broadcast_rows), "form").groupBy("id").agg(F.collect_set("form").alias("drop"))
-    rows = short.join(hits, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    # forms were made for the search: texts find theirs by key, and are not looked through for them again
+    rows = short.withColumn("doc", _doc()).join(hits, "doc", "left")
     kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop", _form(x))))
     rows = rows.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
 

@@ -216,3 +216,15 @@ def test_no_window_of_a_document_is_missed(spark, seed):
     wanted = brute_leaks(docs, items)
     found = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found.collect()} == wanted and len(wanted) > 30
+
+
+def test_texts_are_not_looked_through_again_for_their_forms(spark, monkeypatch):
+    """Forms are made for the search, and for the lines of texts that have some to drop: two places of the whole job's plans."""
+    made = []
+    form = templates._form
+    monkeypatch.setattr(templates, "_form", lambda line: (made.append(1), form(line))[1])
+    rows = [(k, f"Page {k} of the daily report here\n\ttwo  tabs {k}\x0band more words") for k in range(8)] + [(k + 8, "Page 3 of the daily report here\nown words of one text only") for k in range(3)]
+    df = templates.drop_recurring_lines(spark.createDataFrame([*rows, (20, None)], "doc_id long, text string"))
+    assert {r.doc_id: (r.text, r.n_dropped) for r in df.collect()} == {**{k: ("", 2) for k in range(8)}, **{k + 8: ("own words of one text only", 1) for k in range(3)}, 20: ("", 0)}
+    assert "transform(split" not in df._jdf.queryExecution().optimizedPlan().toString().split("array_contains")[0].split("Union")[0]
+    assert len(made) == 2  # of short texts that are kept in part, and of long ones
