@@ -140,8 +140,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, alike: float = 0.7,
     docs = docs.select("doc_id", "text")
     short, long = docs.filter(~is_long), docs.filter(is_long).withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
 
-    # forms were made for the search: texts find theirs by key, and are not looked through for them again
-    rows = short.withColumn("doc", _doc()).join(hits, "doc", "left")
+    # forms were made for the search: texts find theirs by key, and are not looked through for them again. There are as many hits as
+    # documents with lines to drop, so texts are shuffled once, at any size; Spark would broadcast hits while their files are small
+    rows = short.withColumn("doc", _doc()).join(hits.hint("merge"), "doc", "left")
     kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop", _form(x))))
     rows = rows.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
 

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from annalist.llm import templates
 from annalist.operators import documents as D
 from annalist.operators import events as E
 from annalist.operators import learned as Ln
@@ -158,3 +159,22 @@ def test_events_whose_ids_come_once_are_not_shuffled_to_compare_them(spark, tmp_
     more = rows.unionByName(rows.filter("content < '2'")).unionByName(rows.filter("content = '7'").withColumn("content", F.lit("other")))
     once, twice = store._once(more, f"{tmp_path}/b")
     assert sorted(r.content for r in once.collect()) == sorted(map(str, range(100))) and [r.content for r in twice.collect()] == ["other"]
+
+
+def test_texts_are_shuffled_once_to_lose_lines_whatever_their_number(spark):
+    """A broadcast at small sizes only would let the shuffle grow faster than the texts; copies of one text are dealt out."""
+    names = [f"spark.sql.adaptive.{k}" for k in ("advisoryPartitionSizeInBytes", "skewJoin.skewedPartitionThresholdInBytes", "skewJoin.skewedPartitionFactor", "coalescePartitions.enabled")]
+    sent, word = {}, lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    rows = [(k, f"this line is in all of the texts\nown {word(7919 * k)} words {word(k)} of text {word(31 * k)}") for k in range(2_000)]
+    rows += [(k, "copied again and again to here\nthis line is in all of the texts") for k in range(2_000, 6_000)]
+    for n in (2_000, 6_000):
+        for name, value in zip(names, ("16k", "16k", "1.5", "false") if n == 6_000 else ("", "", "", "")):
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
+        df = templates.drop_recurring_lines(spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(8))
+        found = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in df.collect()}
+        assert found == {k: (t.split("\n")[k < 2_000], 2, 1) for k, t in rows[:n]}
+        sent[n] = final_plan(df).split("== Initial Plan ==")[0]
+    for name in names:
+        spark.conf.unset(name)
+    assert all("BroadcastHashJoin [doc" not in x and "SortMergeJoin" in x for x in sent.values())
+    assert "skew=true" in sent[6_000] and "skew=true" not in sent[2_000]
