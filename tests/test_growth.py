@@ -107,6 +107,43 @@ def test_tokens_are_not_shuffled_and_parts_count_as_their_tokens(spark):
         assert show(Ln.predict(docs, Ln.words_of(F.col("text")), "id", labels, grams, broadcast_words=most, parts=Ln.grams_in)) == show(whole)
 
 
+def test_parts_of_many_words_are_counted_and_scored_where_texts_are_read(spark):
+    rnd = random.Random(8)
+    word = lambda letters: "".join(rnd.choices(letters, k=rnd.randint(1, 9)))
+    rows = [(k, " ".join(word(("aab", "abb", "abñ𝒳")[k % 3]) for _ in range(40)), (10, 20, 30)[k % 3]) for k in range(90)] + [(90, None, 10), (91, "", None), (92, "1 zz 2", 20)]
+    docs = spark.createDataFrame(rows, "id long, text string, label int")
+    labels, grams = Ln.learn(docs, Ln.grams_of(F.col("text")), "label")
+    show = lambda df: sorted((r.id, r.label, round(r.score, 7)) for r in df.collect())
+    whole = show(Ln.predict(docs, Ln.grams_of(F.col("text")), "id", labels, grams))
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: (read.add(1), t)[1], "string").asNondeterministic()
+    labels, grams = Ln.learn(docs, Ln.words_of(seen("text")), "label", parts=Ln.grams_in)
+    n = grams.count()
+    assert docs.select(F.explode(Ln.words_of(F.col("text")))).distinct().count() > 2 * n
+    found = Ln.predict(docs, Ln.words_of(seen("text")), "id", labels, grams, broadcast_words=n, parts=Ln.grams_in)
+    plan = final_plan(found)
+    assert "Exchange" not in plan and "MapInArrow" in plan
+    assert read.value == 2 * len(rows) - 1  # the row without a label teaches nothing
+    assert show(found) == whole
+    for most in (0, n // 3, n - 1):  # some grams meet the texts by shuffle
+        df = Ln.predict(docs, Ln.words_of(F.col("text")), "id", labels, grams, broadcast_words=most, parts=Ln.grams_in)
+        assert show(df) == whole and "Exchange" in final_plan(df)
+    assert Ln.predict(docs.filter("false"), Ln.words_of(F.col("text")), "id", labels, grams, parts=Ln.grams_in).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (3, ["ab", None, "", "ab"]), (4, ["ab", "ab"])], "id long, words array<string>")
+    for most in (0, n):
+        got = {r.id: (r.label, r.score) for r in Ln.predict(odd, F.col("words"), "id", labels, grams, broadcast_words=most, parts=Ln.grams_in).collect()}
+        assert got[1] == got[2] and got[3] == got[4]
+    assert Ln.learn(docs.filter("label IS NULL"), Ln.words_of(F.col("text")), "label", parts=Ln.grams_in)[1].count() == 0
+
+
+def test_runs_of_words_are_found_in_arrays():
+    words = ["a", "", "élan", "𝒳y", "ab", "a", "the"]
+    names, places, sizes = Ln.grams_in(words)
+    plain = [[f" {w} "[i : i + 3] for i in range(len(w))] for w in words]
+    assert len(names) == len(set(names)) and [names[i] for i in places] == [x for p in plain for x in p] and sizes.tolist() == [len(p) for p in plain]
+    assert Ln.grams_in([])[0] == [] and Ln.grams_in([""])[0] == []
+
+
 def test_documents_arrive_in_as_many_files_as_they_need(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(vault, "FILE_ROWS", 20, raising=False)
     monkeypatch.setattr(vault, "scratch", lambda spark, name: f"{tmp_path}/{name}")
